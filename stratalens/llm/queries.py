@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
@@ -14,6 +15,7 @@ from .packing import pack
 from .quality import score_documents
 from .sharding import shard_documents
 from .simhash import simhash_dedup
+from .suffixes import cut_repeats
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +42,14 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.to - s["from"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_sharding, op5_simhash, op6_decontaminate, op7_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_sharding, op5_simhash, op6_decontaminate, op7_lines, op8_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
