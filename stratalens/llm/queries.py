@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .hnsw import near_vectors
+from .html import extract
 from .lines import repeated_lines
 from .packing import pack
 from .quality import score_documents
 from .sharding import shard_documents
 from .simhash import simhash_dedup
 from .suffixes import cut_repeats
+from .url_filters import filter_urls, host
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,71 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages' own hosts, by a rule on MD5 sums, since no table holds one: a third of
+    the hosts is blocked on some day of 2024 and released later, some domains are blocked for good, and
+    some language folders are blocked or allowed."""
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("long")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    hosts = pages.select(host(F.col("url")).alias("pattern")).where("pattern <> ''").distinct().withColumn("n", number(F.col("pattern")))
+    third = hosts.where("n % 3 = 0")
+    domains = hosts.select(F.substring_index("pattern", ".", -2).alias("pattern")).distinct().withColumn("n", number(F.col("pattern")))
+    folders = pages.select(F.concat(host(F.col("url")), F.regexp_extract("url", "^[a-z]+://[^/]+(/[a-z]+/)", 1)).alias("pattern")).where("pattern like '%/%'").distinct().withColumn("n", number(F.col("pattern")))
+    rows = [
+        third.select("pattern", F.lit("block").alias("action"), day(F.col("n") % 300).alias("dated")),
+        third.select("pattern", F.lit("allow").alias("action"), day(F.col("n") % 300 + 30 + F.col("n") % 40).alias("dated")),
+        domains.where("n % 2 = 0").select("pattern", F.lit("block").alias("action"), day(200 + F.col("n") % 100).alias("dated")),
+        folders.where("n % 5 < 2").select("pattern", F.when(F.col("n") % 5 == 0, "block").otherwise("allow").alias("action"), day(F.col("n") % 365).alias("dated")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(365)).cast("int"))
+    found = filter_urls(pages.withColumn("fetched_at", fetched), url_list(pages))
+    return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "pattern", F.col("valid_from").cast("string").alias("valid_from"), "blocked")
+
+
+_OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7919) % 365)::INTEGER AS fetched_at,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host,
+         string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') AS parts
+  FROM pages),
+named AS (
+  SELECT kind, pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS n FROM (
+    SELECT DISTINCT 'host' AS kind, host AS pattern FROM p
+    UNION ALL SELECT DISTINCT 'domain', array_to_string(string_split(host, '.')[-2:], '.') FROM p
+    UNION ALL SELECT DISTINCT 'folder', host || regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]+/)', 1) FROM p
+      WHERE regexp_extract(url, '^[a-z]+://[^/]+(/[a-z]+/)', 1) <> '')),
+entries AS (
+  SELECT pattern, 'block' AS action, DATE '2024-01-01' + (n % 300)::INTEGER AS dated FROM named WHERE kind = 'host' AND n % 3 = 0
+  UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + (n % 300 + 30 + n % 40)::INTEGER FROM named WHERE kind = 'host' AND n % 3 = 0
+  UNION ALL SELECT pattern, 'block', DATE '2024-01-01' + (200 + n % 100)::INTEGER FROM named WHERE kind = 'domain' AND n % 2 = 0
+  UNION ALL SELECT pattern, CASE WHEN n % 5 = 0 THEN 'block' ELSE 'allow' END, DATE '2024-01-01' + (n % 365)::INTEGER FROM named WHERE kind = 'folder' AND n % 5 < 2),
+one AS (SELECT pattern, dated, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS valid_to FROM one),
+found AS (
+  SELECT p.page_id, p.url, p.fetched_at, s.pattern, s.dated, s.action,
+         row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(s.pattern) DESC NULLS LAST) AS rank
+  FROM p LEFT JOIN spans s ON s.dated <= p.fetched_at AND (s.valid_to IS NULL OR p.fetched_at < s.valid_to)
+    AND (p.host = s.pattern OR ends_with(p.host, '.' || s.pattern)
+         OR starts_with(p.host || array_to_string(p.parts, '/'), s.pattern) AND s.pattern LIKE '%/'))
+SELECT page_id, url, fetched_at::VARCHAR AS fetched_at, pattern, dated::VARCHAR AS valid_from, coalesce(action = 'block', false) AS blocked
+FROM found WHERE rank = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_sharding, op5_simhash, op6_decontaminate, op7_lines, op8_suffixes)}
+    every = (op1_quality, op2_packing, op3_sharding, op4_hnsw, op5_simhash, op6_decontaminate, op7_lines, op8_suffixes, op9_html, op10_url_filters)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL can express the operator and runs it on whole tables."""
+    return {"op10_url_filters": _OP10_SQL}
