@@ -1 +1 @@
-
+"""Column functions: tokenizers, text helpers, vectors and scores."""

@@ -1 +1 @@
-
+"""Operators: each takes DataFrames and returns a DataFrame, lazily and without hidden writes."""
