@@ -64,27 +64,48 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
 
 
+def _read(fs, path) -> bytes:
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def read_tree(spark: SparkSession, root: str, rules: str | None = None, depth: int = 0, hidden: bool = False) -> DataFrame:
     """files: path, content, size, mtime_ms, depth. The root's .gitignore is read when no rules are given;
-    depth 0 is unlimited; hidden files too with hidden. A missing root is an empty table."""
+    depth 0 is unlimited; hidden files too with hidden. A missing root is an empty table.
+
+    Executors read the files, but for those with a name or folder that begins with an underscore (or with
+    a dot, when hidden): Spark's listing leaves these out, so the driver lists the tree and reads them.
+    """
     schema = "path string, content string, size long, mtime_ms long, depth int"
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = str(base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()).rstrip("/")
-    plain = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
-    files = raw.withColumn("path", F.substring(F.url_decode(F.regexp_replace(plain, r"\+", "%2B")), len(base) + 2, 1 << 20))
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    base = make(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return spark.createDataFrame([], schema)
+    top = fs.makeQualified(base).toUri().getPath().rstrip("/")
     if rules is None:
-        found = files.where("path = '.gitignore'").select(F.decode("content", "utf-8")).first()
-        rules = found[0] if found else ""
+        listed = make(f"{root.rstrip('/')}/.gitignore")
+        rules = _read(fs, listed).decode() if fs.exists(listed) else ""
+
+    special, walk = [], fs.listFiles(base, True)
+    while walk.hasNext():
+        status = walk.next()
+        path = status.getPath().toUri().getPath()[len(top) + 1 :]
+        if re.search(r"(?:^|/)_" if not hidden else r"(?:^|/)[_.]", path) and not any(x in IGNORED_NAMES for x in path.split("/")):
+            special.append((path, _read(fs, status.getPath()).decode("utf-8", "replace"), status.getLen(), status.getModificationTime()))
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+    files = raw.select(F.substring(F.url_decode(F.regexp_replace(plain, r"\+", "%2B")), len(top) + 2, 1 << 20).alias("path"), F.decode("content", "utf-8").alias("content"), F.col("length").alias("size"), F.unix_millis(F.col("modificationTime")).alias("mtime_ms"))
+    if special:
+        files = files.unionByName(spark.createDataFrame(special, "path string, content string, size long, mtime_ms long"))
     files = files if hidden else files.where(visible(F.col("path"), rules))
     level = F.size(F.split("path", "/")) - 1
     files = files.where(level < depth) if depth else files
-    return files.select("path", F.decode("content", "utf-8").alias("content"), F.col("length").alias("size"), F.unix_millis(F.col("modificationTime")).alias("mtime_ms"), level.cast("int").alias("depth"))
+    return files.withColumn("depth", level.cast("int"))
 
 
 def directories(files: DataFrame) -> DataFrame:
