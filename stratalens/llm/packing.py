@@ -112,7 +112,7 @@ class Packer:
     def __init__(self, window: int = WINDOW, pool: int = POOL, low: int = LOW) -> None:
         self.window, self.pool, self.low = window, pool, min(low, pool - 1)
         self.waiting: dict[int, list] = {}
-        self.size, self.sequences, self.out = 0, 0, []
+        self.size, self.tokens, self.sequences, self.out = 0, 0, 0, []
 
     def add(self, row, ids: bytes) -> None:
         whole = len(ids) // 4 // self.window * self.window
@@ -121,19 +121,20 @@ class Packer:
         if rest := ids[4 * whole :]:
             self._wait((row, whole, rest))
             if self.size >= self.pool:
-                while self.size > self.low:
+                while self.size > self.low and self.tokens >= self.window:
                     self._fill()
 
     def _wait(self, piece) -> None:
-        self.waiting.setdefault(len(piece[2]) // 4, []).append(piece)
-        self.size += 1
+        n = len(piece[2]) // 4
+        self.waiting.setdefault(n, []).append(piece)
+        self.size, self.tokens = self.size + 1, self.tokens + n
 
     def _take(self, n: int):
         pieces = self.waiting[n]
         piece = pieces.pop()
         if not pieces:
             del self.waiting[n]
-        self.size -= 1
+        self.size, self.tokens = self.size - 1, self.tokens - n
         return piece
 
     def _emit(self, pieces: list) -> None:
@@ -144,13 +145,14 @@ class Packer:
         self.sequences += 1
 
     def _fill(self) -> None:
-        """One window, opened by the longest waiting piece; a slack is filled by cutting a piece."""
+        """One full window, opened by the longest waiting piece; a slack is filled by cutting a piece. At
+        least a window of ids must be waiting."""
         pieces = [self._take(max(self.waiting))]
         room = self.window - len(pieces[0][2]) // 4
         for n, k in best_fill({n: len(p) for n, p in self.waiting.items()}, room).items():
             pieces += [self._take(n) for _ in range(k)]
             room -= n * k
-        if room and self.waiting:
+        if room:  # whatever waits is longer than the slack, or the fill would hold it
             row, start, ids = self._take(max(self.waiting))
             pieces.append((row, start, ids[: 4 * room]))
             self._wait((row, start + room, ids[4 * room :]))
@@ -158,11 +160,9 @@ class Packer:
 
     def close(self) -> None:
         """Fills windows while there is enough; then lengths of powers of two, longest first."""
-        left = sum(n * len(p) for n, p in self.waiting.items())
-        while left >= self.window:
+        while self.tokens >= self.window:
             self._fill()
-            left -= self.window
-        size, room, pieces = self.window, 0, []
+        left, size, room, pieces = self.tokens, self.window, 0, []
         while left or room:
             if not room:
                 while size > left:
