@@ -168,7 +168,6 @@ class Lines:
             if self.mark:
                 self.indent += " " * len(self.mark)
                 self.mark = ""
-            s = s.lstrip(" ")
         self.gap = 0
         self.now.append(s)
 
