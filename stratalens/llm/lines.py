@@ -6,7 +6,7 @@ allow. So each line is indexed under its segments and probes, for its own length
 max_edits less, the substrings at those positions. Keys are hashes of length, segment number and
 text. Candidates are verified on the texts by edit distance with a threshold (a banded computation).
 
-Only different lines enter the join, with all their copies aggregated before; lines shorter than
+Only different lines enter the join, each by its first occurrence; lines shorter than
 min_chars are compared exactly only. A line that links to a line first seen earlier is a repeat, as
 is each occurrence after a line's first.
 """
@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: Candidates' hashes are broadcast up to so many (8 bytes each).
+BROADCAST_LINES = 2_000_000
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, at: struct(doc_id, line_no), line) of each line that is not blank."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
-    return rows.select(F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"), F.struct("doc_id", "line_no").alias("at"), "line")
+def _named(df: DataFrame) -> DataFrame:
+    """Adds h1, h2, the two hashes that name the text of column line."""
+    return df.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line", F.length("line"))})
 
 
 def _starts(n: Column, k: int, edits: int) -> tuple[Column, Column]:
@@ -40,40 +42,57 @@ def _key(n: Column, k: int, piece: Column) -> Column:
     return F.xxhash64(n.cast("int"), F.lit(k), piece)
 
 
+def _piece(at: Column, size: Column) -> Column:
+    """Characters of column u, the line in four bytes a character, so that no piece needs a scan."""
+    return F.substring(F.col("u"), (at - 1) * 4 + 1, size * 4)
+
+
 def _index(edits: int) -> Column:
-    """Keys of a line's own segments."""
-    n, keys = F.length("line"), []
+    """Keys of a line's own segments; column n holds its length."""
+    n, keys = F.col("n"), []
     for k in range(edits + 1):
         at, size = _starts(n, k, edits)
-        keys.append(_key(n, k, F.substring(F.col("line"), at, size)))
+        keys.append(_key(n, k, _piece(at, size)))
     return F.array(*keys)
 
 
 def _probes(edits: int, min_chars: int) -> Column:
     """Keys of the substrings that may be segments of lines that are 0 to `edits` characters shorter."""
-    n, keys = F.length("line"), []
+    n, keys = F.col("n"), []
     for less in range(edits + 1):
         m = n - less
         for k in range(edits + 1):
             at, size = _starts(m, k, edits)
             # before segment k at most k edits; after it at most edits - k
             for move in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                keys.append(F.when((m >= min_chars) & (at + move >= 1) & (at + move + size - 1 <= n), _key(m, k, F.substring(F.col("line"), at + move, size))))
+                keys.append(F.when((m >= min_chars) & (at + move >= 1) & (at + move + size - 1 <= n), _key(m, k, _piece(at + move, size))))
     return F.array_compact(F.array(*keys))
 
 
 def similar_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """lines: (h1, h2, first, line), different lines. Each linked pair once: a1, a2, a_first, b1, b2, b_first, edits."""
+    """lines: doc_id, line_no, line; different lines. Each line that links to another: h1, h2, first
+    (struct of doc_id, line_no), near_first (the earliest of those it links to), n_links.
+
+    Only hashes are shuffled to find candidates. Texts are fetched for candidates alone: through a
+    broadcast of their hashes up to BROADCAST_LINES of them, by a shuffled join beyond.
+    """
     long = lines.where(F.length("line") >= min_chars)
-    index = long.select(F.col("h1").alias("a"), F.explode(_index(max_edits)).alias("key"))
-    probe = long.select(F.col("h1").alias("b"), F.explode(_probes(max_edits, min_chars)).alias("key"))
+    wide = long.select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("u"))
+    wide = wide.select("id", "u", (F.octet_length("u") / 4).cast("int").alias("n"))
+    index = wide.select(F.col("id").alias("a"), F.explode(_index(max_edits)).alias("key"))
+    probe = wide.select(F.col("id").alias("b"), F.explode(_probes(max_edits, min_chars)).alias("key"))
     pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = long.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
-    right = long.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
-    both = pairs.join(left, "a").join(right, "b")
-    edits = F.levenshtein("a_line", "b_line", max_edits)
-    both = both.withColumn("edits", edits).where("edits >= 0")
-    return both.select(F.col("a").alias("a1"), "a2", "a_first", F.col("b").alias("b1"), "b2", "b_first", "edits")
+    pairs = materialise(pairs, "line-pairs")
+    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+    texts = _named(long).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
+    texts = materialise(texts, "line-texts")
+    left, right = (texts.select(*(F.col(c).alias(f"{x}_{c}") for c in texts.columns)) for x in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_h1")).join(right, F.col("b") == F.col("b_h1"))
+    both = both.where(F.levenshtein("a_line", "b_line", max_edits) >= 0)
+    end = lambda x, y: F.struct(F.col(f"{x}_h1").alias("h1"), F.col(f"{x}_h2").alias("h2"), F.col(f"{x}_first").alias("first"), F.col(f"{y}_first").alias("other"))
+    ends = both.select(F.inline(F.array(end("a", "b"), end("b", "a"))))
+    return ends.groupBy("h1", "h2", "first").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
 
 
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,28 +105,32 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     different lines within max_edits edits. Null texts have no lines. Repeated rows of a doc_id are one
     document; an empty table gives no rows.
     """
-    seen = _occurrences(docs, id_col, text_col)
-    lines = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("line").alias("line"))
-    pairs = similar_lines(lines, max_edits, min_chars)
-    ends = F.array(
-        F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_first").alias("other")),
-        F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a_first").alias("other")),
-    )
-    linked = pairs.select(F.inline(ends)).groupBy("h1", "h2").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
-    firsts = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    marked = firsts.join(linked, ["h1", "h2"], "left").where("n > 1 or near_first < first")
-    marked = marked.select("h1", "h2", "first", "n_links", F.least("first", "near_first").alias("keeps"))
-    out = seen.select("h1", "h2", "at").join(marked, ["h1", "h2"]).where("at > keeps")
-    return out.select("at.doc_id", "at.line_no", F.col("keeps.doc_id").alias("first_doc_id"), F.col("keeps.line_no").alias("first_line_no"), (F.col("at") > F.col("first")).alias("exact"), F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
+    every = rows.select("doc_id", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    seen = materialise(_named(every).select("h1", "h2", F.struct("doc_id", "line_no").alias("at")), "lines")
+    firsts = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = materialise(seen.join(firsts, ["h1", "h2"]).where("at > first"), "later-lines")
+
+    # Of each line only its first occurrence goes on: the others' numbers, bounded by a document's lines, leave with it.
+    skip = later.groupBy("at.doc_id").agg(F.collect_set("at.line_no").alias("skip"))
+    left = rows.join(skip, "doc_id", "left")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("skip", F.array().cast("array<int>")))
+    once = left.where("parts is not null").select("doc_id", F.inline(F.transform(numbers, lambda i: F.struct(i.alias("line_no"), F.trim(F.get("parts", i)).alias("line")))))
+    linked = materialise(similar_lines(once.where("line <> ''"), max_edits, min_chars), "linked-lines")
+
+    again = later.join(linked.select("h1", "h2", "near_first", "n_links"), ["h1", "h2"], "left")
+    again = again.select("at", F.least("first", "near_first").alias("keeps"), F.lit(True).alias("exact"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    near = linked.where("near_first < first").select(F.col("first").alias("at"), F.col("near_first").alias("keeps"), F.lit(False).alias("exact"), "n_links")
+    out = again.unionByName(near).distinct()
+    return out.select("at.doc_id", "at.line_no", F.col("keeps.doc_id").alias("first_doc_id"), F.col("keeps.line_no").alias("first_line_no"), "exact", "n_links")
 
 
 def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows of docs, with its columns; repeated lines are cut out of text and n_chars follows."""
     gone = repeated_lines(docs, max_edits, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # bounded by the document's lines
-    gone = gone.withColumn("_gone", F.map_from_arrays("_gone", F.transform("_gone", lambda x: F.lit(True))))
     parts = F.split(F.col("text"), "\n")
-    left = F.filter(parts, lambda x, i: F.isnull(F.try_element_at(F.col("_gone"), i)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
     out = docs.join(gone, "doc_id", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
