@@ -30,7 +30,7 @@ def brute_links(rows):
     good = {}
     for i, v in rows:
         if v and all(c is not None and math.isfinite(c) for c in v) and any(v):
-            x = np.array(v, float)
+            x = np.array(v, float) / max(map(abs, v))
             good[i] = x / np.linalg.norm(x)
     near = {i: {j for j in good if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.9} if i in good else set() for i, _ in rows}
     root = {i: i for i, _ in rows}
