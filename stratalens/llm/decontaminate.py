@@ -20,48 +20,62 @@ LITERALS = 4
 COVERAGE, RUN = 0.5, 13
 #: The benchmark side is broadcast up to this many windows, else joined by shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Documents' windows are chosen by anchor words up to so many of these.
+ANCHORS = 50_000
 #: Unit words, in natural order.
 UNITS = "cm mm km kg mg ml lb lbs oz ft mph kmh kph mi hz khz mhz ghz kb mb gb tb percent dollars euros pounds cents meters metres miles inches feet hours minutes seconds days weeks months years grams kilograms liters litres degrees"
 #: Slot marks, from the private use area: name, number, unit.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 
 
-def words(text: Column) -> Column:
-    """Words of a text, lower-cased, signs dropped; a slot is its mark followed by its value.
+def canonical(text: Column) -> Column:
+    """The words of a text, lower-cased, parted by single spaces, signs dropped; a slot is its mark followed
+    by its value. A name is a capitalised word inside a sentence; a unit is a unit word after a number.
 
-    A name is a capitalised word inside a sentence; a unit is a unit word right after a number.
+    Each pattern begins with the character that is rarest in it, so it looks around at few places.
     """
     steps = (
-        (r"(?<=\p{N})[.,](?=\p{N})", ""),
-        (r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)", f"{NAME}$1"),
-        (r"(?<!\p{L})(\p{N}+)", f" {NUMBER}$1 "),
-        (rf"(?<=\p{{N}} {{1,3}})({UNITS.replace(' ', '|')}|%)(?!\p{{L}})", f"{UNIT}$1"),
+        (r"[.,](?<=\p{N}[.,])(?=\p{N})", ""),
+        (r" (?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)", f" {NAME}$1"),
+        (r"(\p{N})(?<!\p{L}\p{N})(\p{N}*)", f" {NUMBER}$1$2 "),
+        (rf"({NUMBER}\p{{N}}+ {{1,3}})({UNITS.replace(' ', '|')}|%)(?!\p{{L}})", f"$1{UNIT}$2"),
     )
     t = reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.coalesce(text.cast("string"), F.lit("")))
-    t = F.trim(F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}%{NAME}{NUMBER}{UNIT}]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.trim(F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}%{NAME}{NUMBER}{UNIT}]+", " "))
 
 
 def _slot(w: Column) -> Column:
     return F.substring(w, 1, 1).between(NAME, UNIT)
 
 
-def _windows(tokens: str, size: int) -> Column:
-    """Array of (hash, slots) of each window; slots are the values joined by a space."""
-    raw, form = F.col(tokens), F.col(f"{tokens}_form")
+def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, form): canonical text, and its template's words."""
+    t = df.select(F.col(id_col).cast("long").alias("id"), canonical(F.col(text_col)).alias("t"))
+    return t.select("id", "t", F.split(F.regexp_replace("t", rf"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1"), " ").alias("form"))
 
-    def window(i: Column) -> Column:
-        parts = F.slice(form, i, F.least(F.lit(size), F.size(form)))
-        values = F.when(F.forall(parts, lambda w: ~_slot(w)), F.lit("")).otherwise(F.array_join(F.filter(F.slice(raw, i, size), _slot), " "))
-        return F.struct(F.xxhash64(parts).alias("h"), values.alias("slots"))
 
-    last = F.greatest(F.size(form) - size + 1, F.lit(1))
-    return F.when(F.size(form) >= LEAST, F.transform(F.sequence(F.lit(1), last), window))
+def _window(i: Column, size: int) -> Column:
+    """(pos, hash, slots) of the window that starts at place i (from 0); slots are its values, joined by a space."""
+    form = F.slice("form", i + 1, size)
+    # Only a window that names a slot looks at the canonical text again.
+    has = F.arrays_overlap(form, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
+    values = F.array_join(F.filter(F.slice(F.split("t", " "), i + 1, size), _slot), " ")
+    return F.struct(i.alias("pos"), F.xxhash64(form).alias("h"), F.when(has, values).otherwise("").alias("slots"))
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = df.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("t"))
-    return t.select("id", "t", F.transform("t", lambda w: F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w)).alias("t_form"))
+def _starts(size: int, anchors: list[str] | None) -> Column:
+    """Places where a window starts: all of them, or those of windows that hold an anchor word."""
+    last = F.size("form") - size
+    every = F.sequence(F.lit(0), last)
+    if anchors is None:
+        return F.when(last >= 0, every)
+    at = F.filter(F.sequence(F.lit(0), F.size("form") - 1), lambda i: F.get("form", i).isin(anchors))
+    near = F.transform(at, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.greatest(F.least(i, last), F.greatest(i - (size - 1), F.lit(0)))))
+    return F.when(last >= 0, F.filter(F.array_distinct(F.flatten(near)), lambda i: i <= last))
+
+
+def _of(size: int):
+    return lambda i: _window(i, size)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -72,22 +86,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
     Items of fewer than LEAST words, and null or empty texts on either side, match nothing. Repeated
     rows of a document count once. Windows with fewer than LITERALS words outside slots are not used;
     an item without any usable window matches nothing.
+
+    A document's windows are made where a word stands that is the longest of some benchmark window:
+    every match holds such a word. With more than ANCHORS of these, all windows are made.
     """
-    items = _tokens(benchmark, item_col, text_col).where(F.size("t") >= LEAST).dropDuplicates(["id", "t"])
-    items = items.select("id", F.posexplode(_windows("t", WINDOW)).alias("ipos", "w"), F.size("t").alias("n_words"), "t_form")
-    literal = F.size(F.filter(F.slice("t_form", F.col("ipos") + 1, WINDOW), lambda w: ~_slot(w))) >= LITERALS
-    items = items.where(literal).select(F.col("id").alias("item_id"), "ipos", "n_words", F.col("w.h").alias("h"), F.col("w.slots").alias("item_slots"))
+    items = _tokens(benchmark, item_col, text_col).where(F.size("form") >= LEAST).dropDuplicates(["id", "t"]).withColumn("n_words", F.size("form"))
+    size = F.least(F.col("n_words"), F.lit(WINDOW))
+    items = items.withColumn("size", size)
+    parts = [items.where(F.col("size") == n).select("id", "size", "n_words", F.inline(F.transform(_starts(n, None), _of(n))), "form") for n in range(LEAST, WINDOW + 1)]
+    items = reduce(DataFrame.unionByName, parts)
+    literals = F.filter(F.slice("form", F.col("pos") + 1, F.col("size")), lambda w: ~_slot(w))
+    items = items.withColumn("literals", literals).where(F.size("literals") >= LITERALS)
+    longest = F.array_max(F.transform("literals", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
+    items = items.select(F.col("id").alias("item_id"), "size", F.col("pos").alias("ipos"), "n_words", "h", F.col("slots").alias("item_slots"), longest.alias("anchor"))
     totals = items.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
-    few = items.count() <= BROADCAST_WINDOWS
-    near = F.broadcast if few else (lambda df: df)
+    near = F.broadcast if items.count() <= BROADCAST_WINDOWS else (lambda df: df)
 
-    lengths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(WINDOW)).alias("n")).distinct().collect())  # at most WINDOW values
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
+    words = [r[0] for r in items.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    anchors = sorted(words) if len(words) <= ANCHORS else None
     tokens = _tokens(docs, doc_col, text_col)
     hits = None
-    for n in lengths or [WINDOW]:
-        found = tokens.select(F.col("id").alias("doc_id"), F.posexplode(_windows("t", n)).alias("pos", "w")).select("doc_id", "pos", "w.h", "w.slots")
-        side = items.where(F.least("n_words", F.lit(WINDOW)) == n)
-        got = found.join(near(side), "h")
+    for n in sizes or [WINDOW]:
+        found = tokens.select(F.col("id").alias("doc_id"), F.inline(F.transform(_starts(n, anchors), _of(n))))
+        got = found.join(near(items.where(F.col("size") == n).drop("size", "anchor")), "h")
         hits = got if hits is None else hits.unionByName(got)
 
     pairs = F.when(F.col("slots") == "", F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
