@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from ..functions.vectors import array_of, cosine, norm
+from ..functions.vectors import array_of, bind, cosine, norm
 
 MAX_CLUSTERS, MAX_ROUNDS, LEAF, DEPTH = 20, 20, 20, 3
 
@@ -81,39 +82,78 @@ def centroids(items: DataFrame, cluster_col: str = "cluster", vector_col: str =
     return means.select(cluster_col, "pos", F.when(total > 0, F.col("value") / total).otherwise(0.0).alias("value"))
 
 
-def farthest_first(items: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> list[list[float]]:
-    """Seeds for a large set, one small aggregation a seed: the row whose nearest seed is farthest."""
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def farthest_first(items: DataFrame, k: int, id_col: str = "id", vector_col: str = "v") -> list[list[float]]:
+    """Seeds for a large set of unit vectors: the row whose nearest seed is farthest, the least id winning
+    ties. One pass a seed; each task gives back one row."""
     first = items.orderBy(id_col).select(vector_col).first()
     if first is None:
         return []
     seeds = [list(map(float, first[0]))]
+    kind = dict(items.dtypes)[id_col]
     while len(seeds) < k:
-        gap = 1 - F.greatest(*(cosine(F.col(vector_col), array_of(s)) for s in seeds), F.lit(-2.0))
-        far = items.select(gap.alias("gap"), vector_col, id_col).orderBy(F.desc("gap"), id_col).first()
-        if far["gap"] <= 1e-10:
+        have = np.array(seeds)
+
+        def far(batches: Iterator[pd.DataFrame], have: np.ndarray = have) -> Iterator[pd.DataFrame]:
+            best = None
+            for b in batches:
+                if len(b):
+                    gap = (1 - (_matrix(b[vector_col]) @ have.T).max(1)).round(12)
+                    top = b[gap == gap.max()].nsmallest(1, id_col).assign(gap=gap.max())
+                    if best is None or (top["gap"].iloc[0], best[id_col].iloc[0]) > (best["gap"].iloc[0], top[id_col].iloc[0]):
+                        best = top
+            if best is not None:
+                yield best[["gap", id_col, vector_col]]
+
+        rows = items.select(id_col, vector_col).mapInPandas(far, f"gap double, `{id_col}` {kind}, `{vector_col}` array<double>").collect()
+        best = min(rows, key=lambda r: (-r["gap"], r[id_col]))
+        if best["gap"] <= 1e-10:
             break
-        seeds.append(list(map(float, far[vector_col])))
+        seeds.append(list(map(float, best[vector_col])))
     return seeds
 
 
 def kmeans(items: DataFrame, most: int = MAX_CLUSTERS, rounds: int = MAX_ROUNDS, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The distributed form: the same seeds, assignments and means, summed in another order. The driver
-    holds only the centers, at most `most` of them."""
+    """(id, cluster, score). The distributed form: the same seeds, assignments and means as cluster_array,
+    summed in another order. A round is one pass; each task gives back the sums of its clusters, so the
+    driver holds at most `most` rows of each task."""
     n = items.count()
     if n <= max(1, most):
         rank = F.row_number().over(Window.orderBy(id_col)) - 1  # at most `most` rows
         return items.select(id_col, rank.cast("int").alias("cluster"), F.lit(1.0).alias("score"))
-    length = norm(F.col(vector_col))
-    unit = items.select(id_col, F.when(length > 0, F.transform(vector_col, lambda v: v.cast("double") / length)).otherwise(F.transform(vector_col, lambda v: F.lit(0.0))).alias("v"))
-    centers, before = farthest_first(unit, cluster_count(n, most), id_col, "v"), None
+    kind = dict(items.dtypes)[id_col]
+    unit = items.select(id_col, bind(F.transform(vector_col, lambda v: v.cast("double")), lambda r: bind(norm(r), lambda x: F.transform(r, lambda v: F.coalesce(F.try_divide(v, x), F.lit(0.0))))).alias("v")).persist()
+    centers = np.array(farthest_first(unit, cluster_count(n, most), id_col))
     for _ in range(rounds):
-        labelled = unit.select(id_col, "v").join(assign(unit, centers, id_col, "v").drop("score"), id_col)
-        rows = centroids(labelled, "cluster", "v").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("c")).orderBy("cluster").collect()
-        centers = [[x.value for x in r.c] for r in rows]
-        if before is not None and len(before) == len(centers) and np.allclose(before, centers, atol=1e-12):
+
+        def sums(batches: Iterator[pd.DataFrame], centers: np.ndarray = centers) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = _matrix(b["v"])
+                    label = (x @ centers.T).argmax(1)
+                    for c in np.unique(label):
+                        yield pd.DataFrame({"cluster": [int(c)], "n": [int((label == c).sum())], "first": [b[id_col][label == c].min()], "total": [x[label == c].sum(0).tolist()]})
+
+        rows = unit.mapInPandas(sums, f"cluster int, n long, first {kind}, total array<double>").collect()
+        order = sorted({r["cluster"] for r in rows}, key=lambda c: min(r["first"] for r in rows if r["cluster"] == c))
+        total = np.stack([np.sum([r["total"] for r in rows if r["cluster"] == c], axis=0) for c in order])
+        size = np.linalg.norm(total, axis=1, keepdims=True)  # the mean's direction is the sum's
+        new = total / np.where(size > 0, size, 1)
+        done = new.shape == centers.shape and np.allclose(new, centers, atol=1e-12)
+        centers = new
+        if done:
             break
-        before = centers
-    return assign(unit, centers, id_col, "v")
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                sims = _matrix(b["v"]) @ centers.T
+                yield pd.DataFrame({id_col: b[id_col], "cluster": sims.argmax(1).astype("int32"), "score": sims.max(1)})
+
+    return unit.mapInPandas(told, f"`{id_col}` {kind}, cluster int, score double")
 
 
 def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
