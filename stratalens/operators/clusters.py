@@ -1,4 +1,4 @@
-"""Clusters of vectors: the reference loop on one group, its distributed form, hierarchy and hubs' suggestions."""
+"""Clusters of vectors: the exact loop on one group, its distributed form, hierarchy and hubs' suggestions."""
 
 from __future__ import annotations
 

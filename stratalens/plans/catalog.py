@@ -782,3 +782,43 @@ def watch_plan(spark, sf):
 @query("SELECT stage, needs FROM (VALUES ('bootstrap', ''), ('file-search', 'bootstrap'), ('identifier-search', 'bootstrap,file-search'), ('full-artifacts', 'bootstrap,file-search,identifier-search')) v(stage, needs)")
 def generation_stages(spark, sf):
     return spark.createDataFrame([(k, ",".join(v[0])) for k, v in generations.STAGES.items()], "stage string, needs string")
+
+
+# Structure of source lines
+
+
+def _code(spark: SparkSession, sf: str, body) -> DataFrame:
+    """Parts as TypeScript files of one line each."""
+    return t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("typescript").alias("lang"), F.lit(1).alias("line"), body.alias("text"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, './' || p_brand AS source, array_to_string(string_split(p_name, ' '), ',') AS names FROM part")
+def extract_imports(spark, sf):
+    body = F.concat(F.lit("import { "), F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit(" } from './"), "p_brand", F.lit("'"))
+    return structure.imports(_code(spark, sf, body)).select("path", "source", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, split_part(p_name, ' ', 1) AS name, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM part")
+def extract_exports(spark, sf):
+    body = F.concat(F.lit("export "), F.when(F.col("p_size") % 2 == 0, "function ").otherwise("class "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" {"))
+    return structure.exports(_code(spark, sf, body)).select("path", "name", "kind")
+
+
+@query("SELECT p_partkey::VARCHAR AS path, 'f' || p_size AS caller, unnest(['f' || p_size, 'w' || split_part(p_name, ' ', 1), 'w' || split_part(p_name, ' ', 2)]) AS callee FROM part")
+def extract_calls(spark, sf):
+    body = F.concat(F.lit("function f"), F.col("p_size").cast("string"), F.lit("(x) { if (x) return w"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(w"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" (x)) }"))
+    return structure.calls(_code(spark, sf, body)).select("path", "caller", "callee")
+
+
+@query("""WITH c AS (SELECT l_partkey AS path, l_linenumber::INTEGER AS added, l_suppkey::INTEGER AS removed FROM lineitem)
+SELECT p_name AS path, p_brand AS code, coalesce(sum(added), 0)::BIGINT AS added, coalesce(sum(removed), 0)::BIGINT AS removed FROM part LEFT JOIN c ON c.path = p_partkey GROUP BY p_partkey, p_name, p_brand""")
+def status_numstat(spark, sf):
+    c = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum(F.col("l_linenumber").cast("int")).alias("added"), F.sum(F.col("l_suppkey").cast("int")).alias("removed"))
+    return t(spark, sf, "part").join(c, "p_partkey", "full_outer").fillna(0, ["added", "removed"]).select(F.col("p_name").alias("path"), F.col("p_brand").alias("code"), "added", "removed")
+
+
+@query()
+def cluster_hierarchy(spark, sf):
+    e = t(spark, sf, "embeddings")
+    items = e.select(F.format_string("g%d/v%d", "label", "vec_id").alias("path"), F.col("embedding").alias("vector"))
+    return clusters.hierarchy(items)
