@@ -13,7 +13,7 @@ is each occurrence after a line's first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -79,19 +79,23 @@ def similar_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     long = lines.where(F.length("line") >= min_chars)
     wide = long.select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("u"))
     wide = wide.select("id", "u", (F.octet_length("u") / 4).cast("int").alias("n"))
-    index = wide.select(F.col("id").alias("a"), F.explode(_index(max_edits)).alias("key"))
-    probe = wide.select(F.col("id").alias("b"), F.explode(_probes(max_edits, min_chars)).alias("key"))
-    pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
+    rows = wide.select("id", F.explode(_index(max_edits)).alias("key"), F.lit(0).alias("side")).unionByName(wide.select("id", F.explode(_probes(max_edits, min_chars)).alias("key"), F.lit(1).alias("side")))
+    # Rows of keys that a segment and a probe, and different lines, share: one pass over each key, no pair is made here.
+    of_key = Window.partitionBy("key")
+    spans = rows.select(F.col("id").alias("h1"), "key", "side", F.min("id").over(of_key).alias("least"), F.max("id").over(of_key).alias("most"), F.min("side").over(of_key).alias("segment"), F.max("side").over(of_key).alias("probe"))
+    active = materialise(spans.where("least <> most and segment = 0 and probe = 1").select("h1", "key", "side").distinct(), "line-keys")
+    wanted = active.select("h1").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     texts = _named(long).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
     texts = materialise(texts, "line-texts")
-    left, right = (texts.select(*(F.col(c).alias(f"{x}_{c}") for c in texts.columns)) for x in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_h1")).join(right, F.col("b") == F.col("b_h1"))
-    both = both.where(F.levenshtein("a_line", "b_line", max_edits) >= 0)
-    end = lambda x, y: F.struct(F.col(f"{x}_h1").alias("h1"), F.col(f"{x}_h2").alias("h2"), F.col(f"{x}_first").alias("first"), F.col(f"{y}_first").alias("other"))
-    ends = both.select(F.inline(F.array(end("a", "b"), end("b", "a"))))
+    # Verified inside the join: it gives out links only, whatever the size of a key's group.
+    told = active.join(texts, "h1")
+    left, right = (told.where(F.col("side") == i).select(*(F.col(c).alias(f"{x}_{c}") for c in told.columns if c != "side")) for i, x in enumerate("ab"))
+    linked = (F.col("a_key") == F.col("b_key")) & (F.col("a_h1") != F.col("b_h1")) & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
+    ends_of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("h1", "h2", "first")))
+    swap = F.col("a_h1") > F.col("b_h1")
+    both = left.join(right, linked).select(F.when(swap, ends_of("b")).otherwise(ends_of("a")).alias("a"), F.when(swap, ends_of("a")).otherwise(ends_of("b")).alias("b")).distinct()
+    ends = both.select(F.inline(F.array(F.struct("a.*", F.col("b.first").alias("other")), F.struct("b.*", F.col("a.first").alias("other")))))
     return ends.groupBy("h1", "h2", "first").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
 
 
