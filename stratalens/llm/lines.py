@@ -69,31 +69,34 @@ def _probes(edits: int, min_chars: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def similar_lines(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """lines: doc_id, line_no, line; different lines. Each line that links to another: h1, h2, first
-    (struct of doc_id, line_no), near_first (the earliest of those it links to), n_links.
+def similar_lines(lines: DataFrame, every: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """lines: line; each different line once. every: doc_id, line_no, line; all occurrences. Each line that
+    links to another: h1, h2, first (struct of doc_id, line_no), near_first (the earliest of those it
+    links to), n_links.
 
     Only hashes are shuffled to find candidates. Texts are fetched for candidates alone: through a
     broadcast of their hashes up to BROADCAST_LINES of them, by a shuffled join beyond.
     """
-    long = lines.where(F.length("line") >= min_chars)
-    wide = long.select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("u"))
+    name = lambda c: F.xxhash64(c).bitwiseAND(F.lit(-2))  # noqa: E731  the lowest bit is free for the side: 0 segment, 1 probe
+    wide = lines.where(F.length("line") >= min_chars).select(name("line").alias("id"), F.encode("line", "UTF-32").alias("u"))
     wide = wide.select("id", "u", (F.octet_length("u") / 4).cast("int").alias("n"))
-    rows = wide.select("id", F.explode(_index(max_edits)).alias("key"), F.lit(0).alias("side")).unionByName(wide.select("id", F.explode(_probes(max_edits, min_chars)).alias("key"), F.lit(1).alias("side")))
+    rows = wide.select("id", F.explode(_index(max_edits)).alias("key")).unionByName(wide.select((F.col("id") + 1).alias("id"), F.explode(_probes(max_edits, min_chars)).alias("key")))
     # Rows of keys that a segment and a probe, and different lines, share: one pass over each key, no pair is made here.
     of_key = Window.partitionBy("key")
-    spans = rows.select(F.col("id").alias("h1"), "key", "side", F.min("id").over(of_key).alias("least"), F.max("id").over(of_key).alias("most"), F.min("side").over(of_key).alias("segment"), F.max("side").over(of_key).alias("probe"))
-    active = materialise(spans.where("least <> most and segment = 0 and probe = 1").select("h1", "key", "side").distinct(), "line-keys")
-    wanted = active.select("h1").distinct()
+    line, side = F.col("id").bitwiseAND(F.lit(-2)), F.col("id").bitwiseAND(F.lit(1))
+    spans = rows.select(line.alias("name"), "key", side.cast("int").alias("side"), F.min(line).over(of_key).alias("least"), F.max(line).over(of_key).alias("most"), F.min(side).over(of_key).alias("segment"), F.max(side).over(of_key).alias("probe"))
+    active = materialise(spans.where("least <> most and segment = 0 and probe = 1").select("name", "key", "side").distinct(), "line-keys")
+    wanted = active.select("name").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = _named(long).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
+    found = _named(every.where(F.length("line") >= min_chars)).withColumn("name", name("line")).join(wanted, "name", "left_semi")
+    texts = found.groupBy("name", "h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
     texts = materialise(texts, "line-texts")
     # Verified inside the join: it gives out links only, whatever the size of a key's group.
-    told = active.join(texts, "h1")
+    told = active.join(texts, "name").drop("name")
     left, right = (told.where(F.col("side") == i).select(*(F.col(c).alias(f"{x}_{c}") for c in told.columns if c != "side")) for i, x in enumerate("ab"))
-    linked = (F.col("a_key") == F.col("b_key")) & (F.col("a_h1") != F.col("b_h1")) & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
+    linked = (F.col("a_key") == F.col("b_key")) & ((F.col("a_h1") != F.col("b_h1")) | (F.col("a_h2") != F.col("b_h2"))) & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
     ends_of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("h1", "h2", "first")))
-    swap = F.col("a_h1") > F.col("b_h1")
+    swap = F.struct("a_h1", "a_h2") > F.struct("b_h1", "b_h2")
     both = left.join(right, linked).select(F.when(swap, ends_of("b")).otherwise(ends_of("a")).alias("a"), F.when(swap, ends_of("a")).otherwise(ends_of("b")).alias("b")).distinct()
     ends = both.select(F.inline(F.array(F.struct("a.*", F.col("b.first").alias("other")), F.struct("b.*", F.col("a.first").alias("other")))))
     return ends.groupBy("h1", "h2", "first").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
@@ -120,7 +123,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     left = rows.join(skip, "doc_id", "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("skip", F.array().cast("array<int>")))
     once = left.where("parts is not null").select("doc_id", F.inline(F.transform(numbers, lambda i: F.struct(i.alias("line_no"), F.trim(F.get("parts", i)).alias("line")))))
-    linked = materialise(similar_lines(once.where("line <> ''"), max_edits, min_chars), "linked-lines")
+    linked = materialise(similar_lines(once.where("line <> ''"), every, max_edits, min_chars), "linked-lines")
 
     again = later.join(linked.select("h1", "h2", "near_first", "n_links"), ["h1", "h2"], "left")
     again = again.select("at", F.least("first", "near_first").alias("keeps"), F.lit(True).alias("exact"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
