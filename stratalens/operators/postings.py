@@ -64,7 +64,7 @@ def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.unionByName(whole)
 
 
-def chunk_text(c: str = "") -> Column:
+def chunk_text() -> Column:
     """Lexical text of a chunk; a fallback chunk leaves its content out."""
     full = F.concat_ws(" ", "path", "header", "name", "kind", "signature", F.array_join("symbol_path", " "), "content")
     return F.trim(F.when(F.col("chunk_type") == "file-fallback", F.concat_ws(" ", "path", "header", "kind", "signature")).otherwise(full))
