@@ -78,6 +78,12 @@ def _of(size: int):
     return lambda i: _window(i, size)
 
 
+def _longest(at: Column) -> Column:
+    """Length of the longest stretch of consecutive numbers in a sorted array of different ones."""
+    step = lambda s, i: F.struct(i.alias("to"), F.when(i == s.to + 1, s.n + 1).otherwise(1).alias("n"), F.greatest(s.best, F.when(i == s.to + 1, s.n + 1).otherwise(1)).alias("best"))
+    return F.aggregate(at, F.struct(F.lit(-2).alias("to"), F.lit(0).alias("n"), F.lit(0).alias("best")), step, lambda s: s.best)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_windows (of the item, different),
     item_windows, coverage, run (longest stretch of the item's words, by matched windows in one
@@ -116,10 +122,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
     aligned = (
         hits.withColumn("pairs", pairs)
         .groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-        .agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.countDistinct("ipos").alias("n"), F.first("n_words").alias("n_words"))
+        .agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_sort(F.collect_set("ipos")).alias("at"), F.first("n_words").alias("n_words"))
     )  # every array here is bounded by one item's words
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))))
-    run = F.when(F.col("n") == F.col("last") - F.col("first") + 1, F.least(F.col("n") + WINDOW - 1, F.col("n_words"))).otherwise(F.lit(0))
+    run = F.least(_longest(F.col("at")) + WINDOW - 1, F.col("n_words"))
     changed = F.size(F.filter("pairs", lambda p: p.a != p.b))
     held = (
         aligned.where(one_to_one)

@@ -348,6 +348,14 @@ def test_contamination_query(spark, sf, texts):
     assert want and got == want
 
 
+def test_contamination_run_beside_a_changed_word(spark, make):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    part = [*words[:20], "other", *words[21:31]]
+    got = contamination(make([(10, " ".join(part)), (11, " ".join(words[:12]))]), bench).collect()
+    assert [(r.doc_id, r.n_windows, r.item_windows, r.run) for r in got] == [(10, 16, 52, 20)]
+
+
 # Suffixes
 
 
