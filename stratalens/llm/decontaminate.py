@@ -2,7 +2,8 @@
 
 Numbers, units and names become typed slots, so a re-parameterised question keeps its template.
 Windows of template words are hash-joined with those of the benchmark; then the slots that hits on
-one alignment fill must be consistent: equal values stay equal and different ones different.
+one alignment fill must be consistent: equal values stay equal and different ones different. Where they
+are not, windows with the item's own values count, and each stretch that is consistent by itself.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BROADCAST_WINDOWS = 500_000
 ANCHORS = 50_000
 #: Unit words, in natural order.
 UNITS = "cm mm km kg mg ml lb lbs oz ft mph kmh kph mi hz khz mhz ghz kb mb gb tb percent dollars euros pounds cents meters metres miles inches feet hours minutes seconds days weeks months years grams kilograms liters litres degrees"
+#: Values of an item's slots (a) and of a document's (b).
+PAIRS = "array<struct<a:string,b:string>>"
 #: Slot marks, from the private use area: name, number, unit.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 
@@ -84,6 +87,42 @@ def _longest(at: Column) -> Column:
     return F.aggregate(at, F.struct(F.lit(-2).alias("to"), F.lit(0).alias("n"), F.lit(0).alias("best")), step, lambda s: s.best)
 
 
+def _clash(p: Column, q: Column) -> Column:
+    """Whether two arrays of (a, b) give equal values different ones, or different values equal ones."""
+    return F.exists(p, lambda x: F.exists(q, lambda y: (x.a == y.a) != (x.b == y.b)))
+
+
+def _pairs(ws: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(ws, lambda w: w.pairs)))
+
+
+def _consistent(ws: Column) -> Column:
+    """Sets of windows whose slots map one to one, of an alignment's windows sorted by place: all of them, where
+    that holds; else the literal ones, and each longest stretch that holds, with the literal ones that fit it."""
+    none = F.filter(ws, lambda w: F.lit(False))
+
+    def step(s: Column, w: Column) -> Column:
+        last = F.array_max(F.transform(F.filter(s.now, lambda x: _clash(x.pairs, w.pairs)), lambda x: x.ipos))
+        kept = F.filter(s.now, lambda x: last.isNull() | (x.ipos > last))
+        return F.struct(F.concat(kept, F.array(w)).alias("now"), F.when(last.isNull(), s.done).otherwise(F.concat(s.done, F.array(s.now))).alias("done"))
+
+    stretches = F.aggregate(ws, F.struct(none.alias("now"), F.slice(F.array(none), 1, 0).alias("done")), step, lambda s: F.concat(s.done, F.array(s.now)))
+    literal = F.filter(ws, lambda w: ~F.exists(w.pairs, lambda p: p.a != p.b))
+    more = F.transform(stretches, lambda s: F.array_union(s, F.filter(literal, lambda w: ~_clash(w.pairs, _pairs(s)))))
+    every = _pairs(ws)
+    return F.when(~_clash(every, every), F.array(ws)).otherwise(F.concat(F.array(literal), more))
+
+
+def _evidence(ws: Column, n_words: Column, parted: Column) -> Column:
+    """(n, hs, run, n_slots, changed) of a consistent set. Where an alignment is parted into several, the slots that
+    changed are no evidence among the words of the run."""
+    hs = F.array_distinct(F.transform(ws, lambda w: w.h))
+    changed = F.size(F.filter(_pairs(ws), lambda p: p.a != p.b))
+    run = F.least(_longest(F.array_sort(F.array_distinct(F.transform(ws, lambda w: w.ipos)))) + WINDOW - 1, n_words)
+    run = F.when(F.size(ws) == 0, 0).otherwise(F.when(parted, run - changed).otherwise(run))
+    return F.struct(F.size(hs).alias("n"), hs.alias("hs"), run.alias("run"), F.size(_pairs(ws)).alias("n_slots"), changed.alias("changed"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_windows (of the item, different),
     item_windows, coverage, run (longest stretch of the item's words, by matched windows in one
@@ -118,20 +157,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
         got = found.join(near(items.where(F.col("size") == n).drop("size", "anchor")), "h")
         hits = got if hits is None else hits.unionByName(got)
 
-    pairs = F.when(F.col("slots") == "", F.array().cast("array<struct<a:string,b:string>>")).otherwise(F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    aligned = (
-        hits.withColumn("pairs", pairs)
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-        .agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_sort(F.collect_set("ipos")).alias("at"), F.first("n_words").alias("n_words"))
-    )  # every array here is bounded by one item's words
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.b))))
-    run = F.least(_longest(F.col("at")) + WINDOW - 1, F.col("n_words"))
-    changed = F.size(F.filter("pairs", lambda p: p.a != p.b))
+    pairs = F.when(F.col("slots") == "", F.array().cast(PAIRS)).otherwise(F.array_distinct(F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    window = F.struct("ipos", "h", pairs.alias("pairs"))
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set(window)).alias("ws"), F.first("n_words").alias("n_words"))  # bounded by one item's words
+    judged = aligned.withColumn("sets", _consistent(F.filter("ws", lambda w: ~_clash(w.pairs, w.pairs))))
+    sets = F.transform("sets", lambda s: _evidence(s, F.col("n_words"), F.size("sets") > 1))
     held = (
-        aligned.where(one_to_one)
-        .withColumns({"run": run, "changed": changed, "n_slots": F.size("pairs")})
+        judged.select("doc_id", "item_id", sets.alias("sets"))
+        .select("doc_id", "item_id", F.array_max("sets").alias("best"), F.array_max(F.transform("sets", lambda s: s.run)).alias("run"))
         .groupBy("doc_id", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("hs")))).alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"), F.max("changed").alias("changed"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("best.hs")))).alias("n_windows"), F.max("run").alias("run"), F.max("best.n_slots").alias("n_slots"), F.max("best.changed").alias("changed"))
         .join(near(totals), "item_id")
     )
     coverage = F.round(F.col("n_windows") / F.col("item_windows"), 4)

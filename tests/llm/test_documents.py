@@ -356,6 +356,19 @@ def test_contamination_run_beside_a_changed_word(spark, make):
     assert [(r.doc_id, r.n_windows, r.item_windows, r.run) for r in got] == [(10, 16, 52, 20)]
 
 
+def test_contamination_with_slots_at_odds(spark, make):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+
+    def text(**at):
+        return " ".join(at.get(f"i{i}", w) for i, w in enumerate(words))
+
+    bench = spark.createDataFrame([(1, text(i10="3", i30="3")), (2, text(i5="6", i33="7").replace("w", "v"))], "item_id long, text string")
+    docs = [(10, text(i10="3", i30="4")), (11, text(i5="5", i33="5").replace("w", "v")), (12, text(i10="3", i30="3"))]
+    got = {(r.doc_id, r.item_id): r for r in contamination(make(docs), bench).collect()}
+    assert set(got) == {(10, 1), (11, 2), (12, 1)}
+    assert (got[10, 1].n_windows, got[10, 1].run) == (25, 30) and got[11, 2].run == 33 and got[12, 1].coverage == 1
+
+
 # Suffixes
 
 
