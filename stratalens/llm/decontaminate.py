@@ -1,21 +1,22 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
 Numbers, units and names become typed slots, so a re-parameterised question keeps its template.
-Windows of template words are hash-joined with those of the benchmark; then the slots that hits on
+Windows of words, and of template words, are hash-joined with those of the benchmark; then the slots that hits on
 one alignment fill must be consistent: equal values stay equal and different ones different. Where they
 are not, windows with the item's own values count, and each stretch that is consistent by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window; shorter items are one window each, if they have at least LEAST words.
+#: Words of a window; shorter items are one window each, by their template if they have at least LEAST words.
 WINDOW, LEAST = 8, 5
-#: A window needs so many words that are not slots.
+#: A template window needs so many words that are not slots.
 LITERALS = 4
 #: Share of an item's windows that a document must hold, or the run of its words.
 COVERAGE, RUN = 0.5, 13
@@ -52,35 +53,60 @@ def _slot(w: Column) -> Column:
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, form): canonical text, and its template's words."""
-    t = df.select(F.col(id_col).cast("long").alias("id"), canonical(F.col(text_col)).alias("t"))
-    return t.select("id", "t", F.split(F.regexp_replace("t", rf"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1"), " ").alias("form"))
+    """(id, t, words, form): canonical text, its words without marks, and its template's words, at the same places."""
+    t = df.select(F.col(id_col).cast("long").alias("id"), canonical(F.col(text_col)).alias("t")).where("t <> ''")
+    form = F.split(F.regexp_replace("t", rf"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1"), " ")
+    return t.select("id", "t", F.split(F.regexp_replace("t", rf"[{NAME}{NUMBER}{UNIT}]", ""), " ").alias("words"), form.alias("form"))
 
 
 def _window(i: Column, size: int) -> Column:
-    """(pos, hash, slots) of the window that starts at place i (from 0); slots are its values, joined by a space."""
+    """(pos, hash, slots) of the template window that starts at place i (from 0); slots are its values, joined by a space."""
     form = F.slice("form", i + 1, size)
-    # Only a window that names a slot looks at the canonical text again.
-    has = F.arrays_overlap(form, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
-    values = F.array_join(F.filter(F.slice(F.split("t", " "), i + 1, size), _slot), " ")
-    return F.struct(i.alias("pos"), F.xxhash64(form).alias("h"), F.when(has, values).otherwise("").alias("slots"))
+    return F.struct(i.alias("pos"), F.xxhash64(form).alias("h"), _values(i, size).alias("slots"))
 
 
-def _starts(size: int, anchors: list[str] | None) -> Column:
-    """Places where a window starts: all of them, or those of windows that hold an anchor word."""
-    last = F.size("form") - size
-    every = F.sequence(F.lit(0), last)
+def _values(i: Column, size: int | Column) -> Column:
+    return F.array_join(F.filter(F.slice(F.split("t", " "), i + 1, size), _slot), " ")
+
+
+def _starts(words: str, size: int, anchors: list[str] | None) -> Column:
+    """Places where a window starts in a column of words: all of them, or those of windows that hold an anchor word."""
+    last = F.size(words) - size
+    none = F.array().cast("array<int>")
     if anchors is None:
-        return F.when(last >= 0, every)
-    at = F.filter(F.sequence(F.lit(0), F.size("form") - 1), lambda i: F.get("form", i).isin(anchors))
+        return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(anchors))
     near = F.transform(at, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.greatest(F.least(i, last), F.greatest(i - (size - 1), F.lit(0)))))
-    return F.when(last >= 0, F.filter(F.array_distinct(F.flatten(near)), lambda i: i <= last))
+    return F.when(last >= 0, F.filter(F.array_distinct(F.flatten(near)), lambda i: i <= last)).otherwise(none)
+
 
+def _plain(size: int) -> Callable:
+    return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i + 1, size)).alias("h"))
 
-def _of(size: int):
+
+def _template(size: int) -> Callable:
     return lambda i: _window(i, size)
 
 
+def _anchor(words: str) -> Column:
+    """The longest of an array of words."""
+    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
+
+
+def _anchors(windows: DataFrame) -> dict[int, list[str] | None]:
+    """By size of the windows, their anchor words; None where there are more than ANCHORS in all."""
+    rows = windows.select("size", "anchor").distinct().limit(ANCHORS + 1).collect()
+    if len(rows) > ANCHORS:
+        return {r[0]: None for r in windows.select("size").distinct().collect()}  # at most WINDOW
+    return {n: sorted(w for k, w in rows if k == n) for n in sorted({k for k, _ in rows})}
+
+
+def _found(tokens: DataFrame, words: str, anchors: dict[int, list[str] | None], window: Callable) -> DataFrame:
+    """The windows of documents, of all sizes in one reading."""
+    parts = [F.transform(_starts(words, n, at), window(n)) for n, at in anchors.items()]
+    return tokens.select(F.col("id").alias("doc_id"), F.inline(F.concat(*parts)))
+
+
 def _longest(at: Column) -> Column:
     """Length of the longest stretch of consecutive numbers in a sorted array of different ones."""
     step = lambda s, i: F.struct(i.alias("to"), F.when(i == s.to + 1, s.n + 1).otherwise(1).alias("n"), F.greatest(s.best, F.when(i == s.to + 1, s.n + 1).otherwise(1)).alias("best"))
@@ -116,7 +142,7 @@ def _consistent(ws: Column) -> Column:
 def _evidence(ws: Column, n_words: Column, parted: Column) -> Column:
     """(n, hs, run, n_slots, changed) of a consistent set. Where an alignment is parted into several, the slots that
     changed are no evidence among the words of the run."""
-    hs = F.array_distinct(F.transform(ws, lambda w: w.h))
+    hs = F.array_distinct(F.transform(ws, lambda w: F.struct(w.h.alias("h"), w.usable.alias("usable"))))
     changed = F.size(F.filter(_pairs(ws), lambda p: p.a != p.b))
     run = F.least(_longest(F.array_sort(F.array_distinct(F.transform(ws, lambda w: w.ipos)))) + WINDOW - 1, n_words)
     run = F.when(F.size(ws) == 0, 0).otherwise(F.when(parted, run - changed).otherwise(run))
@@ -128,49 +154,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
     item_windows, coverage, run (longest stretch of the item's words, by matched windows in one
     alignment), n_slots, changed (slots with other values).
 
-    Items of fewer than LEAST words, and null or empty texts on either side, match nothing. Repeated
-    rows of a document count once. Windows with fewer than LITERALS words outside slots are not used;
-    an item without any usable window matches nothing.
+    Windows of the words themselves, lower-cased, find verbatim copies of every item, whatever its length
+    and its share of slots; windows of the template find copies with other values in the slots, for items of
+    LEAST words or more and windows with LITERALS words outside slots. coverage is the greater share, of all
+    windows or of those that templates may match. Null texts and texts without any word, letter or number, on
+    either side, match nothing. Repeated rows of a document count once.
 
     A document's windows are made where a word stands that is the longest of some benchmark window:
     every match holds such a word. With more than ANCHORS of these, all windows are made.
     """
-    items = _tokens(benchmark, item_col, text_col).where(F.size("form") >= LEAST).dropDuplicates(["id", "t"]).withColumn("n_words", F.size("form"))
-    size = F.least(F.col("n_words"), F.lit(WINDOW))
-    items = items.withColumn("size", size)
-    parts = [items.where(F.col("size") == n).select("id", "size", "n_words", F.inline(F.transform(_starts(n, None), _of(n))), "form") for n in range(LEAST, WINDOW + 1)]
-    items = reduce(DataFrame.unionByName, parts)
-    literals = F.filter(F.slice("form", F.col("pos") + 1, F.col("size")), lambda w: ~_slot(w))
-    items = items.withColumn("literals", literals).where(F.size("literals") >= LITERALS)
-    longest = F.array_max(F.transform("literals", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    items = items.select(F.col("id").alias("item_id"), "size", F.col("pos").alias("ipos"), "n_words", "h", F.col("slots").alias("item_slots"), longest.alias("anchor"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
+    items = _tokens(benchmark, item_col, text_col).dropDuplicates(["id", "t"]).withColumn("n_words", F.size("words"))
+    items = items.withColumn("size", F.least(F.col("n_words"), F.lit(WINDOW)))
+    items = items.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.col("n_words") - F.col("size"))))
+    part = lambda c: F.slice(c, F.col("ipos") + 1, F.col("size"))
+    items = items.select(F.col("id").alias("item_id"), "size", "ipos", "n_words", part("words").alias("words"), part("form").alias("form"), _values(F.col("ipos"), F.col("size")).alias("item_slots"))
+    items = items.withColumn("literals", F.filter("form", lambda w: ~_slot(w))).withColumn("usable", (F.col("size") >= LEAST) & (F.size("literals") >= LITERALS)).withColumn("w", F.xxhash64("words"))
+    given = ["item_id", "size", "ipos", "n_words", "w", "usable", "item_slots"]
+    plain = items.select(*given, F.col("w").alias("h"), _anchor("words").alias("anchor"))
+    template = items.where(F.col("usable") & (F.col("item_slots") != "")).select(*given, F.xxhash64("form").alias("h"), _anchor("literals").alias("anchor"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("w").alias("all_windows"), F.countDistinct(F.when(F.col("usable"), F.col("w"))).alias("usable_windows"))
     near = F.broadcast if items.count() <= BROADCAST_WINDOWS else (lambda df: df)
 
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
-    words = [r[0] for r in items.select("anchor").distinct().limit(ANCHORS + 1).collect()]
-    anchors = sorted(words) if len(words) <= ANCHORS else None
     tokens = _tokens(docs, doc_col, text_col)
-    hits = None
-    for n in sizes or [WINDOW]:
-        found = tokens.select(F.col("id").alias("doc_id"), F.inline(F.transform(_starts(n, anchors), _of(n))))
-        got = found.join(near(items.where(F.col("size") == n).drop("size", "anchor")), "h")
-        hits = got if hits is None else hits.unionByName(got)
+    found = _found(tokens, "words", _anchors(plain) or {WINDOW: []}, _plain)
+    shift = F.when(F.col("n_words") <= WINDOW, 0).otherwise(F.col("pos") - F.col("ipos"))  # a single window: its place says nothing
+    hits = found.join(near(plain.drop("size", "anchor")), "h").withColumns({"slots": F.col("item_slots"), "shift": shift})
+    if anchors := _anchors(template):
+        got = _found(tokens, "form", anchors, _template).where("slots <> ''").join(near(template.drop("size", "anchor")), "h")
+        hits = hits.unionByName(got.where("slots <> item_slots").withColumn("shift", F.col("pos") - F.col("ipos")))
 
     pairs = F.when(F.col("slots") == "", F.array().cast(PAIRS)).otherwise(F.array_distinct(F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
-    window = F.struct("ipos", "h", pairs.alias("pairs"))
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.array_sort(F.collect_set(window)).alias("ws"), F.first("n_words").alias("n_words"))  # bounded by one item's words
+    window = F.struct("ipos", F.col("w").alias("h"), "usable", pairs.alias("pairs"))
+    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.collect_set(window)).alias("ws"), F.first("n_words").alias("n_words"))  # bounded by one item's words
     judged = aligned.withColumn("sets", _consistent(F.filter("ws", lambda w: ~_clash(w.pairs, w.pairs))))
     sets = F.transform("sets", lambda s: _evidence(s, F.col("n_words"), F.size("sets") > 1))
     held = (
         judged.select("doc_id", "item_id", sets.alias("sets"))
         .select("doc_id", "item_id", F.array_max("sets").alias("best"), F.array_max(F.transform("sets", lambda s: s.run)).alias("run"))
         .groupBy("doc_id", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("best.hs")))).alias("n_windows"), F.max("run").alias("run"), F.max("best.n_slots").alias("n_slots"), F.max("best.changed").alias("changed"))
+        .agg(F.array_distinct(F.flatten(F.collect_set("best.hs"))).alias("hs"), F.max("run").alias("run"), F.max("best.n_slots").alias("n_slots"), F.max("best.changed").alias("changed"))
         .join(near(totals), "item_id")
     )
-    coverage = F.round(F.col("n_windows") / F.col("item_windows"), 4)
-    return held.select("doc_id", "item_id", "n_windows", "item_windows", coverage.alias("coverage"), "run", "n_slots", "changed").where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
+    different = lambda hs: F.size(F.array_distinct(F.transform(hs, lambda h: h.h)))
+    share = lambda hs, n: F.when(F.col(n) > 0, F.struct(F.round(different(hs) / F.col(n), 4).alias("coverage"), different(hs).alias("n_windows"), F.col(n).alias("item_windows")))
+    held = held.withColumn("share", F.greatest(share("hs", "all_windows"), share(F.filter("hs", lambda h: h.usable), "usable_windows")))
+    return held.select("doc_id", "item_id", "share.n_windows", "share.item_windows", "share.coverage", "run", "n_slots", "changed").where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

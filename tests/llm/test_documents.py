@@ -369,6 +369,15 @@ def test_contamination_with_slots_at_odds(spark, make):
     assert (got[10, 1].n_windows, got[10, 1].run) == (25, 30) and got[11, 2].run == 33 and got[12, 1].coverage == 1
 
 
+def test_contamination_by_verbatim_copies_of_any_item(spark, make):
+    items = {1: "Compute 12 * 13 + 7", 2: "Sort 3 9 4 1 5 8 2 7 6 0", 3: "Ann, Bob, Carl, Dora, Eve, Fred, Gus, Hal, Ida and Joe", 4: "Name every prime below ten", 5: "Why?", 6: "The Red Fox And The Blue Hen Sat Down By The Old Stone Mill", 7: None, 8: " ", 9: "?!"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = [(10 + i, f"before that, {t} zz") for i, t in items.items() if t] + [(30 + i, f"x {t.lower()}") for i, t in items.items() if t] + [(50 + i, f"x {t.upper()} X") for i, t in items.items() if t]
+    got = {(r.doc_id, r.item_id): r for r in contamination(make(docs), bench).collect()}
+    assert set(got) == {(k + i, i) for k in (10, 30, 50) for i in range(1, 7)}
+    assert {(r.coverage, r.changed) for r in got.values()} == {(1.0, 0)}
+
+
 # Suffixes
 
 
