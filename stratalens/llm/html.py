@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -191,12 +191,26 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _table(node: Node, out: Lines) -> None:
+#: Rendering of a part: yields that of each part inside it, for _run.
+Steps = Generator["Steps"]
+
+
+def _run(steps: Steps) -> None:
+    """Carries out steps on a stack of its own, so pages may be nested as deeply as they like."""
+    stack = [steps]
+    while stack:
+        if (inner := next(stack[-1], None)) is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _table(node: Node, out: Lines) -> Steps:
     """Rows of cells; each column is as wide as its widest cell, cells part by two spaces."""
     rows: list[list[list[str]]] = []
     carried: dict[int, int] = {}  # column: rows that a cell from above still covers
 
-    def visit(at: Node) -> None:
+    def visit(at: Node) -> Steps:
         for c in at.children:
             if isinstance(c, str):
                 if c.strip():
@@ -216,7 +230,7 @@ def _table(node: Node, out: Lines) -> None:
                         carried[len(cells)] -= 1
                         cells.append([""])
                     inner = Lines()
-                    _render(d, inner, as_cell=True)
+                    yield _render(d, inner, as_cell=True)
                     span = int(d.attrs["colspan"]) if d.attrs.get("colspan", "").isdecimal() else 1
                     down = int(d.attrs["rowspan"]) if d.attrs.get("rowspan", "").isdecimal() else 1
                     span = min(max(span, 1), 1000)
@@ -226,15 +240,15 @@ def _table(node: Node, out: Lines) -> None:
                         cells.append(inner.done().split("\n") if not k else [""])
                 rows.append(cells)
             elif c.name in ("thead", "tbody", "tfoot", "colgroup"):
-                visit(c)
+                yield visit(c)
             elif c.name == "caption":
                 out.block(1)
-                _children(c, out)
+                yield _children(c, out)
                 out.block(1)
             else:
-                _render(c, out)
+                yield _render(c, out)
 
-    visit(node)
+    yield visit(node)
     out.block(1)
     wide = max(map(len, rows), default=0)
     widths = [max((_width(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(wide)]
@@ -247,15 +261,15 @@ def _table(node: Node, out: Lines) -> None:
                 out.block(1)
 
 
-def _children(node: Node, out: Lines, keep: bool = False) -> None:
+def _children(node: Node, out: Lines, keep: bool = False) -> Steps:
     for c in node.children:
         if isinstance(c, str):
             out.text(c, keep)
         else:
-            _render(c, out, keep)
+            yield _render(c, out, keep)
 
 
-def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -> None:
+def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -> Steps:
     name = node.name
     if hidden(node):
         return
@@ -281,7 +295,7 @@ def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -
         out.block(1 if nested else gap)
     held = out.indent
     if name == "table":
-        _table(node, out)
+        yield _table(node, out)
     elif name in ("ul", "ol", "menu", "dir"):
         start = node.attrs.get("start", "")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -294,17 +308,17 @@ def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -
                 before = out.indent
                 out.mark = f"{number}. " if name == "ol" else "- "
                 number += name == "ol"
-                _children(c, out, keep)
+                yield _children(c, out, keep)
                 out.block(1)
                 out.mark, out.indent = "", before
             else:
-                _render(c, out, keep)
+                yield _render(c, out, keep)
     else:
         if name in ("blockquote", "dd"):
             out.indent += "    "
         if name == "q":
             out.text('"')
-        _children(node, out, keep or name in ("pre", "textarea", "listing"))
+        yield _children(node, out, keep or name in ("pre", "textarea", "listing"))
         if name == "q":
             out.text('"')
     if gap:
@@ -317,22 +331,8 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     out = Lines()
-    try:
-        _children(parse(html), out)
-        return out.done()
-    except RecursionError:  # nested deeper than Python's stack: text without layout, in order
-        return _flat(parse(html))
-
-
-def _flat(root: Node) -> str:
-    words, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            words += x.split()
-        elif not hidden(x):
-            todo += reversed(x.children)
-    return " ".join(words)
+    _run(_children(parse(html), out))
+    return out.done()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -125,6 +125,16 @@ def test_deep_and_long_pages():
     assert visible_text("<" * 5000) == "<" * 5000
 
 
+@pytest.mark.parametrize("tag", ["font", "span", "div"])
+def test_depth_changes_no_layout(tag):
+    page = "<p>foo<b>bar</b><img alt=' pic'><input value=v></p><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><th>n<th>name<tr><td>10<td>x</table><pre>a\n  b</pre>"
+    want = visible_text(page)
+    assert "foobar" in want and "- b\n  - c" in want and "10  x" in want
+    for depth in (400, 5000, 10_000):
+        assert visible_text(f"<{tag}>" * depth + page) == want
+    assert visible_text("<table><tr><td>" * 1500 + "x<i>y</i>") == "xy"
+
+
 def test_html_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = queries.op9_html(spark, sf).collect()
