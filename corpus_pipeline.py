@@ -13,7 +13,7 @@ from stratalens.llm.decontaminate import drop_contaminated
 from stratalens.llm.lines import drop_repeated_lines
 from stratalens.llm.packing import pack
 from stratalens.llm.quality import keep_good
-from stratalens.llm.simhash import simhash_dedup
+from stratalens.llm.shingles import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least doc_id."""
-    gone = simhash_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near-duplicates (0.8 of their 5-word shingles): that of the least doc_id."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,127 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, through prefix filtering.
+
+Of two sets with similarity 0.8 or more, each holds at least four fifths of its members in common with
+the other, so the least fifth (and one more) of their hashes meet in at least one. Those are the join keys.
+In a first round every class of a key is compared with the key's least class; in a second one the pairs
+left are those of different components so far, so a large group of near copies does not yield all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+from .components import connected_components
+from .simhash import _LOWER, SEED
+
+SHINGLE_WORDS = 5
+#: Similarity is at least so many fifths.
+FIFTHS = 4
+#: Ids of the texts to compare are broadcast up to this many, else joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; a text of fewer words is one shingle, without words too."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    n = max(len(w) - SHINGLE_WORDS + 1, 1)
+    h = (xxhash.xxh64_intdigest(b" ".join(w[i : i + SHINGLE_WORDS]), SEED) for i in range(n))
+    return np.unique(np.fromiter(h, np.uint64, n).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
+
+
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
+
+
+def _read(docs: DataFrame, text_col: str, whole: bool) -> DataFrame:
+    """(h, c, n, s): hash of the text, class (hash of the shingle set), the set's size, and the set or its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
+                s = sets if whole else [x[: len(x) - (FIFTHS * len(x) + 4) // 5 + 1] for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_class, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), _lists(s)], names=["id", "h", "c", "n", "s"])
+
+    return docs.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, h long, c long, n int, s array<long>")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, c, n) sorted by key and c, the different ones of keys with several classes, and the key's least class with its size."""
+    held = np.zeros((3, 0), np.int64)
+
+    def out(x: np.ndarray) -> pa.RecordBatch:
+        x = x[:, np.r_[True, (x[:2, 1:] != x[:2, :-1]).any(axis=0)]]
+        new = np.r_[True, x[0, 1:] != x[0, :-1]]
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        many = np.bincount(start, minlength=x.shape[1])[start] > 1
+        return pa.RecordBatch.from_arrays([*map(pa.array, x[:, many]), pa.array(x[1, start][many]), pa.array(x[2, start][many])], names=["key", "c", "n", "head", "nh"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns])], axis=1)
+        cut = int(np.searchsorted(x[0], x[0, -1]))  # the last key may go on in the next batch
+        if cut:
+            yield out(x[:, :cut])
+        held = x[:, cut:]
+    if held.size:
+        yield out(held)
+
+
+def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b) with sizes na, nb and arrays sa, sb of rows (c, n, s)."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sides = materialise(rows.select("c", "n", "s").join(wanted, "c", "left_semi").dropDuplicates(["c"]), "sides")
+    for x in "ab":
+        pairs = pairs.join(sides.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")), x)
+    return pairs
+
+
+def _similar(pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets are similar."""
+    pairs = _of(materialise(pairs.distinct(), "pairs"), keys)
+    # Up to the lesser of the last keys, both sets are known; beyond, they may have in common what the lesser rest holds.
+    end = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
+    rest = [F.col(f"n{x}") - F.size(F.filter(f"s{x}", lambda k: k <= F.col("end"))) for x in "ab"]
+    most = F.size(F.array_intersect("sa", "sb")) + F.least(*rest)
+    enough = lambda common: (5 + FIFTHS) * common >= FIFTHS * (F.col("na") + F.col("nb"))
+    left = materialise(pairs.withColumn("end", end).where(enough(most)).select("a", "b"), "pairs")
+    return materialise(_of(left, sets).where(enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b"), "near")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with its columns, of each component of texts linked by a similarity of 0.8 or more: that of
+    the least id (null ids last), and of the least hash of the text there. Rows are told apart by their texts, not by
+    their ids; null texts count as empty ones."""
+    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    keys, sets = materialise(_read(marked, text_col, False), "keys"), _read(marked, text_col, True)
+    keyed = keys.select(F.explode("s").alias("key"), "c", "n").repartition("key").sortWithinPartitions("key", "c")
+    keyed = materialise(keyed.mapInArrow(_shared, "key long, c long, n long, head long, nh long"), "keyed")
+    near = _similar(keyed.where(f"c <> head and 5 * least(n, nh) >= {FIFTHS} * greatest(n, nh)").select(F.col("head").alias("a"), F.col("c").alias("b")), keys, sets)
+    roots = connected_components(near)
+    rooted = materialise(keyed.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root")), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rooted = materialise(rooted.join(several, "key", "left_semi"), "rooted")
+    groups = rooted.select("key", "root").distinct()
+    meet = groups.select("key", F.col("root").alias("ra")).join(groups.select("key", F.col("root").alias("rb")), "key").where("ra < rb")
+    left, right = (rooted.select("key", F.col("root").alias(f"r{x}"), F.col("c").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = meet.join(left, ["key", "ra"]).join(right, ["key", "rb"]).where(f"5 * least(na, nb) >= {FIFTHS} * greatest(na, nb)").select("a", "b")
+    roots = connected_components(near.union(_similar(pairs, keys, sets))).withColumnRenamed("node", "c")
+    classes = keys.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least"))
+    kept = classes.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h"))
+    same = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__h"] == kept["__h"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["__id", "__h"]).select(docs.columns)

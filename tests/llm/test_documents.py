@@ -20,6 +20,7 @@ from stratalens.llm.lines import drop_repeated_lines, repeated_lines
 from stratalens.llm.packing import Packer, WordEncoder, best_fill, pack
 from stratalens.llm.quality import keep_good, score_documents
 from stratalens.llm.sharding import shard_documents
+from stratalens.llm.shingles import drop_near_copies
 from stratalens.llm.simhash import _golay, bucket_links, fingerprint, keys_of, simhash_dedup
 from stratalens.llm.suffixes import blocks_of, cut_repeats
 
@@ -250,6 +251,38 @@ def test_simhash_edges(make):
     assert simhash_dedup(make([])).collect() == []
 
 
+# Shingles
+
+
+def test_near_copies_against_brute_force(make):
+    rng = random.Random(3)
+    base = [prose(rng.randint(30, 120), rng).split() for _ in range(12)]
+    docs = {}
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "other"
+        docs[i] = " ".join(w)
+    docs |= {200: None, 201: "", 202: "a b", 203: "A  b"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in docs.items() for w in [(t or "").lower().split()]}
+    root = {i: i for i in docs}
+    for a in docs:
+        for b in docs:
+            if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = drop_near_copies(make(list(docs.items()))).collect()
+    assert {r.doc_id: r.text for r in got} == {i: docs[i] for i, r in root.items() if r == i}
+    assert 20 < len(got) < 110
+
+
+def test_near_copies_are_told_apart_by_text(make):
+    x, y, z = (prose(60) for _ in range(3))
+    got = drop_near_copies(make([(None, x), (None, y), (None, y), (5, z), (5, x)])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", y), ("5", z), ("5", x)])
+    assert drop_near_copies(make([])).collect() == []
+
+
 # Lines
 
 
