@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from stratalens.llm import queries
 from stratalens.llm.components import connected_components
-from stratalens.llm.hnsw import Graph, audited_beam, links_of, near_vectors
+from stratalens.llm import hnsw
+from stratalens.llm.hnsw import Graph, Side, cell_links, near_vectors
 from stratalens.llm.html import extract, visible_text
 from stratalens.llm.url_filters import filter_urls, host, intervals, patterns
 
@@ -68,14 +69,60 @@ def test_copies_and_an_empty_table(spark):
     assert near_vectors(df.where("false")).collect() == []
 
 
-def test_graph_recall_and_dense_groups():
-    rng = np.random.default_rng(2)
-    x = np.concatenate([rng.standard_normal((1500, 32)), rng.standard_normal(32) + rng.standard_normal((400, 32)) * 0.15])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def grouped(groups, n, dims=64, spread=0.2, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((groups, dims))[rng.integers(groups, size=n)] + rng.standard_normal((n, dims)) * spread
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("groups", [1, 2, 3, 40])
+def test_cells_count_links_at_both_ends(groups):
+    x = grouped(groups, 3000)
+    a, b = (Side(p, np.arange(o, o + 1500), np.ones(1500, np.int64), Graph(p.astype(np.float32))) for p, o in ((x[:1500], 0), (x[1500:], 1500)))
+    between = a.x @ b.x.T >= 0.9
+    counts, tree = cell_links(a, b)
+    assert (counts[0] == between.sum(1)).mean() > 0.98 and (counts[1] == between.sum(0)).mean() > 0.98
+    assert counts[0].sum() == counts[1].sum() >= 0.98 * between.sum()
+    within = (a.x @ a.x.T >= 0.9) & ~np.eye(1500, dtype=bool)
+    (own,), _ = cell_links(a, a)
+    assert own.sum() >= 0.98 * within.sum() and (own <= within.sum(1)).all()
+
+
+def test_every_row_is_reachable_and_graphs_survive_writing():
+    x = np.concatenate([grouped(2, 900, spread=0.02), grouped(300, 1500)]).astype(np.float32)
     g = Graph(x)
-    beam = audited_beam(g, x, 0.9)
-    found = sum(len(r) for r, _ in links_of(g, x, beam, 0.9))
-    assert found >= 0.97 * (x @ x.T >= 0.9).sum()
+    h = Graph.of_rows(x, *g.rows())
+    assert all((i == j).all() and (k == m).all() for (i, k), (j, m) in zip(g.levels, h.levels, strict=True)) and (g.entries == h.entries).all()
+    front, seen = np.unique(np.concatenate([g.levels[-1][0], g.entries])), np.zeros(len(x), bool)
+    while front.size:
+        seen[front] = True
+        front = np.unique(g.levels[0][1][front])
+        front = front[(front >= 0) & ~seen[front]]
+    assert seen.all()
+
+
+def test_a_failed_audit_is_answered_by_products(monkeypatch):
+    monkeypatch.setattr(hnsw, "search", lambda x, near, q, start, beam: (np.full((len(q), beam), -1), np.full((len(q), beam), -3, np.float32)))
+    monkeypatch.setattr(Graph, "__init__", lambda self, x: self.__dict__.update(x=x, entries=np.zeros(0, np.int64), levels=[(np.arange(len(x)), np.full((len(x), 28), -1))]))
+    x = grouped(30, 600)
+    side = Side(x, np.arange(600), np.ones(600, np.int64), Graph(x.astype(np.float32)))
+    (got,), _ = cell_links(side, side)
+    assert (got == (x @ x.T >= 0.9).sum(1) - 1).all()
+
+
+@pytest.mark.parametrize("groups", [1, 2, 40])
+def test_grouped_vectors_have_all_their_links(spark, groups):
+    x = grouped(groups, 3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert sum(got.values()) >= 0.98 * want.sum() and sum(got[i] == n for i, n in enumerate(want)) >= 0.98 * len(x)
+
+
+def test_vectors_without_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.001]), (5, [1.0, 0.002]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id or -1, r.n_links, r.kept) for r in near_vectors(df).collect())
+    assert got == [(-1, 0, False), (-1, 2, False), (-1, 2, False), (5, 2, True)]
 
 
 def test_embedding_query(spark):
