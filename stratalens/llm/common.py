@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +41,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by their first one, cut where it changes: no run is parted. A long run's pieces
+    are joined once."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
+        if cut or held and held[-1][0][-1] != cols[0][0]:
+            held.append([c[:cut] for c in cols])
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))

@@ -24,11 +24,24 @@ WINDOW = 2048
 END_ID = 1
 #: Waiting pieces of one task; below LOW the pool only empties at the end of the task.
 POOL, LOW = 4096, 1024
-#: Different words whose ids a Python worker remembers, in each of two generations.
+#: Different words whose ids a Python worker remembers, in each of two generations (about 200 bytes a word).
 WORDS = 600_000
+#: Words of a text between two looks at the number remembered; pieces in a batch that goes out.
+SLICE, OUT = 100_000, 512
 
 
-class WordEncoder(dict):
+class Words(dict):
+    """Ids of words, those of the older generation first."""
+
+    def __init__(self, older: dict[str, bytes], quick) -> None:
+        self.older, self.quick = older, quick
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.older.get(word) or np.array(self.quick(word), "<u4").tobytes()
+        return found
+
+
+class WordEncoder:
     """Ids of whole texts, word by word. Values are little-endian unsigned 32-bit ids.
 
     A byte-level BPE splits before each single space that a non-space follows and on both sides of
@@ -38,7 +51,7 @@ class WordEncoder(dict):
     are the ids of the tokenizer's file; tests hold its ids to the tokenizer's.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = WORDS) -> None:
         import public_tokenizers
         import regex
         import tiktoken
@@ -52,14 +65,7 @@ class WordEncoder(dict):
         self.quick = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.odd = regex.compile(r"\s\s|^\s|\s$|\x00").search
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)").search
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.old = dict(self)
-            self.clear()
-        found = self[word] = self.old.get(word) or np.array(self.quick(word), "<u4").tobytes()
-        return found
+        self.limit, self.words = words, Words({}, self.quick)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -68,12 +74,18 @@ class WordEncoder(dict):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.odd(text):
             return np.array(self.quick(text), "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        words, out = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"), []
+        for i in range(0, len(words), SLICE):
+            if len(self.words) >= self.limit:
+                self.words.older = {}  # the generation before goes; nothing is copied
+                self.words = Words(self.words, self.quick)
+            out += map(self.words.__getitem__, words[i : i + SLICE])
+        return b"".join(out)
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, words: int) -> WordEncoder:
+    return WordEncoder(path, words)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -178,23 +190,24 @@ class Packer:
                 self._emit(pieces)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, words: int = WORDS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (with_ids), ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and end_id; a null text is empty, so it is end_id alone.
     Every id lies in exactly one piece. Sequences hold at most window ids; each is full or a power of
     two long. sequence_id is the task's number times 2^33 plus a count from 0: unique, not gapless.
     Repeated rows are packed each for itself, under the same doc_id. An empty table gives no rows.
-    A task holds one batch of texts, the pool and the remembered words, whatever the table's size.
+    A task holds one batch of texts, the pool and the remembered words (twice `words` at most, which a
+    worker keeps for its next task), whatever the table's size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer_path).encode, Packer(window)
+        encode, packer = encoder(tokenizer_path, words).encode, Packer(window)
         base, end = TaskContext.get().partitionId() << 33, np.array([end_id], "<u4").tobytes()
 
         def drain() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(packer.out), 2000):
-                part = packer.out[i : i + 2000]
+            for i in range(0, len(packer.out), OUT):
+                part = packer.out[i : i + OUT]
                 cols = {
                     "doc_id": pa.array([p[0][0] for p in part], pa.int64()),
                     "start": pa.array([p[1] for p in part], pa.int64()),
@@ -210,13 +223,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             packer.out.clear()
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
-                packer.add((doc, len(ids) // 4), ids)
-                if len(packer.out) >= 2000:
+                packer.add((doc.as_py(), len(ids) // 4), ids)
+                if len(packer.out) >= OUT:
                     yield from drain()
         packer.close()
         yield from drain()
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_runs
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -168,23 +168,9 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[i : i + 2048][row].view(np.int64))], names=["key", "fp"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            found = bucket_links(k, f, most)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, i].astype(np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.concatenate([held_k, b.column(0).to_numpy()])
-            f = np.concatenate([held_f, b.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
-            if cut:
-                yield out(k[:cut], f[:cut])
-            held_k, held_f = k[cut:], f[cut:]
-        if held_k.size:
-            yield out(held_k, held_f)
+        for key, fp in whole_runs(batches):
+            found = bucket_links(key, fp.view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].astype(np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
     keyed = distinct.select("fp").mapInArrow(explode, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long").distinct()

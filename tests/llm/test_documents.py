@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from stratalens.llm import queries
 from stratalens.llm.decontaminate import contamination, drop_contaminated
 from stratalens.llm.lines import drop_repeated_lines, repeated_lines
+from stratalens.llm.near_texts import drop_near_copies, shingles, wide_fingerprint
 from stratalens.llm.packing import Packer, WordEncoder, best_fill, pack
 from stratalens.llm.quality import keep_good, score_documents
 from stratalens.llm.sharding import shard_documents
-from stratalens.llm.shingles import drop_near_copies
 from stratalens.llm.simhash import _golay, bucket_links, fingerprint, keys_of, simhash_dedup
 from stratalens.llm.suffixes import blocks_of, cut_repeats
 
