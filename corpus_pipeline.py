@@ -13,7 +13,7 @@ from stratalens.llm.decontaminate import drop_contaminated
 from stratalens.llm.lines import drop_repeated_lines
 from stratalens.llm.packing import pack
 from stratalens.llm.quality import keep_good
-from stratalens.llm.shingles import drop_near_copies
+from stratalens.llm.near_texts import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in windows of 2048."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), words=150_000)
 
 
 STAGES = [
