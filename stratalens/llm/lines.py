@@ -1,103 +1,95 @@
 """Line dedup by a segment-partition edit join, with DataFrame operations only.
 
-A line is cut into max_edits + 1 segments. Of two lines within max_edits edits, the longer one holds
-at least one segment of the shorter one unchanged, at a position that the edits before and after it
-allow. So each line is indexed under its segments and probes, for its own length and each one up to
-max_edits less, the substrings at those positions. Keys are hashes of length, segment number and
-text. Candidates are verified on the texts by edit distance with a threshold (a banded computation).
-
-Only different lines enter the join, each by its first occurrence; lines shorter than
-min_chars are compared exactly only. A line that links to a line first seen earlier is a repeat, as
-is each occurrence after a line's first.
+Of two lines within max_edits edits, some segment of the shorter one stands unchanged in the longer
+one, with as many edits before it as segments at most. Segments are cut by a length rounded down, so
+that lines of almost any two near lengths share a partition: the first segments are counted from
+the line's start, the last ones from its end, which leaves no move to try for the outermost. So a
+line is indexed under max_edits + 1 keys, and probes the moves of its inner segments, and those of
+the next lower partition where a line that much shorter would lie in it. Keys are hashes of rounded length,
+segment number and text. Candidates are verified on the texts by edit distance with a threshold (a
+banded computation).
+
+Keys are aggregated before they are shuffled: the least and greatest line of a key tell whether it
+has several, so a line that stands a million times costs a row a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 MAX_EDITS = 2
 MIN_CHARS = 20
-#: Candidates' hashes are broadcast up to so many (8 bytes each).
-BROADCAST_LINES = 2_000_000
+#: Keys that several lines share, and places of candidates, are broadcast up to so many (24 bytes each at most).
+BROADCAST_ROWS = 2_000_000
 
 
-def _named(df: DataFrame) -> DataFrame:
-    """Adds h1, h2, the two hashes that name the text of column line."""
-    return df.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line", F.length("line"))})
+def _rounded(n: Column, edits: int, min_chars: int) -> Column:
+    """n rounded down to a power of two between a sixteenth and a quarter of it, which is over `edits`; at least min_chars."""
+    step = F.pow(F.lit(2), F.greatest(F.length(F.bin(n)) - 3, F.lit(max(2, edits.bit_length())))).cast("int")
+    return F.greatest(n - n % step, F.lit(min_chars))
 
 
-def _starts(n: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """1-based start and length of segment k (from 0) of a line of n characters; the last ones are longer."""
-    parts = edits + 1
-    short = F.floor(n / parts)
-    longer = n - short * parts  # so many segments at the end have one character more
-    extra = F.greatest(longer - (parts - k), F.lit(0))
-    return (short * k + extra + 1).cast("int"), (short + (F.lit(k) >= parts - longer).cast("int")).cast("int")
+def _keys(line: Column, edits: int, min_chars: int) -> Column:
+    """Keys of a line, null for one under min_chars: first its own segments', max_edits + 1 of them, then probes."""
+    n = F.length(line)
+    key = lambda m, k, at, size: F.xxhash64(m.cast("int"), F.lit(k), F.substring(line, at + 1, size))
 
+    def pieces(m: Column, k: int, moves: range) -> list[Column]:
+        size = F.floor(m / (edits + 1)).cast("int")
+        from_start = 2 * k <= edits
+        places = [(size * k if from_start else n - size * (edits - k + 1)) + (d if from_start else -d) for d in moves]
+        return [F.when((at >= 0) & (at + size <= n), key(m, k, at.cast("int"), size)) for at in places]
 
-def _key(n: Column, k: int, piece: Column) -> Column:
-    return F.xxhash64(n.cast("int"), F.lit(k), piece)
+    def moves(k: int) -> range:
+        before, after = (k, edits - k) if 2 * k <= edits else (edits - k, k)
+        return range(-min(before, after), before + 1)
 
+    own = _rounded(n, edits, min_chars)
+    lower = _rounded(F.greatest(n - edits, F.lit(1)), edits, min_chars)
+    index = [p for k in range(edits + 1) for p in pieces(own, k, range(1))]
+    moved = [p for k in range(edits + 1) for d in moves(k) if d for p in pieces(own, k, range(d, d + 1))]
+    below = [F.when((lower < own) & (lower >= min_chars), p) for k in range(edits + 1) for p in pieces(lower, k, moves(k))]
+    return F.when(n >= min_chars, F.array_compact(F.array(*index, *moved, *below)))
 
-def _piece(at: Column, size: Column) -> Column:
-    """Characters of column u, the line in four bytes a character, so that no piece needs a scan."""
-    return F.substring(F.col("u"), (at - 1) * 4 + 1, size * 4)
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, parts): the lines of each text as they are."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
 
-def _index(edits: int) -> Column:
-    """Keys of a line's own segments; column n holds its length."""
-    n, keys = F.col("n"), []
-    for k in range(edits + 1):
-        at, size = _starts(n, k, edits)
-        keys.append(_key(n, k, _piece(at, size)))
-    return F.array(*keys)
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-def _probes(edits: int, min_chars: int) -> Column:
-    """Keys of the substrings that may be segments of lines that are 0 to `edits` characters shorter."""
-    n, keys = F.col("n"), []
-    for less in range(edits + 1):
-        m = n - less
-        for k in range(edits + 1):
-            at, size = _starts(m, k, edits)
-            # before segment k at most k edits; after it at most edits - k
-            for move in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                keys.append(F.when((m >= min_chars) & (at + move >= 1) & (at + move + size - 1 <= n), _key(m, k, _piece(at + move, size))))
-    return F.array_compact(F.array(*keys))
 
+def similar_lines(lines: DataFrame, parts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """lines: h1, h2 (which name a line), at (struct of doc_id, line_no), keys; all occurrences. parts: doc_id, parts.
+    Each line that links to another: h1, h2, first (its earliest place), near_first (the earliest of those it links
+    to), n_links.
 
-def similar_lines(lines: DataFrame, every: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """lines: line; each different line once. every: doc_id, line_no, line; all occurrences. Each line that
-    links to another: h1, h2, first (struct of doc_id, line_no), near_first (the earliest of those it
-    links to), n_links.
-
-    Only hashes are shuffled to find candidates. Texts are fetched for candidates alone: through a
-    broadcast of their hashes up to BROADCAST_LINES of them, by a shuffled join beyond.
+    Only hashes are shuffled to find candidates; texts are fetched for candidates alone.
     """
-    name = lambda c: F.xxhash64(c).bitwiseAND(F.lit(-2))  # noqa: E731  the lowest bit is free for the side: 0 segment, 1 probe
-    wide = lines.where(F.length("line") >= min_chars).select(name("line").alias("id"), F.encode("line", "UTF-32").alias("u"))
-    wide = wide.select("id", "u", (F.octet_length("u") / 4).cast("int").alias("n"))
-    rows = wide.select("id", F.explode(_index(max_edits)).alias("key")).unionByName(wide.select((F.col("id") + 1).alias("id"), F.explode(_probes(max_edits, min_chars)).alias("key")))
-    # Rows of keys that a segment and a probe, and different lines, share: one pass over each key, no pair is made here.
-    of_key = Window.partitionBy("key")
-    line, side = F.col("id").bitwiseAND(F.lit(-2)), F.col("id").bitwiseAND(F.lit(1))
-    spans = rows.select(line.alias("name"), "key", side.cast("int").alias("side"), F.min(line).over(of_key).alias("least"), F.max(line).over(of_key).alias("most"), F.min(side).over(of_key).alias("segment"), F.max(side).over(of_key).alias("probe"))
-    active = materialise(spans.where("least <> most and segment = 0 and probe = 1").select("name", "key", "side").distinct(), "line-keys")
-    wanted = active.select("name").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    found = _named(every.where(F.length("line") >= min_chars)).withColumn("name", name("line")).join(wanted, "name", "left_semi")
-    texts = found.groupBy("name", "h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
-    texts = materialise(texts, "line-texts")
+    rows = lines.where("keys is not null").select("h1", "h2", "at", F.posexplode("keys").alias("k", "key"))
+    # Keys that different lines share, and that one of them has as its own segment's.
+    shared = rows.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("k").alias("k")).where(f"x <> y and k <= {max_edits}").select("key")
+    shared = _small(materialise(shared, "shared-keys"))
+    active = rows.join(shared, "key", "left_semi").groupBy("key", "h1", "h2", (F.col("k") <= max_edits).alias("own")).agg(F.min("at").alias("first"))
+    active = materialise(active, "line-keys")
+    # first is the earliest place of a line in every row: all its occurrences have the same keys.
+    places = _small(materialise(active.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("h1", "h2", F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("line_no")), "line-places"))
+    found = parts.join(places, parts["doc_id"].eqNullSafe(places["id"])).select("h1", "h2", F.trim(F.get("parts", "line_no")).alias("line"))
+    texts = found.where((F.xxhash64("line") == F.col("h1")) & (F.hash("line", F.length("line")) == F.col("h2"))).groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    told = active.join(materialise(texts, "line-texts"), ["h1", "h2"])
     # Verified inside the join: it gives out links only, whatever the size of a key's group.
-    told = active.join(texts, "name").drop("name")
-    left, right = (told.where(F.col("side") == i).select(*(F.col(c).alias(f"{x}_{c}") for c in told.columns if c != "side")) for i, x in enumerate("ab"))
-    linked = (F.col("a_key") == F.col("b_key")) & ((F.col("a_h1") != F.col("b_h1")) | (F.col("a_h2") != F.col("b_h2"))) & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
+    left, right = (told.select(*(F.col(c).alias(f"{x}_{c}") for c in told.columns)) for x in "ab")
+    names = lambda x: F.struct(f"{x}_h1", f"{x}_h2")
+    once = F.when(F.col("b_own"), names("a") < names("b")).otherwise(names("a") != names("b"))
+    linked = (F.col("a_key") == F.col("b_key")) & once & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
     ends_of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("h1", "h2", "first")))
-    swap = F.struct("a_h1", "a_h2") > F.struct("b_h1", "b_h2")
-    both = left.join(right, linked).select(F.when(swap, ends_of("b")).otherwise(ends_of("a")).alias("a"), F.when(swap, ends_of("a")).otherwise(ends_of("b")).alias("b")).distinct()
+    swap = names("a") > names("b")
+    both = left.where("a_own").join(right, linked).select(F.when(swap, ends_of("b")).otherwise(ends_of("a")).alias("a"), F.when(swap, ends_of("a")).otherwise(ends_of("b")).alias("b")).distinct()
     ends = both.select(F.inline(F.array(F.struct("a.*", F.col("b.first").alias("other")), F.struct("b.*", F.col("a.first").alias("other")))))
     return ends.groupBy("h1", "h2", "first").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
 
@@ -106,24 +98,21 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     """One row for each line that repeats an earlier one: doc_id, line_no, first_doc_id, first_line_no,
     exact, n_links.
 
-    Lines are the parts between line breaks, without surrounding spaces; blank ones never repeat. They
-    are ordered by (doc_id, line_no). first_* is the earliest of the line's own first occurrence and
-    those of the lines it links to; exact says that this very line stood earlier; n_links counts the
-    different lines within max_edits edits. Null texts have no lines. Repeated rows of a doc_id are one
-    document; an empty table gives no rows.
+    Lines are the parts between line breaks, without surrounding spaces; blank ones never repeat, and those under
+    min_chars characters (at least max_edits + 1) are compared exactly only. They are ordered by (doc_id,
+    line_no). first_* is the earliest of the line's own first occurrence and those of the lines it links
+    to; exact says that this very line stood earlier; n_links counts the different lines within max_edits
+    edits. Null texts have no lines. Repeated rows of a doc_id are one document; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
-    every = rows.select("doc_id", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    seen = materialise(_named(every).select("h1", "h2", F.struct("doc_id", "line_no").alias("at")), "lines")
-    firsts = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = materialise(seen.join(firsts, ["h1", "h2"]).where("at > first"), "later-lines")
-
-    # Of each line only its first occurrence goes on: the others' numbers, bounded by a document's lines, leave with it.
-    skip = later.groupBy("at.doc_id").agg(F.collect_set("at.line_no").alias("skip"))
-    left = rows.join(skip, "doc_id", "left")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("skip", F.array().cast("array<int>")))
-    once = left.where("parts is not null").select("doc_id", F.inline(F.transform(numbers, lambda i: F.struct(i.alias("line_no"), F.trim(F.get("parts", i)).alias("line")))))
-    linked = materialise(similar_lines(once.where("line <> ''"), every, max_edits, min_chars), "linked-lines")
+    if min_chars <= max_edits:
+        raise ValueError("min_chars must be over max_edits: each segment needs a character")
+    parts = _lines(docs, id_col, text_col)
+    every = parts.select("doc_id", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    every = every.select(F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"), F.struct("doc_id", "line_no").alias("at"), _keys(F.col("line"), max_edits, min_chars).alias("keys"))
+    lines = materialise(every, "lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = materialise(lines.select("h1", "h2", "at").join(firsts, ["h1", "h2"]).where("at > first"), "later-lines")
+    linked = materialise(similar_lines(lines, parts, max_edits), "linked-lines")
 
     again = later.join(linked.select("h1", "h2", "near_first", "n_links"), ["h1", "h2"], "left")
     again = again.select("at", F.least("first", "near_first").alias("keeps"), F.lit(True).alias("exact"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -133,7 +122,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
 
 def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All rows of docs, with its columns; repeated lines are cut out of text and n_chars follows."""
+    """All rows of docs, with its columns; repeated lines are cut out of text and n_chars follows. A null doc_id has
+    lines like any other, but rows without doc_id keep their texts, since a line's place does not tell them apart."""
     gone = repeated_lines(docs, max_edits, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # bounded by the document's lines
     parts = F.split(F.col("text"), "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))

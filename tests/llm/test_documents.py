@@ -349,6 +349,31 @@ def test_lines_against_brute_force(make):
         assert kept[i] == (t and "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone))
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_of_all_lengths_against_brute_force(make, edits):
+    rng = random.Random(edits)
+    sizes = [20, 21, 22, 23, 24, 31, 32, 33, 62, 63, 64, 65, 66, 126, 128, 129, 255, 256, 257, 258, 300, 513]
+    docs = {}
+    for i, n in enumerate(sizes * 3):
+        base = "".join(rng.choices("abcdefgh é", k=n - 2)).strip()
+        docs[i] = "\n".join("x" + edited(base, rng, k) + "y" for k in (0, 1, edits, edits, edits + 1))
+        docs[i] += "\n" + "x" + base[: len(base) // 3] + "\n" + "zz" + base + "zz"
+    got = {(r.doc_id, r.line_no, r.first_doc_id, r.first_line_no, r.exact, r.n_links) for r in repeated_lines(make(list(docs.items())), edits).collect()}
+    assert got == brute_lines(docs, edits)
+    assert sum(not x[4] for x in got) > 60
+
+
+def test_line_query_against_brute_force(spark, make):
+    """The query's own operator over whole documents, a word of some lines changed."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()}
+    rng = random.Random(1)
+    for i, t in list(docs.items())[:60]:
+        docs[100_000 + i] = "\n".join(edited(x, rng, rng.randint(0, 3)) if x.strip() else x for x in t.split("\n"))
+    got = {(r.doc_id, r.line_no, r.first_doc_id, r.first_line_no, r.exact, r.n_links) for r in repeated_lines(make(list(docs.items()))).collect()}
+    assert got == brute_lines(docs)
+    assert sum(not x[4] for x in got) > 20
+
+
 def test_lines_edges(make):
     assert repeated_lines(make([])).collect() == []
     assert repeated_lines(make([(1, None), (2, "")])).collect() == []
