@@ -23,7 +23,7 @@ from .common import materialise
 MAX_EDITS = 2
 MIN_CHARS = 20
 #: Keys that several lines share, and places of candidates, are broadcast up to so many (24 bytes each at most).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _rounded(n: Column, edits: int, min_chars: int) -> Column:
@@ -32,27 +32,36 @@ def _rounded(n: Column, edits: int, min_chars: int) -> Column:
     return F.greatest(n - n % step, F.lit(min_chars))
 
 
-def _keys(line: Column, edits: int, min_chars: int) -> Column:
-    """Keys of a line, null for one under min_chars: first its own segments', max_edits + 1 of them, then probes."""
-    n = F.length(line)
-    key = lambda m, k, at, size: F.xxhash64(m.cast("int"), F.lit(k), F.substring(line, at + 1, size))
+def _keys(edits: int, min_chars: int) -> Column:
+    """Keys of a line, null for one under min_chars: first its own segments', max_edits + 1 of them, then probes.
+    Columns line, n (its length), own and lower (n and n - edits, rounded)."""
+    line, n, own, lower = map(F.col, ("line", "n", "own", "lower"))
+    key = lambda m, k, at, size: F.xxhash64(m, F.lit(k), F.substring(line, at + 1, size))
 
     def pieces(m: Column, k: int, moves: range) -> list[Column]:
-        size = F.floor(m / (edits + 1)).cast("int")
+        size = ((m - m % (edits + 1)) / (edits + 1)).cast("int")
         from_start = 2 * k <= edits
         places = [(size * k if from_start else n - size * (edits - k + 1)) + (d if from_start else -d) for d in moves]
-        return [F.when((at >= 0) & (at + size <= n), key(m, k, at.cast("int"), size)) for at in places]
+        return [F.when((at >= 0) & (at + size <= n), key(m, k, at, size)) for at in places]
 
     def moves(k: int) -> range:
         before, after = (k, edits - k) if 2 * k <= edits else (edits - k, k)
         return range(-min(before, after), before + 1)
 
-    own = _rounded(n, edits, min_chars)
-    lower = _rounded(F.greatest(n - edits, F.lit(1)), edits, min_chars)
     index = [p for k in range(edits + 1) for p in pieces(own, k, range(1))]
     moved = [p for k in range(edits + 1) for d in moves(k) if d for p in pieces(own, k, range(d, d + 1))]
-    below = [F.when((lower < own) & (lower >= min_chars), p) for k in range(edits + 1) for p in pieces(lower, k, moves(k))]
-    return F.when(n >= min_chars, F.array_compact(F.array(*index, *moved, *below)))
+    below = [p for k in range(edits + 1) for p in pieces(lower, k, moves(k))]
+    many = F.when((lower < own) & (lower >= min_chars), F.array_compact(F.array(*index, *moved, *below))).otherwise(F.array_compact(F.array(*index, *moved)))
+    return F.when(n >= min_chars, many)
+
+
+def _measured(parts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(doc_id, line_no, line, n, own, lower) of lines that are not blank. Each value is computed once: they come out of one generator."""
+    lines = F.transform("parts", lambda x, i: F.struct(i.alias("line_no"), F.trim(x).alias("line")))
+    lines = F.transform(F.filter(lines, lambda s: s.line != ""), lambda s: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), F.length(s.line).alias("n")))
+    rounded = lambda n: _rounded(n, edits, min_chars)
+    lines = F.transform(lines, lambda s: F.struct(s.line_no.alias("line_no"), s.line.alias("line"), s.n.alias("n"), rounded(s.n).alias("own"), rounded(F.greatest(s.n - edits, F.lit(1))).alias("lower")))
+    return parts.select("doc_id", F.inline(lines))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,8 +116,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     if min_chars <= max_edits:
         raise ValueError("min_chars must be over max_edits: each segment needs a character")
     parts = _lines(docs, id_col, text_col)
-    every = parts.select("doc_id", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    every = every.select(F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"), F.struct("doc_id", "line_no").alias("at"), _keys(F.col("line"), max_edits, min_chars).alias("keys"))
+    every = _measured(parts, max_edits, min_chars).select(F.xxhash64("line").alias("h1"), F.hash("line", "n").alias("h2"), F.struct("doc_id", "line_no").alias("at"), _keys(max_edits, min_chars).alias("keys"))
     lines = materialise(every, "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = materialise(lines.select("h1", "h2", "at").join(firsts, ["h1", "h2"]).where("at > first"), "later-lines")
