@@ -30,12 +30,15 @@ from .simhash import _LOWER, SEED, near_codewords
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Segments of a fingerprint, bits of each, longs that hold them.
-SEGMENTS, BITS, LONGS = 24, 23, 9
-#: Deviations by which the differing bits of two similar texts may exceed their mean.
-DEVIATIONS = 4.0
+#: Segments of a fingerprint, bits of each, longs that hold them, and how many of those go with a key.
+SEGMENTS, BITS, LONGS, WITH_KEY = 24, 23, 9, 2
+#: Deviations by which the differing bits of two similar texts may exceed their mean: in whole fingerprints and
+#: in the words that go with a key (0.999 of pairs are within each), and for the first round's comparisons.
+DEVIATIONS, OF_KEY, FIRST = 3.0, 3.0, 1.5
 #: Places of a run, in the order of its texts' names, within which the first round looks.
 REACH = 48
+#: The most similar ones of those that a text is compared with in the first round.
+HEADS = 8
 #: Rows of names are broadcast up to this many (32 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -68,19 +71,24 @@ def wide_fingerprint(s: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(s), bitorder="little").view(np.uint64)
 
 
+def _codewords(fp: np.ndarray) -> np.ndarray:
+    """Of fingerprints (rows of LONGS words) the indices of the near codewords of each segment, -1 for none."""
+    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS)
+    return near_codewords((bits @ (1 << np.arange(BITS))).ravel()).reshape(len(fp), SEGMENTS, 6)
+
+
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of fingerprints (rows of LONGS words), and the row of each key."""
-    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS)
-    near = near_codewords((bits @ (1 << np.arange(BITS))).ravel()).reshape(len(fp), SEGMENTS, 6)
+    near = _codewords(fp)
     left, right = near[:, 0::2, :, None], near[:, 1::2, None, :]
     row, pair, i, j = np.nonzero((left >= 0) & (right >= 0))
     return (pair << 24) | (near[row, 2 * pair, i] << 12) | near[row, 2 * pair + 1, j], row
 
 
-def differing(similarity: float, bits: int) -> int:
-    """Most bits in which the fingerprints of two texts of that similarity differ, but for DEVIATIONS."""
+def differing(similarity: float, bits: int, deviations: float = DEVIATIONS) -> int:
+    """Bits in which the fingerprints of two texts of that similarity differ: the mean and so many deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
 def _read(docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -100,58 +108,104 @@ def _read(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (c, fp) a row (key, c, word) for each key; word is the fingerprint's first."""
+    """Of (c, fp) a row (key, c, w0, w1) for each key, with the fingerprint's first words."""
     for b in batches:
         c, fp = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, LONGS)
         for i in range(0, len(c), 1024):
             key, row = keys_of(np.ascontiguousarray(fp[i : i + 1024]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(c[i + row]), pa.array(fp[i + row, 0])], names=["key", "c", "word"])
+            cols = [key.astype(np.int32), c[i + row], *(fp[i + row, w] for w in range(WITH_KEY))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["key", "c", *(f"w{w}" for w in range(WITH_KEY))])
+
 
+def _bits(words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which rows i and j differ (words unsigned: of signed ones the magnitude's bits would count)."""
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words)
 
-def _nearest(most: int):  # noqa: ANN202  a function for mapInArrow
-    """Of rows (key, c, word) sorted by key, those that may have a near one in their run: (key, c, word, head),
-    where head is the most similar one before them within REACH, or else themselves."""
+
+def _nearest(most: int, close: int):  # noqa: ANN202  a function for mapInArrow
+    """Of rows (key, c, words) sorted by key, those that have a near one in their run: (key, c, head, bits), where head is
+    the most similar one before them within REACH, if it differs in `close` bits at most, or else themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, c, word in whole_runs(batches):
+        for key, c, *words in whole_runs(batches):
+            words = [w.view(np.uint64) for w in words]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[new, len(key)])
-            long = np.repeat(size > REACH, size)
-            head, best, keep = c.copy(), np.full(len(key), most + 1), long.copy()
+            keep, head, best = np.zeros(len(key), bool), c.copy(), np.full(len(key), close + 1)
             for d in range(1, min(REACH, int(size.max(initial=0)))):
                 i = np.flatnonzero(key[d:] == key[:-d])
-                bits = np.bitwise_count((word[i] ^ word[i + d]).view(np.uint64)).astype(int)  # of signed numbers it would count the magnitude's bits
+                bits = _bits(words, i, i + d)
                 i, bits = i[bits <= most], bits[bits <= most]
                 keep[i] = keep[i + d] = True
                 nearer = bits < best[i + d]
                 i, bits = i[nearer], bits[nearer]
                 head[i + d], best[i + d] = c[i], bits
+            for lo, n in zip(new[size > REACH], size[size > REACH], strict=True):  # what is near to none so far may be near to one farther off
+                left = lo + np.flatnonzero(~keep[lo : lo + n])
+                for at in range(lo, lo + n, 4096):
+                    others = np.arange(at, min(at + 4096, lo + n))
+                    for i in range(0, len(left), 64):
+                        part = left[i : i + 64]
+                        near = _bits(words, part[:, None], others[None]) <= most
+                        near &= part[:, None] != others
+                        keep[part[near.any(1)]] = True
+                        keep[others[near.any(0)]] = True
+                    left = left[~keep[left]]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, c, word, head)], names=["key", "c", "word", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, c, head, best.astype(np.int32))], names=["key", "c", "head", "bits"])
 
     return run
 
 
-def _between(most: int):  # noqa: ANN202  a function for mapInArrow
-    """Of rows (key, c, word, root) sorted by key, pairs (a, b) of near ones of different roots."""
+def _between(most: int, whole: int, share: Fraction):  # noqa: ANN202  a function for mapInArrow
+    """Of rows (key, c, root, n, words of the fingerprint) sorted by key, pairs (a, b) of different roots whose sizes and
+    fingerprints allow the similarity: `most` bits of the first words and `whole` of all differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, c, word, root in whole_runs(batches):
+        for key, c, root, n, *words in whole_runs(batches):
+            words = [w.view(np.uint64) for w in words]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.repeat(np.r_[new[1:], len(key)], np.diff(np.r_[new, len(key)]))
-            for lo in range(0, len(key), 256):  # each row with the later ones of its run, a block of rows at a time
-                rows = np.arange(lo, min(lo + 256, len(key)))
-                for at in range(lo + 1, int(end[rows[-1]]), 1 << 14):
-                    others = np.arange(at, min(at + (1 << 14), int(end[rows[-1]])))
-                    near = (np.bitwise_count((word[rows, None] ^ word[others]).view(np.uint64)) <= most) & (root[rows, None] != root[others]) & (key[rows, None] == key[others]) & (rows[:, None] < others)
-                    i, j = np.nonzero(near)
+            for lo in range(0, len(key), 64):  # each row with the later ones of its run, a block of rows at a time
+                rows = np.arange(lo, min(lo + 64, len(key)))
+                if (root[rows] == root[rows[0]]).all() and (root[lo : end[rows[-1]]] == root[lo]).all():
+                    continue
+                for at in range(lo + 1, int(end[rows[-1]]), 4096):
+                    others = np.arange(at, min(at + 4096, int(end[rows[-1]])))
+                    near = (key[rows, None] == key[others]) & (root[rows, None] != root[others]) & (rows[:, None] < others)
+                    i, j = (rows[0] + x if k == 0 else at + x for k, x in enumerate(np.nonzero(near)))
+                    ok = _bits(words[:WITH_KEY], i, j) <= most
+                    ok &= share.denominator * np.minimum(n[i], n[j]) >= share.numerator * np.maximum(n[i], n[j])
+                    i, j = i[ok], j[ok]
+                    ok = _bits(words, i, j) <= whole
+                    i, j = i[ok], j[ok]
                     if i.size:
-                        x, y = c[rows[i]], c[others[j]]
+                        new = _first_meets(i, j, key, words)
+                        x, y = c[i[new]], c[j[new]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
+def _first_meets(i: np.ndarray, j: np.ndarray, key: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Of pairs of rows in runs of keys, those for which this is the first key that they share."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    near = _codewords(np.ascontiguousarray(np.stack([w[rows] for w in words], axis=1)))
+    a, b, pair, new = at[: len(i)], at[len(i) :], key[i] >> 24, np.ones(len(i), bool)
+
+    def common(k: np.ndarray, s: np.ndarray | int) -> np.ndarray:
+        """The least codeword that pairs k share in segment s; 4096 for none."""
+        x = near[a[k], s]
+        shared = (x[:, :, None] == near[b[k], s][:, None, :]).any(axis=2) & (x >= 0)
+        return np.where(shared, x, 4096).min(axis=1)
+
+    for t in range(int(pair.max())):
+        k = np.flatnonzero(new & (pair > t))
+        new[k[(common(k, 2 * t) < 4096) & (common(k, 2 * t + 1) < 4096)]] = False
+    k = np.flatnonzero(new)
+    return k[(common(k, 2 * pair[k]) << 12 | common(k, 2 * pair[k] + 1)) == key[i[k]] & ((1 << 24) - 1)]
+
+
 def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
@@ -189,16 +243,19 @@ def near_texts(marked: DataFrame, text_col: str = "text", words: int = SHINGLE_W
     shingle sets (c, n, least, root): root names its component, least is the struct (none, id, h) of its least row."""
     rows = materialise(_read(marked, text_col, words), "fingerprints")
     classes = materialise(rows.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")), "classes")
-    most = differing(similarity, 64)
-    keyed = classes.select("c", "fp").mapInArrow(_keyed, "key int, c long, word long").repartition("key").sortWithinPartitions("key", "c")
-    keyed = materialise(keyed.mapInArrow(_nearest(most), "key int, c long, word long, head long"), "near-keys")
+    most, close = (differing(similarity, 64 * WITH_KEY, d) for d in (OF_KEY, FIRST))
+    keyed = classes.select("c", "fp").mapInArrow(_keyed, "key int, c long" + "".join(f", w{w} long" for w in range(WITH_KEY))).repartition("key").sortWithinPartitions("key", "c")
+    keyed = materialise(keyed.mapInArrow(_nearest(most, close), "key int, c long, head long, bits int"), "near-keys")
     known = lambda pairs: _similar(pairs, classes, marked, text_col, words, similarity)
-    near = known(keyed.where("head <> c").select(F.col("head").alias("a"), F.col("c").alias("b")))
+    # A text has a few hundred keys, and so many heads at most.
+    heads = keyed.where("head <> c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "head"))), 1, HEADS).alias("heads"))
+    near = known(heads.select(F.col("c").alias("b"), F.inline("heads")).select(F.col("head").alias("a"), "b"))
     root: Column = F.coalesce("root", "c").alias("root")
-    rooted = keyed.join(connected_components(near).withColumnRenamed("node", "c"), "c", "left").select("key", "c", "word", root)
+    rooted = keyed.join(connected_components(near).withColumnRenamed("node", "c"), "c", "left").select("key", "c", root)
     rooted = materialise(rooted, "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    pairs = rooted.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "c").mapInArrow(_between(most), "a long, b long")
+    told = rooted.join(classes.select("c", "n", *(F.col("fp")[i].alias(f"w{i}") for i in range(LONGS))), "c")
+    told = told.select("key", "c", "root", "n", *(f"w{i}" for i in range(LONGS))).repartition("key").sortWithinPartitions("key", "c")
+    pairs = told.mapInArrow(_between(most, differing(similarity, 64 * LONGS), Fraction(str(similarity))), "a long, b long")
     roots = connected_components(near.union(known(pairs))).withColumnRenamed("node", "c")
     return rows, classes.join(roots, "c", "left").select("c", "n", "least", root)
 
