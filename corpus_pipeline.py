@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in windows of 2048."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), words=150_000)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), words=60_000)
 
 
 STAGES = [
