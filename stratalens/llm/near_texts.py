@@ -39,6 +39,8 @@ DEVIATIONS, OF_KEY, FIRST = 3.0, 3.0, 1.5
 REACH = 48
 #: The most similar ones of those that a text is compared with in the first round.
 HEADS = 8
+#: Rows that a text's keys are gathered in for the second round.
+PARTS = 8
 #: Rows of names are broadcast up to this many (32 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -251,10 +253,12 @@ def near_texts(marked: DataFrame, text_col: str = "text", words: int = SHINGLE_W
     heads = keyed.where("head <> c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "head"))), 1, HEADS).alias("heads"))
     near = known(heads.select(F.col("c").alias("b"), F.inline("heads")).select(F.col("head").alias("a"), "b"))
     root: Column = F.coalesce("root", "c").alias("root")
-    rooted = keyed.join(connected_components(near).withColumnRenamed("node", "c"), "c", "left").select("key", "c", root)
-    rooted = materialise(rooted, "rooted")
-    told = rooted.join(classes.select("c", "n", *(F.col("fp")[i].alias(f"w{i}") for i in range(LONGS))), "c")
-    told = told.select("key", "c", "root", "n", *(f"w{i}" for i in range(LONGS))).repartition("key").sortWithinPartitions("key", "c")
+    # Roots and fingerprints are joined to parts of a text's keys, a few hundred in all, which are then dealt out evenly.
+    parts = keyed.groupBy("c", F.pmod(F.hash("key"), F.lit(PARTS)).alias("part")).agg(F.collect_list("key").alias("keys"))
+    words_ = [f"w{i}" for i in range(LONGS)]
+    told = parts.join(connected_components(near).withColumnRenamed("node", "c"), "c", "left").select("c", "part", "keys", root)
+    told = told.join(classes.select("c", "n", *(F.col("fp")[i].alias(w) for i, w in enumerate(words_))), "c").repartition("c", "part")
+    told = told.select(F.explode("keys").alias("key"), "c", "root", "n", *words_).repartition("key").sortWithinPartitions("key", "c")
     pairs = told.mapInArrow(_between(most, differing(similarity, 64 * LONGS), Fraction(str(similarity))), "a long, b long")
     roots = connected_components(near.union(known(pairs))).withColumnRenamed("node", "c")
     return rows, classes.join(roots, "c", "left").select("c", "n", "least", root)
