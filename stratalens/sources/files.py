@@ -154,10 +154,15 @@ def feature_tag(content: Column) -> Column:
     return F.when(tag != "", tag)
 
 
+# The forms of links between hub pages.
+LINK = r"\[\[([^\]|]+(?:\|[^\]]*)?)\]\]"
+CROSS_LINK = r"@linked-to\s+\[\[([^\]]+)\]\]"
+
+
 def wiki_links(pages: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
     """(id, target, description, pos): the first link to each target; @linked-to links are left out."""
-    clean = F.regexp_replace(text_col, r"@linked-to\s+\[\[[^\]]+\]\]", "")
-    found = F.regexp_extract_all(clean, F.lit(r"\[\[([^\]|]+(?:\|[^\]]*)?)\]\]"), 1)
+    clean = F.regexp_replace(text_col, CROSS_LINK, "")
+    found = F.regexp_extract_all(clean, F.lit(LINK), 1)
     rows = pages.select(F.col(id_col).alias("id"), F.posexplode(found).alias("pos", "link"))
     rows = rows.select("id", "pos", F.trim(F.split_part("link", F.lit("|"), F.lit(1))).alias("target"), F.when(F.contains("link", F.lit("|")), F.trim(F.regexp_extract("link", r"\|(.*)$", 1))).alias("description"))
     first = rows.groupBy("id", "target").agg(F.min(F.struct("pos", "description")).alias("f"))
@@ -165,7 +170,7 @@ def wiki_links(pages: DataFrame, id_col: str = "path", text_col: str = "content"
 
 
 def cross_links(pages: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    found = F.regexp_extract_all(text_col, F.lit(r"@linked-to\s+\[\[([^\]]+)\]\]"), 1)
+    found = F.regexp_extract_all(text_col, F.lit(CROSS_LINK), 1)
     return pages.select(F.col(id_col).alias("id"), F.explode(found).alias("hub")).withColumn("hub", F.trim("hub"))
 
 
