@@ -43,7 +43,12 @@ SCOPE = frozenset("table td th caption button template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Selectors of style rules that are followed: a name, classes and an id on one element.
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -125,20 +130,78 @@ def _end(stack: list[Node], name: str) -> None:
         stack[-1].children.append(Node("p"))
 
 
-def hidden(node: Node) -> bool:
-    a = node.attrs
+class Styles:
+    """What the page's style elements say of display and visibility, by simple selectors: element names, classes and
+    ids of one element, in lists. Rules inside @media and the like, other selectors and style sheets of
+    other files are not read; a later rule wins over an earlier one, whatever its weight, and a style attribute over both."""
+
+    def __init__(self, root: Node) -> None:
+        self.rules: list[tuple[str, frozenset[str], str, str]] = []
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                continue
+            if node.name == "style":
+                self._read(_COMMENT.sub("", "".join(c for c in node.children if isinstance(c, str))))
+            stack.extend(reversed(node.children))
+
+    def _read(self, css: str) -> None:
+        plain, depth = [], 0  # nested blocks are cut out, with the @rule that opens them
+        for part in re.split(r"(@[^{};]*(?:;|\{)|[{}])", css):
+            if part.startswith("@"):
+                depth += part.endswith("{")
+            elif depth:
+                depth += (part == "{") - (part == "}")
+            else:
+                plain.append(part)
+        for selectors, body in _RULE.findall("".join(plain)):
+            if not (_GONE.search(body) or _VISIBILITY.search(body) or re.search(r"(?:^|;)\s*display\s*:", body, re.I)):
+                continue
+            for one in selectors.split(","):
+                if (m := _SELECTOR.fullmatch(one.strip())) and one.strip():
+                    names = re.findall(r"[.#][\w-]+", m[2])
+                    self.rules.append(((m[1] or "*").lower(), frozenset(n[1:] for n in names if n[0] == "."), next((n[1:] for n in names if n[0] == "#"), ""), body))
+
+    def of(self, node: Node) -> list[str]:
+        """Declarations that hold for a node, the strongest last."""
+        a = node.attrs
+        found = []
+        if self.rules:
+            classes = set(a.get("class", "").split())
+            found = [body for name, want, id_, body in self.rules if name in ("*", node.name) and want <= classes and id_ in ("", a.get("id", ""))]
+        return [*found, a["style"]] if "style" in a else found
+
+
+def hidden(node: Node, styles: Styles | None = None) -> bool:
+    """Whether a node and all in it go: by its element, an attribute or display."""
+    a, gone = node.attrs, False
+    for body in styles.of(node) if styles else [a["style"]] if "style" in a else ():
+        if _GONE.search(body):
+            gone = True
+        elif re.search(r"(?:^|;)\s*display\s*:", body, re.I):
+            gone = False
     return (
-        node.name in HIDDEN and not (node.name == "dialog" and "open" in a)
+        gone
+        or node.name in HIDDEN and not (node.name == "dialog" and "open" in a)
         or "hidden" in a
         or node.name == "input" and a.get("type", "").lower() == "hidden"
-        or bool(a) and "style" in a and bool(_INVISIBLE.search(a["style"]))
     )
 
 
+def unseen(node: Node, styles: Styles, before: bool) -> bool:
+    """Whether a node's own text is invisible; nodes in it may be made visible again."""
+    for body in styles.of(node):
+        if m := _VISIBILITY.search(body):
+            before = m[1].lower() != "visible"
+    return before
+
+
 class Lines:
-    """Text under construction: lines, with pending spaces and empty lines."""
+    """Text under construction: lines, with pending spaces and empty lines. Text comes to nothing while unseen."""
 
-    def __init__(self) -> None:
+    def __init__(self, styles: Styles, unseen: bool = False) -> None:
+        self.styles, self.unseen = styles, unseen
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
@@ -146,6 +209,8 @@ class Lines:
         self.indent, self.mark = "", ""
 
     def text(self, s: str, keep: bool = False) -> None:
+        if self.unseen:
+            return
         if keep:
             for i, part in enumerate(s.replace("\r\n", "\n").split("\n")):
                 if i:
@@ -215,29 +280,33 @@ def _table(node: Node, out: Lines) -> Steps:
             if isinstance(c, str):
                 if c.strip():
                     out.text(c)
-            elif hidden(c):
+            elif hidden(c, out.styles):
                 continue
             elif c.name == "tr":
                 cells: list[list[str]] = []
+                covered, carried_now = set(carried), {}
                 for d in c.children:
                     if isinstance(d, str):
-                        if d.strip():
+                        if d.strip() and not out.unseen:
                             cells.append([" ".join(d.split())])
                         continue
-                    if hidden(d):
+                    if hidden(d, out.styles):
                         continue
-                    while carried.get(len(cells), 0):
-                        carried[len(cells)] -= 1
+                    while len(cells) in covered:
                         cells.append([""])
-                    inner = Lines()
+                    inner = Lines(out.styles, unseen(c, out.styles, out.unseen))
                     yield _render(d, inner, as_cell=True)
                     span = int(d.attrs["colspan"]) if d.attrs.get("colspan", "").isdecimal() else 1
                     down = int(d.attrs["rowspan"]) if d.attrs.get("rowspan", "").isdecimal() else 1
-                    span = min(max(span, 1), 1000)
-                    for k in range(span):
+                    for k in range(min(max(span, 1), 1000)):
                         if down > 1:
-                            carried[len(cells)] = min(down, 65534) - 1
+                            carried_now[len(cells)] = min(down, 65534) - 1
                         cells.append(inner.done().split("\n") if not k else [""])
+                for k in covered:  # a row goes by, whether or not it has cells beyond the covered column
+                    carried[k] -= 1
+                    if not carried[k]:
+                        del carried[k]
+                carried.update(carried_now)
                 rows.append(cells)
             elif c.name in ("thead", "tbody", "tfoot", "colgroup"):
                 yield visit(c)
@@ -271,8 +340,15 @@ def _children(node: Node, out: Lines, keep: bool = False) -> Steps:
 
 def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -> Steps:
     name = node.name
-    if hidden(node):
+    if hidden(node, out.styles):
         return
+    before, out.unseen = out.unseen, unseen(node, out.styles, out.unseen)
+    yield _visible(node, out, keep, as_cell)
+    out.unseen = before
+
+
+def _visible(node: Node, out: Lines, keep: bool, as_cell: bool) -> Steps:
+    name = node.name
     if name == "br":
         out.line()
         return
@@ -303,14 +379,15 @@ def _render(node: Node, out: Lines, keep: bool = False, as_cell: bool = False) -
             if isinstance(c, str):
                 out.text(c, keep)
                 continue
-            if c.name == "li" and not hidden(c):
+            if c.name == "li" and not hidden(c, out.styles):
                 out.block(1)
-                before = out.indent
+                before, seen = out.indent, out.unseen
+                out.unseen = unseen(c, out.styles, seen)
                 out.mark = f"{number}. " if name == "ol" else "- "
                 number += name == "ol"
                 yield _children(c, out, keep)
                 out.block(1)
-                out.mark, out.indent = "", before
+                out.mark, out.indent, out.unseen = "", before, seen
             else:
                 yield _render(c, out, keep)
     else:
@@ -330,15 +407,18 @@ def visible_text(html: str | None) -> str:
     """All visible text of a page; empty for null, empty and wholly hidden pages."""
     if not html:
         return ""
-    out = Lines()
-    _run(_children(parse(html), out))
+    root = parse(html)
+    out = Lines(Styles(root))
+    _run(_children(root, out))
     return out.done()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, title (of the first title element, spaces collapsed), text.
 
-    Null and empty pages give empty texts. Repeated rows give repeated rows; an empty table none.
+    Null and empty pages give empty texts. Repeated rows give repeated rows; an empty table none. Malformed tags and
+    attributes are read as far as they go, and a page may be of any length and nested to any depth. Style
+    rules hide what simple selectors name (see Styles).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Embeddings, pages, URLs and the pipeline."""
 
 import math
+import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -160,6 +162,12 @@ def test_embedding_query(spark):
         ("</div></p>a<table>b", "a\n\nb"),
         ("<img alt='pic'><input type=hidden value=x>", "pic"),
         ("<textarea>&lt;b></textarea>", "<b>"),
+        ("<table><tr><td>a<td rowspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
+        ("<table><tr><td rowspan=3>a<td>b<tr><tr><td>c</table>", "a  b\n   c"),
+        ("<style>.x, p#y { display:none } @media print { .z {display:none} } /* .w {display:none} */</style><p class='x q'>no</p><p id=y>no</p><p class=z>z</p><p class=w>w</p>", "z\n\nw"),
+        ("<style>div{display:none}.on{display:block}</style><div>no</div><div class=on>yes</div>", "yes"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<p =x a=1 a=2 'y' z=>t</p ><P CLASS>u", "t\n\nu"),
     ],
 )
 def test_rendering(html, text):
@@ -191,6 +199,50 @@ def test_html_query(spark, sf):
     assert extract(odd.where("false")).collect() == []
 
 
+class Reader(HTMLParser):
+    """Visible words in order, by the standard library's parser: void and hidden elements, no layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.skip, self.open = [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if self.skip is None:
+            if tag == "img":
+                self.words += (a.get("alt") or "").split()
+            if tag in ("br", "img", "input", "hr", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"):
+                return
+            self.open.append(tag)
+            if tag in ("head", "script", "style", "template", "noscript", "iframe", "svg", "title") or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", ""):
+                self.skip = len(self.open)
+        elif tag not in ("br", "img", "input", "hr", "meta", "link", "wbr"):
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            if self.skip is not None and len(self.open) < self.skip:
+                self.skip = None
+
+    def handle_data(self, data):
+        if self.skip is None:
+            self.words += data.split()
+
+
+def test_words_of_all_pages_against_another_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    marks = re.compile(r"-|\d+\.")
+    for r in queries.op9_html(spark, sf).collect():
+        reader = Reader()
+        reader.feed(want[r.page_id])
+        reader.close()
+        words, seen = ([w for w in x if not marks.fullmatch(w)] for x in (reader.words, r.text.split()))
+        assert "".join(seen) == "".join(words), r.page_id
+
+
 # URLs
 
 
