@@ -53,7 +53,9 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.to - s["from"])
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    # Beside the digest the text that stays, so that a reader sees the cut itself; halves of cut characters are shown as such.
+    return digest.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.octet_length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
