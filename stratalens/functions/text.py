@@ -104,6 +104,16 @@ def cluster_label(segment: Column) -> Column:
     return F.array_join(F.transform(F.slice(words, 1, 2), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
 
 
+def dependency_hash(paths: Column, hashes: Column) -> Column:
+    """SHA-256 of the sorted lines path:hash of a file's dependencies."""
+    return F.sha2(F.array_join(F.array_sort(F.zip_with(paths, hashes, lambda p, h: F.concat_ws(":", p, h))), "\n"), 256)
+
+
+def cache_key(provider: str, model: str, content: Column) -> Column:
+    """The key under which a text's vector is kept: one for each provider, model and content."""
+    return F.sha2(F.concat_ws("\n", F.lit(provider), F.lit(model), content), 256)
+
+
 def token_estimate(c: Column) -> Column:
     """A fourth of the characters, rounded up."""
     return F.ceil(F.length(c) / 4)

@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
+from ..functions.text import cluster_label, slugify
 from ..functions.vectors import array_of, bind, cosine, norm
 
 MAX_CLUSTERS, MAX_ROUNDS, LEAF, DEPTH = 20, 20, 20, 3
+#: Files of a node that one task may split.
+ONE_TASK = 50_000
 
 
 def cluster_count(n: int, most: int = MAX_CLUSTERS) -> int:
@@ -125,17 +128,22 @@ def kmeans(items: DataFrame, most: int = MAX_CLUSTERS, rounds: int = MAX_ROUNDS,
         rank = F.row_number().over(Window.orderBy(id_col)) - 1  # at most `most` rows
         return items.select(id_col, rank.cast("int").alias("cluster"), F.lit(1.0).alias("score"))
     kind = dict(items.dtypes)[id_col]
-    unit = items.select(id_col, bind(F.transform(vector_col, lambda v: v.cast("double")), lambda r: bind(norm(r), lambda x: F.transform(r, lambda v: F.coalesce(F.try_divide(v, x), F.lit(0.0))))).alias("v")).persist()
+    unit = items.select(id_col, bind(F.transform(vector_col, lambda v: v.cast("double")), lambda r: bind(norm(r), lambda x: F.transform(r, lambda v: F.coalesce(F.try_divide(v, x), F.lit(0.0))))).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
     centers = np.array(farthest_first(unit, cluster_count(n, most), id_col))
     for _ in range(rounds):
 
         def sums(batches: Iterator[pd.DataFrame], centers: np.ndarray = centers) -> Iterator[pd.DataFrame]:
+            total, n, first = np.zeros_like(centers), np.zeros(len(centers), np.int64), {}
             for b in batches:
                 if len(b):
                     x = _matrix(b["v"])
                     label = (x @ centers.T).argmax(1)
-                    for c in np.unique(label):
-                        yield pd.DataFrame({"cluster": [int(c)], "n": [int((label == c).sum())], "first": [b[id_col][label == c].min()], "total": [x[label == c].sum(0).tolist()]})
+                    np.add.at(total, label, x)
+                    n += np.bincount(label, minlength=len(centers))
+                    least = b[id_col].groupby(label).min()
+                    first |= {c: min(v, first.get(c, v)) for c, v in least.items()}
+            for c in first:  # once a task, whatever its batches
+                yield pd.DataFrame({"cluster": [int(c)], "n": [int(n[c])], "first": [first[c]], "total": [total[c].tolist()]})
 
         rows = unit.mapInPandas(sums, f"cluster int, n long, first {kind}, total array<double>").collect()
         order = sorted({r["cluster"] for r in rows}, key=lambda c: min(r["first"] for r in rows if r["cluster"] == c))
@@ -153,12 +161,17 @@ def kmeans(items: DataFrame, most: int = MAX_CLUSTERS, rounds: int = MAX_ROUNDS,
                 sims = _matrix(b["v"]) @ centers.T
                 yield pd.DataFrame({id_col: b[id_col], "cluster": sims.argmax(1).astype("int32"), "score": sims.max(1)})
 
+    unit.unpersist()  # the rounds are over; what follows reads the items once more
     return unit.mapInPandas(told, f"`{id_col}` {kind}, cluster int, score double")
 
 
-def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, depth: int = DEPTH, one_task: int = ONE_TASK) -> DataFrame:
     """items: path, vector. (path, node, depth): nodes carry path ids such as 0/3/1, so none collide. A node
-    of at most `leaf` files is not split; the top one of a small set parts by the first two path segments."""
+    of at most `leaf` files is not split; the top one of a small set parts by the first two path segments.
+
+    Nodes of at most `one_task` files are split side by side, each in a task of its own; a larger one by the
+    distributed k-means, which has the same seeds and rounds, node by node: there are at most as many
+    such nodes as files over one_task."""
     nodes = items.select("path", "vector", F.lit("0").alias("node"))
     done = None
     for level in range(depth):
@@ -169,11 +182,35 @@ def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, dept
             small = small.withColumn("node", F.concat_ws("/", "node", F.array_join(F.slice(F.split("path", "/"), 1, F.least(F.size(F.split("path", "/")) - 1, F.lit(2))), "+")))
         rest = small.select("path", "node", F.lit(level).alias("depth"))
         done = rest if done is None else done.unionByName(rest)
-        labels = cluster_group(big, ["node"], most, "path")
+        large = [r.node for r in sizes.where(F.col("n") > max(leaf, one_task)).select("node").collect()]
+        labels = cluster_group(big.where(~F.col("node").isin(large)), ["node"], most, "path")
+        for node in large:
+            own = kmeans(big.where(F.col("node") == node).select("path", "vector"), most, MAX_ROUNDS, "path", "vector")
+            labels = labels.unionByName(own.select(F.lit(node).alias("node"), "path", "cluster"))
         nodes = big.join(labels, ["node", "path"]).select("path", "vector", F.concat_ws("/", "node", "cluster").alias("node"))
     return done.unionByName(nodes.select("path", "node", F.lit(depth).alias("depth")))
 
 
+def suggestion_labels(members: DataFrame) -> DataFrame:
+    """members: suggestion, path. (suggestion, segment, label, slug, n_files): the first part of its pattern (the part that its
+    paths begin with, if they share one, else the first path's) as a label of two words."""
+    first = F.split_part("path", F.lit("/"), F.lit(1))
+    rows = members.groupBy("suggestion").agg(F.min("path").alias("first_path"), F.min(first).alias("low"), F.max(first).alias("high"), F.count(F.lit(1)).alias("n_files"))
+    segment = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.split_part("first_path", F.lit("/"), F.lit(1)))
+    rows = rows.withColumn("segment", segment).withColumn("label", cluster_label(F.col("segment")))
+    return rows.select("suggestion", "segment", "label", slugify(F.col("label")).alias("slug"), "n_files")
+
+
+def overlapping_nodes(members: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
+    """members: suggestion, path. nodes: node, path. (suggestion, node, rank): the first k nodes, in order of their path ids,
+    that hold a file of the suggestion. A node's files are also its ancestors', so every ancestor of a leaf counts."""
+    parts = F.split("node", "/")
+    every = nodes.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("node"))
+    pairs = members.select("suggestion", "path").join(every, "path").select("suggestion", "node").distinct()
+    rank = F.row_number().over(Window.partitionBy("suggestion").orderBy("node"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def feature_tags(tags: DataFrame, k: int = 3) -> DataFrame:
     """tags: suggestion, tag. The k most frequent tags of each suggestion but 'none', by count, then tag."""
     counts = tags.where((F.col("tag") != "") & (F.lower("tag") != "none")).groupBy("suggestion", "tag").agg(F.count(F.lit(1)).alias("n"))

@@ -66,6 +66,20 @@ def orphans(files: DataFrame, links: DataFrame) -> DataFrame:
     return files.where(~F.endswith("path", F.lit(".md"))).join(links.select("path").distinct(), "path", "left_anti")
 
 
+def resolve_links(links: DataFrame, files: DataFrame, target: str = "target", path: str = "path") -> DataFrame:
+    """links with whether their target is a file (resolved), and the files' other columns, null for missing ones."""
+    known = files.dropDuplicates([path]).withColumnRenamed(path, "_known")
+    found = links.join(known, links[target] == known["_known"], "left")
+    return found.withColumn("resolved", F.col("_known").isNotNull()).drop("_known")
+
+
+def ownership_edges(symbols: DataFrame) -> DataFrame:
+    """symbols: path, name, kind, line, parent_name. (path, owner, owner_kind, name, line): each symbol and what owns it, its
+    parent of that name in the file, or the file itself."""
+    kind = F.when(F.col("parent_name").isNull(), "file").otherwise("symbol")
+    return symbols.select("path", F.coalesce("parent_name", "path").alias("owner"), kind.alias("owner_kind"), "name", "line")
+
+
 def removed(previous: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:
     return previous.join(current.select(key).distinct(), key, "left_anti")
 

@@ -58,10 +58,22 @@ def word_hits(symbols: DataFrame, files: DataFrame, identifiers: DataFrame | Non
     return first.select("token", "kind", "path", "line", "title", "first.score", "first.context")
 
 
-def lookup_word(hits: DataFrame, query_tokens: list[str], k: int = 10) -> DataFrame:
-    """Best score of each hit over the query's tokens; ties by path, line, kind, title."""
+#: Kinds that word hits on symbols count as.
+WORD_KINDS = ("symbol", "function", "class", "method", "variable")
+
+
+def lookup_word(hits: DataFrame, query_tokens: list[str], k: int = 10, kinds: list[str] | None = None) -> DataFrame:
+    """Best score of each hit over the query's tokens; ties by path, line, kind, title. With kinds, after the cut
+    to k, hits on symbols stay only if a kind is one of WORD_KINDS; other hits always do."""
     found = hits.where(F.col("token").isin(query_tokens)).groupBy("kind", "path", "line", "title").agg(F.max("score").alias("score"))
-    return found.orderBy(F.desc("score"), "path", "line", "kind", "title").limit(k)
+    found = found.orderBy(F.desc("score"), "path", "line", "kind", "title").limit(k)
+    return found if not kinds or {x.lower() for x in kinds} & {*WORD_KINDS} else found.where(F.col("kind") != "symbol")
+
+
+def path_content(files: DataFrame, query: str) -> DataFrame:
+    """(path, content) of the first path that the lookup finds."""
+    first = lookup_path(files, query, 1)  # one row at most
+    return files.select("path", "content").join(F.broadcast(first), "path")
 
 
 def outline(symbols: DataFrame, path: str) -> DataFrame:

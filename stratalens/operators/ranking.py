@@ -136,6 +136,55 @@ def listed(values, most: int = 3):
     return F.when(n == 0, "none").otherwise(F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(n > most, F.concat(F.lit(" +"), (n - most).cast("string"), F.lit(" more"))).otherwise("")))
 
 
+def api_card(exports: DataFrame, files: DataFrame, most: int = 4) -> DataFrame:
+    """exports: path, name, kind. files: path. (path, api): the exported symbols in order of name, the first few of them."""
+    rows = exports.groupBy("path").agg(F.array_sort(F.collect_set(F.format_string("%s (%s)", "name", "kind"))).alias("names"))  # bounded by a file's exports
+    text = F.when(F.size("names") > 0, F.concat(F.lit("Public API: "), listed(F.col("names"), most), F.lit("."))).otherwise("Public API: no exported symbols.")
+    return files.select("path").distinct().join(rows, "path", "left").select("path", text.alias("api"))
+
+
+def _first_few(edges: DataFrame, by: str, other: str, name: str, most: int) -> DataFrame:
+    """The first few of the other ends of each node in order, and their number: no whole neighbour list is gathered."""
+    pairs = edges.select(by, other).distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(other))
+    first = pairs.withColumn("rank", rank).where(F.col("rank") <= most).groupBy(by).agg(F.array_sort(F.collect_list(other)).alias(name))
+    return first.join(pairs.groupBy(by).agg(F.count(F.lit(1)).alias(f"n_{name}")), by).withColumnRenamed(by, "path")
+
+
+def few(names, n):
+    """Names as text, with the number left out; "none" without any."""
+    names, n = F.coalesce(names, F.array().cast("array<string>")), F.coalesce(n, F.lit(0))
+    more = n - F.size(names)
+    return F.when(n == 0, "none").otherwise(F.concat(F.array_join(names, ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise("")))
+
+
+def neighbourhood_cards(files: DataFrame, edges: DataFrame, calls: DataFrame, most: int = 3) -> DataFrame:
+    """files: path, module, n_symbols. edges: path, dep. calls: path, callee. (path, neighbourhood, hot_path)."""
+    direct, reverse = _first_few(edges, "path", "dep", "direct", most), _first_few(edges, "dep", "path", "reverse", most)
+    told = files.join(direct, "path", "left").join(reverse, "path", "left").join(_first_few(calls, "path", "callee", "callees", most + 1), "path", "left")
+    near = F.concat(F.lit("Dependency neighborhood: depends on "), few(F.col("direct"), F.col("n_direct")), F.lit(". Imported by "), few(F.col("reverse"), F.col("n_reverse")), F.lit("."))
+    led = F.concat(F.lit("Hot path: imported by "), F.col("n_reverse").cast("string"), F.lit(" file(s), led by "), few(F.col("reverse"), F.col("n_reverse")), F.lit("."))
+    busy = F.concat(F.lit("Hot path: calls "), few(F.col("callees"), F.col("n_callees")), F.lit(" from "), F.col("n_symbols").cast("string"), F.lit(" symbol(s)."))
+    alone = F.concat(F.lit("Hot path: isolated to module "), F.coalesce("module", F.lit(".")), F.lit(" with no downstream imports yet."))
+    return told.select("path", near.alias("neighbourhood"), F.when(F.col("n_reverse") > 0, led).when(F.col("n_callees") > 0, busy).otherwise(alone).alias("hot_path"))
+
+
+def module_cards(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """modules: module, n_files, n_symbols, n_exports. edges: from_module, to_module, one a cross-module import. (module,
+    ownership, hot_path, change_risk)."""
+    e = edges.where("from_module <> to_module")
+    into = e.groupBy(F.col("to_module").alias("module")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = e.groupBy(F.col("from_module").alias("module")).agg(F.count(F.lit(1)).alias("n_out"))
+    m = modules.join(into, "module", "left").join(out, "module", "left").fillna(0, ["n_in", "n_out"])
+    shared = F.format_string("Hot path: %s is a shared dependency for %d cross-module import edge(s).", "module", "n_in")
+    fans = F.format_string("Hot path: %s fans out across %d cross-module import edge(s).", "module", "n_out")
+    alone = F.format_string("Hot path: %s is currently self-contained.", "module")
+    risk = F.when((F.col("n_in") >= 3) | (F.col("n_exports") >= 4) | (F.col("n_files") >= 5), "high").when((F.col("n_in") > 0) | (F.col("n_exports") > 0) | (F.col("n_files") >= 3), "medium").otherwise("low")
+    note = F.format_string("Change risk: %s; files=%d, exported symbols=%d, incoming module imports=%d.", risk, "n_files", "n_exports", "n_in")
+    owns = F.format_string("Ownership: owns %d file(s) and %d symbol(s).", "n_files", "n_symbols")
+    return m.select("module", owns.alias("ownership"), F.when(F.col("n_in") > 0, shared).when(F.col("n_out") > 0, fans).otherwise(alone).alias("hot_path"), note.alias("change_risk"))
+
+
 def best_per_path(hits: DataFrame, k: int) -> DataFrame:
     """hits: path, score, id. The k best of each path."""
     order = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "id"))

@@ -123,9 +123,10 @@ def blast_radius(lines: DataFrame, name: str, defined_in: str | None = None, cal
     return per.join(F.broadcast(total)).withColumn("low_usage", F.col("total") <= 1)  # one row on the broadcast side
 
 
-def call_sites(symbols: DataFrame, lines: DataFrame, query: str, n: int = 10) -> DataFrame:
+def call_sites(symbols: DataFrame, lines: DataFrame, query: str, n: int = 10, query_vector: list[float] | None = None, vector: Column | None = None, semantic_weight: float = 0.82, keyword_weight: float = 0.18) -> DataFrame:
     """symbols: symbol_id, name. lines: path, line, content. The best n using lines of each symbol by the
-    share of the query's terms they hold; total counts all before the cut.
+    share of the query's terms they hold; total counts all before the cut. With a query vector, the best
+    max(30, 4n) lines by that share get a vector each (the column given) and are ranked anew by both.
 
     Names are first matched as whole words through a hash join on the words of each line, then as a
     pattern with word bounds; a name of several words is joined by its first one.
@@ -138,4 +139,12 @@ def call_sites(symbols: DataFrame, lines: DataFrame, query: str, n: int = 10) ->
     per = Window.partitionBy("symbol_id")
     ranked = hit.withColumn("keyword_score", score).withColumn("total", F.count(F.lit(1)).over(per))
     rank = F.row_number().over(per.orderBy(F.desc("keyword_score"), "path", "line"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= n).drop("word")
+    wide = n if query_vector is None else max(30, 4 * n)
+    ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= wide).drop("word")
+    if query_vector is None:
+        return ranked
+    semantic = F.greatest(settled(vectors.cosine(vector, vectors.array_of(query_vector))), F.lit(0.0))
+    ranked = ranked.withColumn("semantic_score", semantic)
+    ranked = ranked.withColumn("score", settled(scores.combined_score(F.col("semantic_score"), F.col("keyword_score"), semantic_weight, keyword_weight)))
+    rank = F.row_number().over(per.orderBy(F.desc("score"), F.desc("keyword_score"), "path", "line"))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= n)

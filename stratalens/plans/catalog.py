@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors
@@ -225,11 +225,26 @@ def vector_coverage(spark, sf):
     return retrieval.vector_coverage(t(spark, sf, "documents").select(F.col("doc_id").alias("id")), t(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
 
 
-@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos, greatest(vec_id % 7, 1)::DOUBLE AS w FROM embeddings)
-SELECT label, pos::BIGINT AS pos, round(sum(v * w) / sum(w), 6) AS value FROM x GROUP BY label, pos""")
+@query("""WITH x AS (SELECT vec_id // 4 AS text_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos, greatest(vec_id % 7, 1)::DOUBLE AS w FROM embeddings)
+SELECT text_id, pos::BIGINT AS pos, round(sum(v * w) / sum(w), 6) AS value FROM x GROUP BY text_id, pos""")
 def embedding_merge(spark, sf):
-    e = t(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"), F.greatest(F.col("vec_id") % 7, F.lit(1)).cast("double").alias("w"))
-    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.sum(F.col("v").cast("double") * F.col("w")) / F.sum("w"), 6).alias("value"))
+    pieces = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))  # four pieces of a text at most
+    e = t(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("text_id")).agg(pieces.alias("p"))
+    merged = vectors.merge_pieces(F.col("p.embedding"), F.transform("p", lambda x: x.vec_id % 7))
+    return e.select("text_id", F.posexplode(merged).alias("pos", "value")).select("text_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT vec_id AS id, len(embedding) AS n FROM embeddings WHERE vec_id IN (SELECT DISTINCT doc_id FROM labels)")
+def vector_reads(spark, sf):
+    rows = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return generations.vectors_of(rows, t(spark, sf, "labels").select(F.col("doc_id").alias("id"))).select("id", F.size("vector").cast("long").alias("n"))
+
+
+@query("""SELECT p_brand AS namespace, p_partkey AS id FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)
+UNION ALL SELECT (SELECT min(p_brand) FROM part), s_suppkey FROM supplier""")
+def namespace_replace(spark, sf):
+    p = t(spark, sf, "part").select(F.col("p_brand").alias("namespace"), F.col("p_partkey").alias("id"))
+    return generations.replace_namespace(p, p.agg(F.min("namespace")).first()[0], t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 _CENTERS = [[float((i + k) % 5 - 2) for i in range(64)] for k in range(6)]
@@ -346,6 +361,30 @@ def word_lookup(spark, sf):
     return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 20)
 
 
+_HITS = SQL["word_lookup"]
+
+
+@query(f"SELECT * FROM ({_HITS.replace('LIMIT 20', 'LIMIT 5000')}) WHERE kind <> 'symbol'")
+def word_lookup_other_kinds(spark, sf):
+    """Kinds without any of a symbol's drop hits on symbols after the cut."""
+    s = part_symbols(spark, sf)
+    f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
+    return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 5000, ["Heading"])
+
+
+@query(_HITS)
+def word_lookup_symbol_kinds(spark, sf):
+    s = part_symbols(spark, sf)
+    f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
+    return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 20, ["Class"])
+
+
+@query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, text AS content FROM documents)
+SELECT path, content FROM f WHERE contains(lower(path), '/en/1') ORDER BY path LIMIT 1""")
+def path_content(spark, sf):
+    return lookup.path_content(files(spark, sf), "/en/1").select("path", "content")
+
+
 @query("SELECT p_partkey AS line, p_name AS name, p_type AS kind FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
 def outline(spark, sf):
     s = part_symbols(spark, sf)
@@ -525,6 +564,17 @@ def blast_radius(spark, sf):
     return retrieval.blast_radius(lines, "thention").select("path", "usages", "total", "files", "low_usage")
 
 
+@query(r"""WITH l AS (SELECT p_brand AS path, CASE WHEN p_size % 2 = 0 THEN 'def ' ELSE '' END || p_name AS content FROM part),
+u AS (SELECT * FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_])small($|[^A-Za-z0-9_])') AND NOT (path = (SELECT min(p_brand) FROM part) AND starts_with(content, 'def small') AND regexp_matches(content, '^def small($|[^A-Za-z0-9_])'))),
+p AS (SELECT path, count(*) AS usages FROM u GROUP BY path)
+SELECT path, usages, (SELECT sum(usages)::BIGINT FROM p) AS total FROM p""")
+def blast_radius_of_defined(spark, sf):
+    """Lines that define the symbol are left out in its own file only."""
+    p = t(spark, sf, "part")
+    lines = p.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("line"), F.concat(F.when(F.col("p_size") % 2 == 0, "def ").otherwise(""), "p_name").alias("content"))
+    return retrieval.blast_radius(lines, "small", p.agg(F.min("p_brand")).first()[0]).select("path", "usages", "total")
+
+
 @query(r"""WITH s(symbol_id, name) AS (VALUES (1, 'thention'), (2, 'ontion'), (3, 'edition')),
 l AS (SELECT conv_id::VARCHAR AS path, turn AS line, text AS content FROM conversations),
 h AS (SELECT symbol_id, path, line, len(list_filter(['the', 'that', 'ontion'], lambda x: contains(lower(content), x))) / 3.0::DOUBLE AS k FROM s JOIN l ON regexp_matches(content, '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])'))
@@ -556,8 +606,8 @@ FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"',
 def hub_link_resolution(spark, sf):
     p = t(spark, sf, "pages")
     links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")).distinct()
-    known = p.where(F.contains("url", F.lit("/en/"))).select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("href"), F.lit(True).alias("hit")).distinct()
-    return links.join(known, "href", "left").select("page_id", "href", F.coalesce("hit", F.lit(False)).alias("resolved"))
+    known = p.where(F.contains("url", F.lit("/en/"))).select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    return graph.resolve_links(links, known, "href").select("page_id", "href", "resolved")
 
 
 @query(f"SELECT url AS hub, round({_cover('url', HUB_QUERY, 0.8, 0.2)}, 6) AS score FROM (SELECT DISTINCT url FROM pages) WHERE {_cover('url', HUB_QUERY, 0.8, 0.2)} > 0")
@@ -810,6 +860,146 @@ def extract_calls(spark, sf):
     return structure.calls(_code(spark, sf, body)).select("path", "caller", "callee")
 
 
+@query("SELECT p_partkey::VARCHAR AS path, p_brand AS source, array_to_string(string_split(p_name, ' '), ',') AS names FROM part")
+def extract_imports_python(spark, sf):
+    source = F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))
+    body = F.concat(F.lit("from "), source, F.lit(" import "), F.replace(F.col("p_name"), F.lit(" "), F.lit(" as x, ")))
+    code = _code(spark, sf, body).withColumn("lang", F.lit("python"))
+    return structure.imports(code).select("path", F.replace("source", F.lit("_"), F.lit("#")).alias("source"), F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, 'crate::m' || p_size AS source, array_to_string(string_split(p_name, ' '), ',') AS names FROM part")
+def extract_imports_rust(spark, sf):
+    body = F.concat(F.lit("use crate::m"), F.col("p_size").cast("string"), F.lit("::{"), F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit("};"))
+    return structure.imports(_code(spark, sf, body).withColumn("lang", F.lit("rust"))).select("path", "source", F.array_join("names", ",").alias("names"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT path::VARCHAR AS path, 'm/p' || k AS source, 'p' || k AS names FROM l WHERE line > 1 AND line < n""")
+def extract_imports_go(spark, sf):
+    """Orders of a customer as the lines of a Go file: the first opens an import block, the last closes it."""
+    w = Window.partitionBy("o_custkey")
+    line, n = F.row_number().over(w.orderBy("o_orderkey")), F.count(F.lit(1)).over(w)
+    quoted = F.concat(F.lit('\t"m/p'), F.col("o_orderkey").cast("string"), F.lit('"'))
+    text_ = F.when(F.col("line") == 1, "import (").when(F.col("line") == F.col("n"), ")").otherwise(quoted)
+    lines = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.lit("go").alias("lang"), line.alias("line"), n.alias("n"), "o_orderkey").withColumn("text", text_)
+    return structure.imports(lines).select("path", "source", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, unnest(string_split(p_name, ' ')) AS name, 'export' AS kind FROM part")
+def extract_exports_python(spark, sf):
+    body = F.concat(F.lit("__all__ = ['"), F.replace(F.col("p_name"), F.lit(" "), F.lit("', '")), F.lit("']"))
+    return structure.exports(_code(spark, sf, body).withColumn("lang", F.lit("python"))).select("path", "name", "kind")
+
+
+@query("SELECT p_partkey::VARCHAR AS path, split_part(p_name, ' ', 1) AS name, CASE WHEN p_size % 2 = 0 THEN 'fn' ELSE 'struct' END AS kind FROM part")
+def extract_exports_rust(spark, sf):
+    body = F.concat(F.when(F.col("p_size") % 2 == 0, "pub fn ").otherwise("pub(crate) struct "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" {"))
+    return structure.exports(_code(spark, sf, body).withColumn("lang", F.lit("rust"))).select("path", "name", "kind")
+
+
+@query("SELECT p_partkey::VARCHAR AS path, 'f' || p_size AS caller, unnest(['f' || p_size, 'w' || split_part(p_name, ' ', 1)]) AS callee FROM part")
+def extract_calls_go(spark, sf):
+    body = F.concat(F.lit("func f"), F.col("p_size").cast("string"), F.lit("() { for (x) { w"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(x) } }"))
+    return structure.calls(_code(spark, sf, body).withColumn("lang", F.lit("go"))).select("path", "caller", "callee")
+
+
+@query("SELECT p_brand AS path, coalesce(p_type, p_brand) AS owner, 'symbol' AS owner_kind, p_name AS name, p_partkey AS line FROM part")
+def ownership(spark, sf):
+    return graph.ownership_edges(part_symbols(spark, sf).withColumn("parent_name", F.col("kind")))
+
+
+# Cards, suggestions and hashes
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand AS path FROM part), n AS (SELECT DISTINCT p_brand AS path, p_name || ' (' || p_type || ')' AS name FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY name) AS rank, count(*) OVER (PARTITION BY path) AS n FROM n)
+SELECT path, 'Public API: ' || string_agg(name, ', ' ORDER BY name) FILTER (rank <= 4) || CASE WHEN max(n) > 4 THEN ' +' || (max(n) - 4) || ' more' ELSE '' END || '.' AS api FROM r GROUP BY path""")
+def card_api(spark, sf):
+    s = part_symbols(spark, sf)
+    return ranking.api_card(s.select("path", "name", "kind"), s)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey::VARCHAR AS path, l_partkey::VARCHAR AS dep FROM lineitem WHERE l_linenumber = 7),
+d AS (SELECT path, string_agg(dep, ', ' ORDER BY dep) FILTER (r <= 3) AS names, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY dep) AS r, count(*) OVER (PARTITION BY path) AS n FROM e) GROUP BY path),
+b AS (SELECT dep AS path, string_agg(path, ', ' ORDER BY path) FILTER (r <= 3) AS names, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY dep ORDER BY path) AS r, count(*) OVER (PARTITION BY dep) AS n FROM e) GROUP BY dep),
+t AS (SELECT s.s_suppkey::VARCHAR AS path, coalesce(d.names || CASE WHEN d.n > 3 THEN ' +' || (d.n - 3) || ' more' ELSE '' END, 'none') AS x, coalesce(b.names || CASE WHEN b.n > 3 THEN ' +' || (b.n - 3) || ' more' ELSE '' END, 'none') AS y, b.n AS n FROM supplier s LEFT JOIN d ON d.path = s.s_suppkey::VARCHAR LEFT JOIN b ON b.path = s.s_suppkey::VARCHAR)
+SELECT path, 'Dependency neighborhood: depends on ' || x || '. Imported by ' || y || '.' AS neighbourhood,
+  CASE WHEN n > 0 THEN 'Hot path: imported by ' || n || ' file(s), led by ' || y || '.' ELSE 'Hot path: isolated to module m with no downstream imports yet.' END AS hot_path FROM t""")
+def card_neighbourhood(spark, sf):
+    edges = t(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("dep")).distinct()
+    f = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit("m").alias("module"), F.lit(1).alias("n_symbols"))
+    return ranking.neighbourhood_cards(f, edges, spark.createDataFrame([], "path string, callee string"))
+
+
+@query("""WITH m AS (SELECT p_brand AS module, count(DISTINCT p_type) AS f, count(*) AS s, count(*) FILTER (p_size > 48) AS x FROM part GROUP BY 1),
+e AS (SELECT DISTINCT a.p_brand AS a, b.p_brand AS b, a.p_partkey, b.p_partkey AS q FROM part a JOIN part b ON b.p_partkey = a.p_partkey * 7 WHERE a.p_brand <> b.p_brand),
+i AS (SELECT b AS module, count(*) AS n FROM e GROUP BY 1), o AS (SELECT a AS module, count(*) AS n FROM e GROUP BY 1),
+t AS (SELECT m.*, coalesce(i.n, 0) AS i, coalesce(o.n, 0) AS o FROM m LEFT JOIN i USING (module) LEFT JOIN o USING (module))
+SELECT module, 'Ownership: owns ' || f || ' file(s) and ' || s || ' symbol(s).' AS ownership,
+  'Hot path: ' || module || CASE WHEN i > 0 THEN ' is a shared dependency for ' || i || ' cross-module import edge(s).' WHEN o > 0 THEN ' fans out across ' || o || ' cross-module import edge(s).' ELSE ' is currently self-contained.' END AS hot_path,
+  'Change risk: ' || CASE WHEN i >= 3 OR x >= 4 OR f >= 5 THEN 'high' WHEN i > 0 OR x > 0 OR f >= 3 THEN 'medium' ELSE 'low' END || '; files=' || f || ', exported symbols=' || x || ', incoming module imports=' || i || '.' AS change_risk FROM t""")
+def module_card_texts(spark, sf):
+    p = t(spark, sf, "part")
+    m = p.groupBy(F.col("p_brand").alias("module")).agg(F.count_distinct("p_type").alias("n_files"), F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("p_size") > 48).alias("n_exports"))
+    a, b = p.select(F.col("p_brand").alias("from_module"), (F.col("p_partkey") * 7).alias("k")), p.select(F.col("p_brand").alias("to_module"), F.col("p_partkey").alias("k"))
+    return ranking.module_cards(m, a.join(b, "k").select("from_module", "to_module"))
+
+
+@query("""SELECT label::VARCHAR AS suggestion, min(source || '/' || lang || '/' || doc_id) AS first_path, count(*) AS n_files FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY label""")
+def suggestion_members(spark, sf):
+    m = t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("suggestion")).join(t(spark, sf, "documents"), "doc_id")
+    m = m.select("suggestion", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    firsts = m.groupBy("suggestion").agg(F.min("path").alias("first_path"))
+    return clusters.suggestion_labels(m).join(firsts, "suggestion").select("suggestion", "first_path", "n_files")
+
+
+def _title(c: str) -> str:
+    words = f"list_filter(string_split(regexp_replace({c}, '[-_]+', ' ', 'g'), ' '), lambda w: w <> '')[1:2]"
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(f"""WITH m AS (SELECT p_brand AS suggestion, p_name || '/' || p_partkey AS path FROM part),
+s AS (SELECT suggestion, min(path) AS first_path, count(*) AS n_files FROM m GROUP BY 1), g AS (SELECT *, split_part(first_path, '/', 1) AS segment FROM s)
+SELECT suggestion, segment, {_title('segment')} AS label, n_files FROM g""")
+def suggestion_labels(spark, sf):
+    m = t(spark, sf, "part").select(F.col("p_brand").alias("suggestion"), F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("path"))
+    return clusters.suggestion_labels(m).select("suggestion", "segment", "label", "n_files")
+
+
+@query("""WITH n AS (SELECT p_partkey AS path, '0/' || (p_size % 3) || '/' || (p_size % 5) AS leaf FROM part),
+e AS (SELECT path, unnest(['0', regexp_extract(leaf, '^0/[0-9]', 0), leaf]) AS node FROM n),
+d AS (SELECT DISTINCT p_brand AS suggestion, node FROM part JOIN e ON path = p_partkey)
+SELECT suggestion, node, row_number() OVER (PARTITION BY suggestion ORDER BY node)::INTEGER AS rank FROM d QUALIFY rank <= 3""")
+def cluster_overlap(spark, sf):
+    p = t(spark, sf, "part")
+    nodes = p.select(F.col("p_partkey").alias("path"), F.concat_ws("/", F.lit("0"), (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 5).cast("string")).alias("node"))
+    return clusters.overlapping_nodes(p.select(F.col("p_brand").alias("suggestion"), F.col("p_partkey").alias("path")), nodes)
+
+
+@query("""SELECT s_suppkey AS path, sha256(string_agg(k || ':' || md5(k), chr(10) ORDER BY k || ':' || md5(k))) AS hash FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey::VARCHAR AS k FROM lineitem WHERE l_linenumber = 7) GROUP BY 1""")
+def dependency_hashes(spark, sf):
+    edges = t(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").cast("string").alias("k")).distinct()
+    lists = edges.groupBy("path").agg(F.collect_list("k").alias("k"))  # a file's direct dependencies
+    return lists.select("path", text.dependency_hash(F.col("k"), F.transform("k", F.md5)).alias("hash"))
+
+
+@query("SELECT p_partkey AS id, sha256('mock' || chr(10) || 'm1' || chr(10) || p_name) AS key FROM part")
+def cache_keys(spark, sf):
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.cache_key("mock", "m1", F.col("p_name")).alias("key"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, trim(concat_ws(' ', p_brand, p_type, CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 2 = 0 THEN 'const' ELSE 'file' END, CASE WHEN p_size % 2 = 0 THEN 'sig ' || p_size END, CASE WHEN p_size % 2 = 0 THEN 'A ' || p_name END, CASE WHEN p_size % 2 = 0 THEN 'body' END)) AS lexical_text FROM part""")
+def chunk_texts(spark, sf):
+    even = F.col("p_size") % 2 == 0
+    c = t(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("path"), F.col("p_type").alias("header"), F.when(even, "symbol").otherwise("file-fallback").alias("chunk_type"),
+        F.when(even, F.col("p_name")).alias("name"), F.when(even, "const").otherwise("file").alias("kind"), F.when(even, F.concat(F.lit("sig "), F.col("p_size").cast("string"))).alias("signature"),
+        F.when(even, F.array(F.lit("A"), "p_name")).otherwise(F.array().cast("array<string>")).alias("symbol_path"), F.lit("body").alias("content"),
+    )
+    return c.select("id", postings.chunk_text().alias("lexical_text"))
+
+
 @query("""WITH c AS (SELECT l_partkey AS path, l_linenumber::INTEGER AS added, l_suppkey::INTEGER AS removed FROM lineitem)
 SELECT p_name AS path, p_brand AS code, coalesce(sum(added), 0)::BIGINT AS added, coalesce(sum(removed), 0)::BIGINT AS removed FROM part LEFT JOIN c ON c.path = p_partkey GROUP BY p_partkey, p_name, p_brand""")
 def status_numstat(spark, sf):

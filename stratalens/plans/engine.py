@@ -11,7 +11,8 @@ from ..functions import text, vectors
 from ..operators import clusters, graph, lookup, postings, ranking, retrieval, rules
 from ..sources import files as tree
 from ..sources import structure
-from .generations import CORE, STAGES, Manifest, Store, validate
+from .generations import CORE, STAGES, Manifest, Store, reuse, validate
+
 
 @dataclass
 class Providers:
@@ -28,11 +29,16 @@ class Engine:
 
     # Building
 
-    def index(self, root: str | DataFrame, mode: str = "full") -> list[tuple[str, str]]:
-        """Builds and validates a pending generation and makes it active; on failure it is cleared."""
+    def index(self, root: str | DataFrame, mode: str = "full", since: int = 0) -> list[tuple[str, str]]:
+        """Builds and validates a pending generation and makes it active; on failure it is cleared. since: a generation
+        from which rows of unchanged files are taken over."""
+        with self.store.lock():
+            return self._index(root, mode, since)
+
+    def _index(self, root: str | DataFrame, mode: str, since: int) -> list[tuple[str, str]]:
         g = self.store.reserve()
         try:
-            self._build(root, g, mode)
+            self._build(root, g, mode, since)
             issues = validate(self.store, g, mode)
             if issues:
                 raise RuntimeError("; ".join(f"{c}: {m}" for c, m in issues))
@@ -42,9 +48,10 @@ class Engine:
             self.store.clear_pending()
             raise
 
-    def _build(self, root: str | DataFrame, g: int, mode: str) -> None:
-        made = Manifest(g, mode, provider=self.providers.name)
+    def _build(self, root: str | DataFrame, g: int, mode: str, since: int = 0) -> None:
+        made = Manifest(g, mode, provider=self.providers.name, since=since)
         frames: dict[str, DataFrame] = {}
+        same = fresh = None  # paths of unchanged files, and the files to read anew
 
         def put(name: str, df: DataFrame) -> DataFrame:
             self.store.save(g, name, df)
@@ -52,6 +59,14 @@ class Engine:
             made.tables[name] = frames[name].count()
             return frames[name]
 
+        def per_file(name: str, build) -> DataFrame:
+            """A table whose rows come from one file each: build makes those of the files given, the rest stays as it was."""
+            if same is None:
+                return put(name, build(frames["files"]))
+            kept = self.store.table(name, since).join(same, "path", "left_semi")
+            made.reused[name] = kept.count()
+            return put(name, kept.unionByName(build(fresh)))
+
         embed = self.providers.column
         source = tree.read_tree(self.spark, root) if isinstance(root, str) else root
         for stage in STAGES if mode == "full" else CORE:
@@ -60,30 +75,45 @@ class Engine:
             if stage == "bootstrap":
                 f = source.dropDuplicates(["path"])
                 put("files", f.select("path", "content", "size", "mtime_ms", text.content_hash(F.col("content")).alias("hash"), text.directory(F.col("path")).alias("module"), tree.language(F.col("path")).alias("language"), tree.header(F.col("content")).alias("header")))
+                if since:
+                    kept, fresh = reuse(self.store.table("files", since), frames["files"], ["path", "hash"], [])
+                    same = kept.select("path")
             elif stage == "file-search":
-                symbols = put("symbols", structure.parse_symbols(frames["files"]).dropDuplicates(["path", "name", "line"]))
-                docs = tree.source_documents(frames["files"], symbols).unionByName(tree.text_documents(frames["files"]))
+                symbols = per_file("symbols", lambda f: structure.parse_symbols(f).dropDuplicates(["path", "name", "line"]))
+                per_file("symbol_tokens", lambda f: lookup.symbol_tokens(symbols.join(f.select("path"), "path", "left_semi")))
                 search = F.concat_ws(" ", "path", "header", F.array_join("symbols", " "), "content")
-                put("file_docs", docs.dropDuplicates(["path"]).withColumn("vector", embed(search)))
+                per_file("file_docs", lambda f: tree.source_documents(f, symbols).unionByName(tree.text_documents(f)).dropDuplicates(["path"]).withColumn("vector", embed(search)))
             elif stage == "identifier-search":
-                ids = frames["symbols"].join(frames["files"].select("path", "header"), "path")
-                told = F.concat_ws(" ", "name", "kind", "signature", "parent_name", "path", "header")
-                ids = ids.select(F.concat_ws(":", "path", "name", "line").alias("id"), "path", "header", "name", "kind", "line", "end_line", "signature", "parent_name", told.alias("text"))
-                put("identifiers", ids.dropDuplicates(["id"]).withColumn("vector", embed(F.col("text"))))
+                per_file("identifiers", lambda f: self._identifiers(f, frames["symbols"]).withColumn("vector", embed(F.col("text"))))
+                ids = frames["identifiers"].withColumn("lexical_text", postings.identifier_text())
+                own = lambda df, f: df.join(f.select("path"), "path", "left_semi")
+                per_file("identifier_postings", lambda f: self._postings(own(ids, f)))
+                per_file("word_hits", lambda f: lookup.word_hits(own(frames["symbols"], f), f, own(frames["identifiers"], f)))
             else:
-                self._artifacts(frames, put)
+                self._artifacts(frames, put, per_file)
             made.stages[stage] = "completed"
         self.store.save_manifest(made)
 
-    def _artifacts(self, frames: dict[str, DataFrame], put) -> None:
+    @staticmethod
+    def _identifiers(files: DataFrame, symbols: DataFrame) -> DataFrame:
+        ids = symbols.join(files.select("path", "header"), "path")
+        told = F.concat_ws(" ", "name", "kind", "signature", "parent_name", "path", "header")
+        return ids.select(F.concat_ws(":", "path", "name", "line").alias("id"), "path", "header", "name", "kind", "line", "end_line", "signature", "parent_name", told.alias("text")).dropDuplicates(["id"])
+
+    @staticmethod
+    def _postings(texts: DataFrame) -> DataFrame:
+        """Term counts of texts (id, path, lexical_text), with the path that they come from."""
+        return postings.term_frequencies(texts, "id", F.col("lexical_text")).join(texts.select("id", "path"), "id")
+
+    def _artifacts(self, frames: dict[str, DataFrame], put, per_file) -> None:
         f, symbols = frames["files"], frames["symbols"]
         embed = self.providers.column
-        lines = structure.source_lines(f)
-        c = put("chunks", postings.chunks(f, symbols).withColumn("lexical_text", postings.chunk_text()).withColumn("vector", embed(F.col("lexical_text"))))
-        put("postings", postings.term_frequencies(c, "id", F.col("lexical_text")))
-        imports = put("imports", structure.imports(lines))
-        exports = put("exports", structure.exports(lines))
-        put("calls", structure.calls(lines))
+        own = lambda df, files: df.join(files.select("path"), "path", "left_semi")
+        per_file("chunks", lambda files: postings.chunks(files, own(symbols, files)).withColumn("lexical_text", postings.chunk_text()).withColumn("vector", embed(F.col("lexical_text"))))
+        per_file("postings", lambda files: self._postings(own(frames["chunks"], files)))
+        imports = per_file("imports", lambda files: structure.imports(structure.source_lines(files)))
+        exports = per_file("exports", lambda files: structure.exports(structure.source_lines(files)))
+        per_file("calls", lambda files: structure.calls(structure.source_lines(files)))
         deps = put("deps", graph.resolve_imports(imports, f).select("path", "dep").distinct())
         put("modules", graph.module_summary(f, deps, symbols))
         put("module_edges", graph.module_import_edges(deps, f))
@@ -101,11 +131,33 @@ class Engine:
         put("hub_links", tree.wiki_links(hubs, "hub").select(F.col("id").alias("hub"), "target", "description", "pos"))
         risk = graph.file_risk(f, deps, exports)
         n = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
-        put("cards", ranking.file_cards(f.select("path", "module", "header").join(n, "path", "left").fillna(0, ["n_symbols"]), risk))
-
-    def refresh(self, root: str | DataFrame) -> list[tuple[str, str]]:
-        """A new full generation; the active one serves until it is valid."""
-        return self.index(root)
+        sized = f.select("path", "module", "header").join(n, "path", "left").fillna(0, ["n_symbols"])
+        cards = ranking.file_cards(sized, risk).join(ranking.api_card(exports, f), "path")
+        put("cards", cards.join(ranking.neighbourhood_cards(sized, deps, frames["calls"].select("path", "callee")), "path"))
+        of_module = lambda df, name: df.join(f.select("path", "module"), "path").groupBy("module").agg(F.count(F.lit(1)).alias(name))
+        modules = f.groupBy("module").agg(F.count(F.lit(1)).alias("n_files")).join(of_module(symbols, "n_symbols"), "module", "left")
+        modules = modules.join(of_module(graph.exported_symbols(symbols, exports), "n_exports"), "module", "left").fillna(0, ["n_symbols", "n_exports"])
+        put("module_cards", ranking.module_cards(modules, frames["module_edges"]))
+        put("ownership", graph.ownership_edges(symbols))
+
+    def refresh(self, root: str | DataFrame, mode: str = "full") -> list[tuple[str, str]]:
+        """A new generation in which only new and changed files are read, parsed and embedded anew; rows of the others, by
+        path and content hash, are taken over from the active one if the same provider built it as widely, and what
+        depends on several files is derived again. The active one serves until the new one is valid."""
+        p = self.store.pointer()
+        m = self.store.manifest(p.active) if p.active else None
+        usable = m and m.provider == self.providers.name and (mode == "core" or m.mode == "full") and not validate(self.store, p.active, mode)
+        return self.index(root, mode, p.active if usable else 0)
+
+    def repair(self, root: str | DataFrame, target: str = "full") -> list[tuple[str, str]]:
+        """Issues of the active generation before the repair. A broken or blocked one is built anew, whole, whatever
+        stage is named: stages share their tables. A valid one is left alone."""
+        if target not in ("full", "core", *STAGES):
+            raise ValueError(f"{target} is no stage")
+        issues = self.check("core" if target in ("core", *CORE) else "full")
+        if issues:
+            self.index(root)
+        return issues
 
     # Queries. Each reads the active generation only.
 
@@ -120,14 +172,24 @@ class Engine:
             raise RuntimeError("the index is not valid: " + "; ".join(f"{c}: {m}" for c, m in issues))
 
     def symbol(self, query: str, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
-        return lookup.lookup_symbol(lookup.symbol_tokens(self._t("symbols")), query, k, kinds)
+        return lookup.lookup_symbol(self._t("symbol_tokens"), query, k, kinds)
 
     def path(self, query: str, k: int = 10) -> DataFrame:
         return lookup.lookup_path(self._t("files"), query, k)
 
-    def word(self, query: str, k: int = 10) -> DataFrame:
+    def word(self, query: str, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
         tokens = list(dict.fromkeys([query.strip().lower(), *text.query_terms(query, text.EXACT)]))
-        return lookup.lookup_word(lookup.word_hits(self._t("symbols"), self._t("files"), self._t("identifiers")), tokens, k)
+        return lookup.lookup_word(self._t("word_hits"), tokens, k, kinds)
+
+    def path_content(self, query: str) -> DataFrame:
+        """The first file that the path lookup finds, with its indexed content: path, content; no row for none."""
+        return lookup.path_content(self._t("files"), query)
+
+    def exact(self, query: str, kind: str = "mixed", k: int = 10, kinds: list[str] | None = None) -> dict[str, DataFrame]:
+        """Exact search: symbols for 'symbol', files for 'file', and both with word hits for 'mixed'."""
+        found = {"symbols": lambda: self.symbol(query, k, kinds), "files": lambda: self.path(query, k), "words": lambda: self.word(query, k, kinds)}
+        asked = {"symbol": ["symbols"], "file": ["files"], "mixed": [*found]}[kind]
+        return {name: found[name]() for name in asked}
 
     def outline(self, path: str) -> DataFrame:
         if not self._t("files").where(F.col("path") == path).limit(1).count():
@@ -156,7 +218,7 @@ class Engine:
         wide = max(10 * k, 40)
         chunk_hits = retrieval.hybrid_search(self._t("postings"), c, query, v, wide, *weights.get(mode, (0.68, 0.32)))
         ids = self._t("identifiers").withColumns({"title": F.col("name"), "entity_type": F.lit("symbol"), "lexical_text": postings.identifier_text()})
-        id_hits = retrieval.hybrid_search(postings.term_frequencies(ids, "id", F.col("lexical_text")), ids, query, v, wide, *weights.get(mode, (0.68, 0.32)))
+        id_hits = retrieval.hybrid_search(self._t("identifier_postings"), ids, query, v, wide, *weights.get(mode, (0.68, 0.32)))
         merged = ranking.merge_lanes(ranking.lane(file_rows, "file"), ranking.lane(chunk_hits, "chunk"), ranking.lane(id_hits, "identifier"))
         return ranking.rank(ranking.add_structure(merged, *self._structure(), query, mode), k, entity_types, kinds)
 
@@ -201,6 +263,23 @@ class Engine:
             return ranking.find_hub(self._t("hubs"), name)
         return ranking.rank_hubs(self._t("hubs"), query, self.providers.query(query), mode) if query else self._t("hubs").orderBy("hub")
 
+    def expand_hub(self, hub: str) -> DataFrame:
+        """Links of one hub in order, each with whether its file is indexed, and the header and symbols of those that are."""
+        links = self._t("hub_links").where(F.col("hub") == hub)
+        told = graph.resolve_links(links, self._t("files").select("path", "header"))
+        names = self._t("symbols").groupBy("path").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("symbols"))
+        return told.join(names, told["target"] == names["path"], "left").select("hub", "pos", "target", "description", "resolved", "header", "symbols").orderBy("pos")
+
+    def suggestions(self, k: int = 4) -> dict[str, DataFrame]:
+        """Hub suggestions from the clusters: members, labels with their slugs, tags, groups and links between them."""
+        nodes = self._t("cluster_nodes").select(F.col("node").alias("suggestion"), "path")
+        code = nodes.where(tree.navigable(F.col("path")))
+        labels = clusters.suggestion_labels(code)
+        headers = self._t("files").select("path", tree.feature_tag(F.col("content")).alias("tag"))
+        tags = clusters.feature_tags(code.join(headers, "path").where("tag is not null").select("suggestion", "tag"))
+        groups = clusters.feature_groups(tags, code, labels.select("suggestion", "label"))
+        return {"members": code, "labels": labels, "tags": tags, "groups": groups, "links": clusters.suggestion_links(code, self._t("related").select("path", "related"), k)}
+
     def clusters(self) -> DataFrame:
         n = self._t("cluster_nodes")
         return n.groupBy("node", "depth").agg(F.count(F.lit(1)).alias("n_files"), text.path_pattern(F.array_sort(F.collect_list("path"))).alias("pattern")).orderBy("node")

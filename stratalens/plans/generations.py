@@ -1,13 +1,19 @@
 """Immutable generations of index tables with one pointer.
 
 A build writes a pending generation's tables, validates them and then publishes by writing the pointer
-last; readers see one generation from start to end. Publishing renames the pointer, which is atomic on
-HDFS and local file systems; on object stores a pointer write replaces it as a whole.
+last; readers see one generation from start to end. Publishing renames a new pointer over the old one in
+one call, so a crash leaves the old one or the new one; on object stores a pointer write replaces it as a
+whole. One mutation at a time holds the store's lock, a file that only one writer can create.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +23,9 @@ SCHEMA_VERSION, CONTRACT_VERSION, ARTIFACT_VERSION = 4, 13, 17
 #: Stages: what they need and which tables they write. 'full' builds run all, 'core' ones the first three.
 STAGES = {
     "bootstrap": ((), ("files",)),
-    "file-search": (("bootstrap",), ("symbols", "file_docs")),
-    "identifier-search": (("bootstrap", "file-search"), ("identifiers",)),
-    "full-artifacts": (("bootstrap", "file-search", "identifier-search"), ("chunks", "postings", "imports", "exports", "calls", "deps", "modules", "module_edges", "related", "cluster_nodes", "hubs", "hub_links", "cards")),
+    "file-search": (("bootstrap",), ("symbols", "symbol_tokens", "file_docs")),
+    "identifier-search": (("bootstrap", "file-search"), ("identifiers", "identifier_postings", "word_hits")),
+    "full-artifacts": (("bootstrap", "file-search", "identifier-search"), ("chunks", "postings", "imports", "exports", "calls", "deps", "modules", "module_edges", "related", "cluster_nodes", "hubs", "hub_links", "cards", "module_cards", "ownership")),
 }
 CORE = ("bootstrap", "file-search", "identifier-search")
 
@@ -40,6 +46,8 @@ class Manifest:
     tables: dict[str, int] = field(default_factory=dict)
     stages: dict[str, str] = field(default_factory=dict)
     provider: str = "mock"
+    since: int = 0
+    reused: dict[str, int] = field(default_factory=dict)
     schema_version: int = SCHEMA_VERSION
     contract_version: int = CONTRACT_VERSION
     artifact_version: int = ARTIFACT_VERSION
@@ -70,10 +78,29 @@ class Store:
         out = self._fs.create(temp, True)
         out.write(json.dumps(value, sort_keys=True).encode())
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(temp, target):
-            raise OSError(f"cannot publish {name}")
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(temp), self._fs.makeQualified(target), over)
+
+    @contextmanager
+    def lock(self, what: str = "mutation", stale_s: float = 6 * 3600) -> Iterator[None]:
+        """Holds the store for one writer; raises if another one does. A lock older than stale_s is taken over, and its
+        owner is never stopped."""
+        path = self._path(f"{self.root}/{what}.lock")
+        if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > stale_s:
+            self._fs.delete(path, False)
+        try:
+            out = self._fs.create(path, False)
+        except Exception as e:
+            raise RuntimeError(f"{what} is locked by {self._read(f'{what}.lock')}") from e
+        out.write(json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "since": time.time()}).encode())
+        out.close()
+        try:
+            yield
+        finally:
+            self._fs.delete(path, False)
 
     def pointer(self) -> Pointer:
         return Pointer(**(self._read("pointer.json") or {}))
@@ -136,6 +163,21 @@ class Store:
         return Manifest(**found) if found else None
 
 
+    def vectors(self, table: str, ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+        """(id, vector) of one of the active generation's tables: all, or those of ids (column id)."""
+        return vectors_of(self.table(table).select(F.col(id_col).alias("id"), "vector"), ids)
+
+
+def vectors_of(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """rows (id, vector) of the ids asked for, or all."""
+    return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def replace_namespace(current: DataFrame, namespace: str, rows: DataFrame, column: str = "namespace") -> DataFrame:
+    """current with all rows of one namespace replaced."""
+    return current.where(F.col(column) != namespace).unionByName(rows.withColumn(column, F.lit(namespace)).select(current.columns))
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """current with the rows of changes in place of those with their keys."""
     return current.join(changes.select(*key).distinct(), key, "left_anti").unionByName(changes)
@@ -181,6 +223,15 @@ def validate(store: Store, generation: int, mode: str = "full") -> list[tuple[st
                 issues.append(("missing-table", f"{t} is missing"))
             elif (n := store.table(t, generation).count()) != m.tables.get(t):
                 issues.append(("row-count-mismatch", f"{t} has {n} rows, the manifest says {m.tables.get(t)}"))
+    for stage in m.stages:
+        if stage not in STAGES:
+            issues.append(("unknown-stage", f"{stage} is no stage"))
+        elif missing := [d for d in STAGES[stage][0] if m.stages.get(d) != "completed"]:
+            issues.append(("stage-dependency", f"{stage} is complete without {', '.join(missing)}"))
+    if p.pending and p.pending == generation and p.active == generation:
+        issues.append(("pointer-conflict", f"generation {generation} is pending and active"))
+    if not issues and store.table("files", generation).where(F.col("path").isNull() | (F.col("path") == "")).limit(1).count():
+        issues.append(("missing-path", "a file has no path"))
     if not issues and mode == "full":
         lost = store.table("postings", generation).select("id").distinct().join(store.table("chunks", generation).select("id"), "id", "left_anti").limit(1).count()
         if lost:

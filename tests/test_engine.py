@@ -210,3 +210,86 @@ def test_listing_changes(spark):
 
 def test_python_parser_survives_bad_input():
     assert structure.parse_file("def f(:\n", "python") == [] and structure.parse_file("", "go") == []
+
+
+def test_refresh_takes_over_unchanged_files(spark, root, tmp_path):
+    import shutil
+
+    from stratalens.plans.engine import Providers
+
+    top = tmp_path / "tree"
+    shutil.copytree(root, top)
+    vector = lambda x: lambda c: F.when(c.isNotNull(), F.array(F.lit(x), F.lit(1.0)))
+    e = Engine(spark, str(tmp_path / "store"), Providers("p", vector(1.0), lambda q: [1.0, 0.0]))
+    assert e.index(str(top)) == []
+    (top / "src/auth/jwt.ts").write_text("// Changed\n\nexport function renamedToken(t) {\n  return t;\n}\n")
+    (top / "py/tool.py").unlink()
+    e.providers = Providers("p", vector(2.0), lambda q: [1.0, 0.0])
+    assert e.refresh(str(top)) == []
+    first = {r.path: r.vector[0] for r in e.store.table("file_docs").collect()}
+    assert first.pop("src/auth/jwt.ts") == 2.0 and set(first.values()) == {1.0} and "py/tool.py" not in first
+    m = e.store.manifest(e.store.pointer().active)
+    assert m.since == 1 and m.reused["file_docs"] == len(first) and m.reused["symbols"] > 0
+    names = {r.name for r in e.store.table("symbols").collect()}
+    assert "renamedToken" in names and not names & {"verifyToken", "Greeter"}
+    assert e.symbol("renamedToken").count() == 1 and e.symbol("verifyToken").count() == 0
+    assert e.word("renamedtoken").count() >= 1
+    fresh = Engine(spark, str(tmp_path / "other"), Providers("p", vector(1.0), lambda q: [1.0, 0.0]))
+    fresh.index(str(top))
+    for t in ("symbols", "symbol_tokens", "identifiers", "word_hits", "chunks", "postings", "identifier_postings", "imports", "exports", "calls", "deps", "modules", "cards", "module_cards", "ownership"):
+        keep = [c for c in fresh.store.table(t).columns if c != "vector"]
+        a, b = (sorted(map(str, x.store.table(t).select(*keep).collect())) for x in (e, fresh))
+        assert a == b, t
+
+
+def test_prepared_lookups_equal_those_made_anew(engine):
+    from stratalens.operators import lookup
+
+    t = engine.store.table
+    anew = lookup.lookup_word(lookup.word_hits(t("symbols"), t("files"), t("identifiers")), ["token"], 50).collect()
+    assert engine.word("token", 50).collect() == anew and anew
+    assert engine.path_content("src/auth/jwt.ts").first().content.startswith("// Token signing")
+    assert engine.path_content("nowhere").collect() == []
+    mixed = engine.exact("verifyToken")
+    assert set(mixed) == {"symbols", "files", "words"} and mixed["symbols"].count() == 1
+    assert list(engine.exact("jwt", "file")) == ["files"]
+
+
+def test_hubs_expand_and_suggestions(engine):
+    rows = engine.expand_hub("docs/auth.md").collect()
+    assert [(r.target, r.resolved) for r in rows] == [("src/auth/jwt.ts", True), ("src/auth/session.ts", True)]
+    found = engine.suggestions()
+    assert found["members"].count() > 0 and all(r.label and r.slug for r in found["labels"].collect())
+    cards = {r.path: r for r in engine.store.table("cards").collect()}
+    assert "verifyToken (function)" in cards["src/auth/jwt.ts"].api and "imported by 1 file(s)" in cards["src/auth/jwt.ts"].hot_path
+    assert engine.store.table("module_cards").count() == engine.store.table("modules").count()
+
+
+def test_repair_and_locks(spark, root, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.index(root)
+    assert e.repair(root) == []
+    e.store.mark("blocked", "test")
+    assert [c for c, _ in e.repair(root, "file-search")] == ["serving-generation-not-fresh"]
+    assert e.check() == [] and e.store.pointer().active == 2
+    with pytest.raises(ValueError):
+        e.repair(root, "nonsense")
+    with e.store.lock():
+        with pytest.raises(RuntimeError, match="locked"):
+            e.index(root)
+        with e.store.lock(stale_s=-1):
+            pass
+    m = e.store.manifest(2)
+    m.stages["extra"] = "completed"
+    e.store.save_manifest(m)
+    assert ("unknown-stage", "extra is no stage") in validate(e.store, 2)
+
+
+def test_large_nodes_split_by_the_distributed_loop(spark):
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((6, 8))
+    rows = [(f"d/{i:03d}", (base[i % 6] + rng.standard_normal(8) * 0.01).tolist()) for i in range(90)]
+    items = spark.createDataFrame(rows, "path string, vector array<double>")
+    one, many = (sorted(map(tuple, clusters.hierarchy(items, depth=2, one_task=n).collect())) for n in (50_000, 30))
+    part = lambda rows: {frozenset(p for p, n, _ in rows if n.split("/")[:2] == k) for k in {tuple(r[1].split("/")[:2]) for r in rows} for k in [list(k)]}
+    assert part(one) == part(many)
