@@ -105,7 +105,7 @@ def farthest_first(items: DataFrame, k: int, id_col: str = "id", vector_col: str
             for b in batches:
                 if len(b):
                     gap = (1 - (_matrix(b[vector_col]) @ have.T).max(1)).round(12)
-                    top = b[gap == gap.max()].nsmallest(1, id_col).assign(gap=gap.max())
+                    top = b[gap == gap.max()].sort_values(id_col).head(1).assign(gap=gap.max())
                     if best is None or (top["gap"].iloc[0], best[id_col].iloc[0]) > (best["gap"].iloc[0], top[id_col].iloc[0]):
                         best = top
             if best is not None:
