@@ -18,6 +18,7 @@ from ..sources import files as tree
 from ..sources import structure
 from ..streaming import changes
 from . import generations
+from .prepared import published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,6 +101,32 @@ def doc_postings(spark: SparkSession, sf: str) -> DataFrame:
     return postings.term_frequencies(t(spark, sf, "documents"), "doc_id", F.col("text"))
 
 
+# Prepared tables: what the searches and lookups read
+
+
+def search_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "postings", lambda: doc_postings(spark, sf), "term")
+
+
+def search_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "hybrid_docs", lambda: hybrid_docs(spark, sf), "id")
+
+
+def part_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "symbol_tokens", lambda: lookup.symbol_tokens(part_symbols(spark, sf)), "token")
+
+
+def part_word_hits(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> DataFrame:
+        f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
+        return lookup.word_hits(part_symbols(spark, sf), f)
+
+    return published(spark, sf, "word_hits", build, "token")
+
+
+PREPARED = (search_postings, search_docs, part_tokens, part_word_hits)
+
+
 # Tokenizers and text
 
 
@@ -177,12 +204,12 @@ def postings_totals(spark, sf):
 
 @query(f"WITH {_TF[1:]}, {_LEX[1:]} SELECT id AS doc_id, lexical_score FROM lex")
 def lexical_search(spark, sf):
-    return retrieval.lexical_candidates(doc_postings(spark, sf), hybrid_docs(spark, sf), QUERY).select(F.col("id").alias("doc_id"), "lexical_score")
+    return retrieval.lexical_candidates(search_postings(spark, sf), search_docs(spark, sf), QUERY).select(F.col("id").alias("doc_id"), "lexical_score")
 
 
 def _hybrid(name: str, sw: float, lw: float) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = retrieval.hybrid_search(doc_postings(spark, sf), hybrid_docs(spark, sf), QUERY, vectors.mock_embed(QUERY), 10, sw, lw)
+        found = retrieval.hybrid_search(search_postings(spark, sf), search_docs(spark, sf), QUERY, vectors.mock_embed(QUERY), 10, sw, lw)
         return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("lexical_score", 6).alias("lexical_score"))
 
     run.__name__ = name
@@ -318,24 +345,25 @@ _WORD = f"{_terms('(SELECT min(p_name) FROM part)', text.EXACT)}[1]"
 
 
 def _first_word(spark: SparkSession, sf: str) -> str:
-    return t(spark, sf, "part").agg(text.exact_terms(F.min("p_name"))[0]).first()[0]
+    """The word looked up: the first one of the least name."""
+    return t(spark, sf, "part").agg(F.min("p_name").alias("n")).select(text.exact_terms(F.col("n"))[0]).first()[0]
 
 
 @query(f"SELECT p_brand AS path, p_partkey AS line, p_name AS name FROM part WHERE list_contains({_tokens('p_name')}, {_WORD}) ORDER BY path, line, name LIMIT 10")
 def exact_symbol(spark, sf):
-    return lookup.lookup_symbol(lookup.symbol_tokens(part_symbols(spark, sf)), _first_word(spark, sf), 10).select("path", "line", "name")
+    return lookup.lookup_symbol(part_tokens(spark, sf), _first_word(spark, sf), 10).select("path", "line", "name")
 
 
 @query(f"SELECT * FROM (SELECT p_brand AS path, p_partkey AS line, p_name AS name, p_type AS kind FROM part WHERE list_contains({_tokens('p_name')}, {_WORD}) ORDER BY path, line, name LIMIT 10) WHERE lower(kind) = (SELECT min(lower(p_type)) FROM part WHERE list_contains({_tokens('p_name')}, {_WORD}))")
 def kind_filter_after_limit(spark, sf):
-    s, w = lookup.symbol_tokens(part_symbols(spark, sf)), _first_word(spark, sf)
+    s, w = part_tokens(spark, sf), _first_word(spark, sf)
     kind = s.where(F.col("token") == w).agg(F.min(F.lower("kind"))).first()[0]
     return lookup.lookup_symbol(s, w, 10, [kind]).select("path", "line", "name", "kind")
 
 
 @query(f"SELECT p_brand AS path, p_partkey AS line, p_name AS name, p_type AS kind FROM part WHERE list_contains({_tokens('p_name')}, {_WORD}) AND lower(p_type) = (SELECT min(lower(p_type)) FROM part WHERE list_contains({_tokens('p_name')}, {_WORD})) ORDER BY path, line, name LIMIT 10")
 def kind_filter_before_limit(spark, sf):
-    s, w = lookup.symbol_tokens(part_symbols(spark, sf)), _first_word(spark, sf)
+    s, w = part_tokens(spark, sf), _first_word(spark, sf)
     kind = s.where(F.col("token") == w).agg(F.min(F.lower("kind"))).first()[0]
     return lookup.lookup_symbol(s.where(F.lower("kind") == kind), w, 10).select("path", "line", "name", "kind")
 
@@ -356,9 +384,7 @@ h AS (
 one AS (SELECT token, kind, path, line, title, arg_min(CASE WHEN token = raw THEN a ELSE b END, src) AS score FROM h GROUP BY ALL)
 SELECT kind, path, line::INTEGER AS line, title, max(score)::DOUBLE AS score FROM one WHERE token = {_WORD} GROUP BY ALL ORDER BY score DESC, path, line, kind, title LIMIT 20""")
 def word_lookup(spark, sf):
-    s = part_symbols(spark, sf)
-    f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
-    return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 20)
+    return lookup.lookup_word(part_word_hits(spark, sf), [_first_word(spark, sf)], 20)
 
 
 _HITS = SQL["word_lookup"]
@@ -367,16 +393,12 @@ _HITS = SQL["word_lookup"]
 @query(f"SELECT * FROM ({_HITS.replace('LIMIT 20', 'LIMIT 5000')}) WHERE kind <> 'symbol'")
 def word_lookup_other_kinds(spark, sf):
     """Kinds without any of a symbol's drop hits on symbols after the cut."""
-    s = part_symbols(spark, sf)
-    f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
-    return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 5000, ["Heading"])
+    return lookup.lookup_word(part_word_hits(spark, sf), [_first_word(spark, sf)], 5000, ["Heading"])
 
 
 @query(_HITS)
 def word_lookup_symbol_kinds(spark, sf):
-    s = part_symbols(spark, sf)
-    f = t(spark, sf, "part").groupBy(F.col("p_brand").alias("path")).agg(F.min("p_type").alias("header"), F.min("p_name").alias("content"))
-    return lookup.lookup_word(lookup.word_hits(s, f), [_first_word(spark, sf)], 20, ["Class"])
+    return lookup.lookup_word(part_word_hits(spark, sf), [_first_word(spark, sf)], 20, ["Class"])
 
 
 @query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, text AS content FROM documents)
@@ -653,7 +675,7 @@ def suggestion_links(spark, sf):
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.hybrid_search(doc_postings(spark, sf), hybrid_docs(spark, sf), QUERY, None, 20, 0.0, 1.0)
+    found = retrieval.hybrid_search(search_postings(spark, sf), search_docs(spark, sf), QUERY, None, 20, 0.0, 1.0)
     return found.select("path", "id", F.col("lexical_score").alias("score")).orderBy(F.desc("score"), "path", "id").limit(20)
 
 
