@@ -1,7 +1,7 @@
 """Nearest-neighbour quality voting over latent-semantic vectors.
 
 Terms of a text are hashed byte trigrams of its lower-cased form, trigrams of character classes
-(case, digits, white space, each kind of sign) and how often a word repeats the one before it. Each
+(their Unicode categories) and how often a word repeats the one before it. Each
 block of log counts is weighted by inverse document frequency and scaled to unit length; a truncated
 SVD of a bounded sample of labelled texts gives the latent space. The sample's latent vectors are
 broadcast (their number is bounded by a parameter) and compared with every document in blocks by
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from operator import eq
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,10 @@ NEIGHBOURS = 15
 POWER = 8.0
 BLOCK = 256
 TRIGRAMS = 2048
-#: Character classes of bytes: lower case, upper case, digit, space, line break, beyond ASCII, then single signs; 15 is any other.
-_CLASS = np.full(256, 15, np.uint16)
-for _i, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t", b"\n\r", range(128, 256), b".,;:", b"|", b"*", b"%", b"&", b"$", b"#", b"!", b"?'\"()-")):
-    _CLASS[list(_bytes)] = _i
+#: Character classes of bytes: 0 for those beyond ASCII, else the Unicode category, numbered in order of name.
+_KINDS = sorted({category(chr(b)) for b in range(128)})
+_CLASS = np.zeros(256, np.uint16)
+_CLASS[:128] = [1 + _KINDS.index(category(chr(b))) for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 CLASSES = 16**3
@@ -57,10 +58,13 @@ def terms(text: str | None) -> np.ndarray:
 
 
 def _scaled(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    x[:, _BLOCKS[2]] = counts[:, _BLOCKS[2]]
+    """Weighted counts, each block of unit length; in place, so that a sample is held once."""
+    again = counts[:, _BLOCKS[2]].copy()
+    x = np.log1p(counts, out=counts)
+    x *= idf
+    x[:, _BLOCKS[2]] = again
     for b in _BLOCKS:
-        n = np.linalg.norm(x[:, b], axis=1, keepdims=True)
+        n = np.sqrt(np.einsum("ij,ij->i", x[:, b], x[:, b]))[:, None]
         x[:, b] /= np.where(n > 0, n, 1)
     return x
 
@@ -80,7 +84,7 @@ class Model:
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Scores of rows of term counts; a row without terms gets the share of label 1."""
-        v = _unit(_scaled(counts, self.idf) @ self.basis)
+        v = _unit(_scaled(counts.copy(), self.idf) @ self.basis)
         sims = v @ self.vectors.T
         k = min(NEIGHBOURS, sims.shape[1])
         if not k:
@@ -92,9 +96,9 @@ class Model:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
-    """The latent space and the labelled vectors; without labelled rows every score is 0.5."""
+    """The latent space and the labelled vectors; without labelled rows every score is 0.5. Overwrites counts."""
     n = len(labels)
-    df = (counts > 0).sum(0)
+    df = np.count_nonzero(counts, axis=0)
     idf = np.where(df >= 2, np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
     x = _scaled(counts, idf)
     rng = np.random.default_rng(0)
@@ -116,7 +120,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents that are not held out, chosen by a hash of doc_id.
 
-    Labels other than 0 and 1, and rows without a document, say nothing; of repeated rows one counts.
+    Labels other than 0 and 1, and rows without a document, say nothing. Of several labels of a doc_id the greatest
+    counts, and of several texts that of the least hash.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -134,12 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.DataFrame(rows, columns=["at", "n"])
 
     # The broadcast side is the sample, bounded by its parameter.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", sparse("text").alias("terms"))
-    got = {r.doc_id: r for r in rows.toLocalIterator()}
-    counts = np.zeros((len(got), WIDTH), np.float32)
-    for i, k in enumerate(sorted(got)):
-        counts[i, np.frombuffer(got[k].terms.at, "<u2")] = np.frombuffer(got[k].terms.n, "<f4")
-    return fit(counts, np.array([got[k].quality for k in sorted(got)]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), sparse("text").alias("terms"))
+    got = rows.select("doc_id", "h", F.col("quality").cast("double").alias("quality"), "terms.at", "terms.n").toArrow()  # at most `sample` documents
+    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    ids = got["doc_id"].to_numpy()
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    counts = np.zeros((len(first), WIDTH), np.float32)
+    for i, k in enumerate(first.tolist()):
+        counts[i, np.frombuffer(got["at"][k].as_py(), "<u2")] = np.frombuffer(got["n"][k].as_py(), "<f4")
+    quality = got["quality"].to_numpy()[first]
+    del got
+    return fit(counts, quality)
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

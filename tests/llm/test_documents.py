@@ -167,6 +167,44 @@ def test_sharding_edges(make):
     assert {r.shard for r in same} == {0} and sorted(r.slot for r in same) == list(range(30))
 
 
+# Quality
+
+
+def test_votes_against_brute_force(spark, sf):
+    from stratalens.llm import quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), 60)
+    assert len(model.labels) == len(model.vectors) <= 60
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["", "x"]
+    got = model.score(np.stack([quality.terms(t) for t in texts]))
+    for t, score in zip(texts, got, strict=True):
+        counts = quality.terms(t).astype(float)
+        parts = []
+        for at, block in enumerate(quality._BLOCKS):
+            x = counts[block] if at == 2 else np.log1p(counts[block]) * model.idf[block]
+            parts.append(x / (np.linalg.norm(x) or 1))
+        v = np.concatenate(parts) @ model.basis
+        v = v / (np.linalg.norm(v) or 1)
+        sims = [sum(float(a) * float(b) for a, b in zip(v, row, strict=True)) for row in model.vectors]
+        best = sorted(range(len(sims)), key=lambda i: -sims[i])[: quality.NEIGHBOURS]
+        weights = [max(0.0, min(1.0, sims[i])) ** quality.POWER for i in best]
+        want = sum(w * model.labels[i] for w, i in zip(weights, best, strict=True)) / sum(weights) if sum(weights) else model.prior
+        assert abs(score - want) < 1e-3
+
+
+def test_labels_of_held_out_rows_are_never_read(spark, make):
+    from stratalens.llm import quality
+
+    docs = make([(i, "good words here" if i % 2 else "#$ %% !!") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (sorted(map(tuple, score_documents(docs, x).collect())) for x in (labels, flipped))
+    assert a == b
+    twice = docs.union(make([(1, "other text"), (1, "more")]))
+    assert score_documents(twice, labels).count() == 62
+
+
 # SimHash
 
 
