@@ -202,6 +202,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, that hold no item of the benchmark."""
-    found = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with its columns, that hold no item of the benchmark. Each row is judged by its own text,
+    whatever other rows share its doc_id, and with a null one too."""
+    key = F.xxhash64("text")
+    found = contamination(docs.select(key.alias("__key"), "text"), benchmark, "__key").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(docs.columns)

@@ -423,6 +423,40 @@ def test_lines_edges(make):
 # Decontamination
 
 
+def test_planted_templates(spark, make):
+    """Items with other numbers and names, put in for them one to one, are found; texts with other words are not."""
+    rng = random.Random(11)
+    names = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi"]
+    items, docs, want = [], [], set()
+    for i in range(30):
+        shape = [rng.choice(["w", "w", "w", "w", "n", "p"]) if k % 3 == 1 else "w" for k in range(rng.randint(16, 40))]
+        words, slots = [rng.choice(VOCABULARY) for _ in shape], [rng.randrange(4) for _ in shape]
+        numbers, people = rng.sample(range(2, 900), 8), rng.sample(names, 8)
+        fill = lambda at, ws: " ".join(w if s == "w" else str(numbers[at + x]) if s == "n" else people[at + x] for w, s, x in zip(ws, shape, slots, strict=True))  # noqa: B023, E731
+        items.append((i, fill(0, words)))
+        other = [w if k % 4 else rng.choice(VOCABULARY) + "q" for k, w in enumerate(words)]
+        frame = lambda t: prose(rng.randint(0, 30), rng) + " and " + t + " so " + prose(rng.randint(0, 30), rng)
+        docs += [(100 * i, frame(fill(0, words))), (100 * i + 1, frame(fill(4, words))), (100 * i + 2, frame(fill(0, other)))]
+        want |= {(100 * i, i), (100 * i + 1, i)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination(make(docs), bench).collect()}
+    assert got == want
+
+
+def test_rows_are_judged_by_their_texts(spark, make):
+    item = prose(20)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make([(None, item), (None, prose(30)), (7, "x " + item), (7, prose(40)), (8, None)])
+    assert sorted((str(r.doc_id), (r.text or "").startswith("x ")) for r in drop_contaminated(docs, bench).collect()) == [("7", False), ("8", False), ("None", False)]
+
+
+def test_contamination_of_a_very_long_text(spark, make):
+    item = prose(30)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = contamination(make([(1, prose(60_000) + " " + item + " " + prose(60_000))]), bench).collect()
+    assert [(r.doc_id, r.coverage) for r in got] == [(1, 1.0)]
+
+
 def test_contamination(spark, make):
     item = "In the year 1998 farmer Bob sold 35 apples to Alice for 7 dollars and then walked home to the village by the river"
     other = item.replace("1998", "2004").replace("Bob", "Tom").replace("35", "81").replace("Alice", "Eve").replace("7 dollars", "9 dollars")

@@ -295,3 +295,29 @@ def test_pipeline_against_brute_force(spark, sf):
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     now = {i: t for i, t in now.items() if not any(b in t for b in bench)}
     check_pack(pipe.run(spark, sf).collect(), now)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, repeated rows, then an empty table."""
+    import corpus_pipeline as pipe
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    good = "the quiet river runs along the old road toward the village and the people there keep many small gardens"
+    rows = [(1, good, "en"), (1, good, "en"), (1, good + " of herbs", "en"), (None, good.upper(), "en"), (None, "another clean line of words that nobody else in this table has written down so far", "en"), (5, None, None), (6, "", "en"), (7, "w " * 30_000 + "end", "en"), (8, None, "fr")]
+    bench = spark.createDataFrame([(1, "zeta eta theta iota kappa lambda mu nu xi omicron")], "item_id long, text string")
+    for k, docs in enumerate((rows, [])):
+        at = str(tmp_path / str(k))
+        spark.createDataFrame([(i, t, g, "s", len(t or ""), "z") for i, t, g in docs], schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(1, 9)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for name, stage in pipe.STAGES[:-1]:
+            now = stage(spark, now, at)
+            assert now.columns == schema.replace(" long", "").replace(" string", "").split(", "), name
+        kept = sorted((str(r.doc_id), (r.text or "")[:12]) for r in now.collect())
+        out = pipe.run(spark, at).collect()
+        if not docs:
+            assert kept == [] and out == []
+            continue
+        assert ("1", good[:12]) in kept and ("None", "another clea") in kept and sum(k[0] == "7" for k in kept) == 1
+        assert len({r.doc_id for r in out}) == len({k[0] for k in kept})
