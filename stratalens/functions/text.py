@@ -82,10 +82,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def path_pattern(paths: Column) -> Column:
-    """Common directory prefix and/or base name of an array of paths; null for fewer than two or neither."""
-    first, last = F.split(F.array_min(paths), "/"), F.split(F.array_max(paths), "/")
-    n = F.least(F.array_min(F.transform(paths, lambda p: F.size(F.split(p, "/")))) - 1, F.size(first))
+def path_pattern(path: Column) -> Column:
+    """Aggregate: common directory prefix and/or base name of a group's paths; null for fewer than two or neither.
+    Made of minima, maxima and a count, so no task gathers a group's paths."""
+    first, last = F.split(F.min(path), "/"), F.split(F.max(path), "/")
+    n = F.min(F.size(F.split(path, "/"))) - 1
     # What the least and the greatest path share, all paths share.
     same = F.aggregate(
         F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
@@ -93,9 +94,9 @@ def path_pattern(paths: Column) -> Column:
         lambda a, i: F.struct(F.when(a.on & (first[i - 1] == last[i - 1]), F.concat(a.p, first[i - 1], F.lit("/"))).otherwise(a.p).alias("p"), (a.on & (first[i - 1] == last[i - 1])).alias("on")),
         lambda a: a.p,
     )
-    bases = F.array_distinct(F.transform(paths, base_name))
-    one = F.size(bases) == 1
-    return F.when(F.size(paths) > 1, F.when(same != "", F.concat(same, F.when(one, bases[0]).otherwise("*"))).when(one, F.concat(F.lit("*/"), bases[0])))
+    base = F.min(base_name(path))
+    one = base == F.max(base_name(path))
+    return F.when(F.count(path) > 1, F.when(same != "", F.concat(same, F.when(one, base).otherwise("*"))).when(one, F.concat(F.lit("*/"), base)))
 
 
 def cluster_label(segment: Column) -> Column:

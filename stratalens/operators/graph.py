@@ -51,10 +51,16 @@ def reverse_dependencies(edges: DataFrame, source: str = "path", target: str = "
     return pairs.groupBy(target).agg(F.array_sort(F.collect_list(source)).alias("dependents"), F.count(F.lit(1)).alias("n"))
 
 
-def module_peers(files: DataFrame) -> DataFrame:
-    """files: path, module. (path, peer) of files in one module; the size is quadratic in a module, so callers limit it to listed files."""
+def module_peers(files: DataFrame, k: int | None = None) -> DataFrame:
+    """files: path, module. (path, peer) of files in one module, of each file its k least peers; without k all pairs, whose
+    number is quadratic in a module. A ranking of k places at one score for all peers needs no more than k of them."""
     other = files.select("module", F.col("path").alias("peer"))
-    return files.select("module", "path").join(other, "module").where("path <> peer").select("path", "peer")
+    if k is None:
+        return files.select("module", "path").join(other, "module").where("path <> peer").select("path", "peer")
+    rank = F.row_number().over(Window.partitionBy("module").orderBy("peer"))
+    least = other.withColumn("rank", rank).where(F.col("rank") <= k + 1)  # cut in each task before the shuffle
+    # The last of the k + 1 stands in for a file that is itself among the first k.
+    return files.select("module", "path").join(least, "module").where("path <> peer").where((F.col("rank") <= k) | (F.col("path") < F.col("peer"))).select("path", "peer")
 
 
 def exported_symbols(symbols: DataFrame, exports: DataFrame) -> DataFrame:

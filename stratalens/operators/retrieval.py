@@ -67,6 +67,12 @@ def hybrid_search(postings: DataFrame, docs: DataFrame, query: str, query_vector
     return found.orderBy(F.desc("score"), F.desc("lexical_score"), F.desc("semantic_score"), "id").limit(k)
 
 
+def search_counts(postings: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """One row of what hybrid_search meets: lexical_candidates, how many of them are ranked again, and results."""
+    n = F.count_distinct("id")
+    return _terms(postings, query).agg(n.alias("lexical_candidates"), F.least(n, F.lit(max(12 * k, 64))).alias("reranked"), F.least(n, F.lit(k)).alias("results"))
+
+
 def vector_coverage(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """One row: requested, loaded, missing, ratio (1 when nothing was asked for). Both: column id."""
     found = wanted.select("id").distinct().join(present.select("id").distinct().withColumn("has", F.lit(1)), "id", "left")

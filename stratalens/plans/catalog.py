@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, vectors
 from ..operators import clusters, graph, lookup, postings, ranking, retrieval, rules
 from ..sources import files as tree
-from ..sources import structure
+from ..sources import structure, worktree
 from ..streaming import changes
 from . import generations
 from .prepared import published
@@ -159,8 +159,7 @@ g AS (SELECT source, count(*) AS n, min(path) AS a, max(path) AS b, count(DISTIN
   count(DISTINCT split_part(path, '/', 2)) AS langs, min(split_part(path, '/', 2)) AS lang FROM p GROUP BY source)
 SELECT source, n, CASE WHEN n > 1 THEN source || '/' || CASE WHEN langs = 1 THEN lang || '/' ELSE '' END || CASE WHEN bases = 1 THEN base ELSE '*' END END AS pattern FROM g""")
 def path_pattern(spark, sf):
-    g = files(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.collect_list("path").alias("paths"))
-    return g.select("source", "n", text.path_pattern(F.col("paths")).alias("pattern"))
+    return files(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), text.path_pattern(F.col("path")).alias("pattern"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(s) > 120 THEN substr(s, 1, 117) || '...' ELSE s END AS snippet, sha256(text) AS hash, ceil(length(text) / 4.0)::BIGINT AS tokens
@@ -207,6 +206,11 @@ def lexical_search(spark, sf):
     return retrieval.lexical_candidates(search_postings(spark, sf), search_docs(spark, sf), QUERY).select(F.col("id").alias("doc_id"), "lexical_score")
 
 
+@query(f"WITH {_TF[1:]}, {_LEX[1:]} SELECT count(*) AS lexical_candidates, least(count(*), 120) AS reranked, least(count(*), 10) AS results FROM lex")
+def search_counts(spark, sf):
+    return retrieval.search_counts(search_postings(spark, sf), QUERY, 10)
+
+
 def _hybrid(name: str, sw: float, lw: float) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = retrieval.hybrid_search(search_postings(spark, sf), search_docs(spark, sf), QUERY, vectors.mock_embed(QUERY), 10, sw, lw)
@@ -570,7 +574,7 @@ SELECT path, related, score, source, row_number() OVER (PARTITION BY path ORDER
 def related_contexts_top8(spark, sf):
     f, e = _nation_modules(spark, sf)
     rev = e.select(F.col("dep").alias("path"), F.col("path").alias("related"))
-    peers = graph.module_peers(f).withColumnRenamed("peer", "related")
+    peers = graph.module_peers(f, 8).withColumnRenamed("peer", "related")
     return graph.related_contexts([(e.withColumnRenamed("dep", "related"), "dependency", 0.72), (rev, "reverse-dependency", 0.78), (peers, "module-peer", 0.58)])
 
 
@@ -756,6 +760,27 @@ def rule_findings(spark, sf):
     return found.select("doc_id", F.size(F.split("content", "\n")).cast("long").alias("n_lines"), "rule")
 
 
+#: Files with a header of each kind: every part is one, and its key says which lines it has.
+_RULED = """SELECT p_partkey::VARCHAR || '.ts' AS path, p_partkey % 5 AS head, p_partkey % 3 AS tag, p_partkey % 4 AS fields, 990 + p_partkey % 30 AS n FROM part"""
+
+
+@query(f"""WITH r AS ({_RULED}), h AS (SELECT *, head > 0 AS long FROM r)
+SELECT path, 1 AS line, 'header' AS rule, 'error' AS severity FROM h WHERE NOT long
+UNION ALL SELECT path, 2, 'feature-tag', 'warning' FROM h WHERE long AND tag = 0
+UNION ALL SELECT path, 1, 'summary-header', 'warning' FROM h WHERE long AND fields = 0
+UNION ALL SELECT path, CASE WHEN fields = 1 THEN 4 + (tag > 0)::INTEGER ELSE 1 END, 'inputs-header', 'warning' FROM h WHERE long AND fields < 2
+UNION ALL SELECT path, 1, 'outputs-header', 'warning' FROM h WHERE long AND fields < 3
+UNION ALL SELECT path, 1001, 'file-length', 'warning' FROM h WHERE n > 1000""")
+def rule_findings_of_every_rule(spark, sf):
+    key = F.col("p_partkey")
+    field = lambda least, full, empty=None: F.when(key % 4 >= least, F.lit(full)).when((key % 4 == least - 1) & F.lit(empty is not None), F.lit(empty))
+    lines = [F.lit("// File"), F.lit("// of a part"), F.when(key % 3 > 0, F.lit("// FEATURE: Parts")), field(1, "// Summary: some"), field(2, "// Inputs: some", "// Inputs:"), field(3, "// Outputs: none")]
+    head = F.when(key % 5 > 0, F.array_compact(F.array(*lines))).otherwise(F.array(F.lit("// File")))
+    body = F.concat(head, F.array_repeat(F.lit("x = 1"), F.lit(990) + (key % 30).cast("int") - F.size(head)))
+    f = t(spark, sf, "part").select(F.concat(key.cast("string"), F.lit(".ts")).alias("path"), F.array_join(body, "\n").alias("content"))
+    return rules.findings(f)
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 d AS (SELECT doc_id, sum(length(regexp_replace(s, '[^,]', '', 'g')) - length(regexp_replace(s, '[^.]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY line) AS depth FROM l)
 SELECT doc_id, greatest(0, max(depth))::BIGINT AS max_nesting, max(depth) > 6 AS too_deep FROM d GROUP BY doc_id""")
@@ -1025,8 +1050,9 @@ def chunk_texts(spark, sf):
 @query("""WITH c AS (SELECT l_partkey AS path, l_linenumber::INTEGER AS added, l_suppkey::INTEGER AS removed FROM lineitem)
 SELECT p_name AS path, p_brand AS code, coalesce(sum(added), 0)::BIGINT AS added, coalesce(sum(removed), 0)::BIGINT AS removed FROM part LEFT JOIN c ON c.path = p_partkey GROUP BY p_partkey, p_name, p_brand""")
 def status_numstat(spark, sf):
-    c = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum(F.col("l_linenumber").cast("int")).alias("added"), F.sum(F.col("l_suppkey").cast("int")).alias("removed"))
-    return t(spark, sf, "part").join(c, "p_partkey", "full_outer").fillna(0, ["added", "removed"]).select(F.col("p_name").alias("path"), F.col("p_brand").alias("code"), "added", "removed")
+    counts = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_linenumber").cast("int").alias("added"), F.col("l_suppkey").cast("int").alias("removed"))
+    found = worktree.merge_counts(t(spark, sf, "part").select(F.col("p_partkey").alias("path"), "p_name", "p_brand"), counts)
+    return found.select(F.col("p_name").alias("path"), F.col("p_brand").alias("code"), "added", "removed")
 
 
 @query()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import clusters, graph, lookup, postings, ranking, retrieval, rules
 from ..sources import files as tree
 from ..sources import structure
+from .activity import SearchCounters
 from .generations import CORE, STAGES, Manifest, Store, reuse, validate
 
 
@@ -26,6 +27,7 @@ class Providers:
 class Engine:
     def __init__(self, spark: SparkSession, store: str, providers: Providers | None = None) -> None:
         self.spark, self.store, self.providers = spark, Store(spark, store), providers or Providers()
+        self.counters = SearchCounters()
 
     # Building
 
@@ -124,7 +126,7 @@ class Engine:
             (knn, "cluster", None),
             (deps.select("path", F.col("dep").alias("related")), "dependency", 0.72),
             (deps.select(F.col("dep").alias("path"), F.col("path").alias("related")), "reverse-dependency", 0.78),
-            (graph.module_peers(f.select("path", "module")).withColumnRenamed("peer", "related"), "module-peer", 0.58),
+            (graph.module_peers(f.select("path", "module"), 8).withColumnRenamed("peer", "related"), "module-peer", 0.58),
         ]))
         put("cluster_nodes", clusters.hierarchy(code))
         hubs = put("hubs", tree.hubs(f).withColumn("search_text", F.concat_ws(" ", "hub", "title", "content")).withColumn("vector", embed(F.col("search_text"))))
@@ -222,6 +224,15 @@ class Engine:
         merged = ranking.merge_lanes(ranking.lane(file_rows, "file"), ranking.lane(chunk_hits, "chunk"), ranking.lane(id_hits, "identifier"))
         return ranking.rank(ranking.add_structure(merged, *self._structure(), query, mode), k, entity_types, kinds)
 
+    def diagnose(self, query: str, k: int = 5) -> dict[str, dict[str, int]]:
+        """What a search of k results meets in each lane of postings, which `counters` adds up: lexical candidates, those
+        ranked again and results."""
+        lanes = {"chunk": "postings", "identifier": "identifier_postings"}
+        found = {lane: retrieval.search_counts(self._t(name), query, k).first().asDict() for lane, name in lanes.items()}
+        for lane, counts in found.items():
+            self.counters.add(lane, counts)
+        return found
+
     def _structure(self) -> tuple[DataFrame, DataFrame]:
         f, s = self._t("files"), self._t("symbols")
         joined = lambda df, c, name: df.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(c)), " ").alias(name))
@@ -282,7 +293,44 @@ class Engine:
 
     def clusters(self) -> DataFrame:
         n = self._t("cluster_nodes")
-        return n.groupBy("node", "depth").agg(F.count(F.lit(1)).alias("n_files"), text.path_pattern(F.array_sort(F.collect_list("path"))).alias("pattern")).orderBy("node")
+        return n.groupBy("node", "depth").agg(F.count(F.lit(1)).alias("n_files"), text.path_pattern(F.col("path")).alias("pattern")).orderBy("node")
+
+    def navigate(self, max_depth: int = 3, max_clusters: int = 20) -> str:
+        """The cluster tree as text: at most max_clusters children of a node, and of a node that is not opened at most
+        max_clusters files (5 at least), with how many more there are. Only what is shown reaches the driver."""
+        shown = max(max_clusters, 5)
+        parts = F.slice(F.split("node", "/"), 1, max_depth + 1)
+        n = self._t("cluster_nodes").select("path", F.array_join(parts, "/").alias("node"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("path"))
+        files = n.withColumn("rank", rank).where(F.col("rank") <= shown).groupBy("node").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        sizes = n.groupBy("node").agg(F.count(F.lit(1)).alias("n"), text.path_pattern(F.col("path")).alias("pattern"))
+        leaves = {r.node: r for r in sizes.join(files, "node").orderBy("node").collect()}  # nodes to max_depth
+        children: dict[str, list[str]] = {}
+        for node in leaves:
+            steps = node.split("/")
+            for i in range(1, len(steps)):
+                above, here = "/".join(steps[:i]), "/".join(steps[: i + 1])
+                if here not in children.setdefault(above, []):
+                    children[above].append(here)
+        out = [f"{sum(r.n for r in leaves.values())} files by meaning"]
+
+        def told(node: str, level: int) -> None:
+            pad, below = "  " * level, children.get(node, [])
+            if level:
+                r = leaves.get(node)
+                out.append(f"{pad}[{(r and r.pattern) or node}]")
+            if node in leaves:
+                out.extend(f"{pad}  {p}" for p in leaves[node].paths)
+                if leaves[node].n > shown:
+                    out.append(f"{pad}  ... {leaves[node].n - shown} more files")
+            for child in below[: max(1, max_clusters)]:
+                told(child, level + 1)
+            if len(below) > max(1, max_clusters):
+                out.append(f"{pad}  ... {len(below) - max(1, max_clusters)} more clusters")
+
+        if leaves:
+            told("0", 0)
+        return "\n".join(out)
 
     def lint(self) -> DataFrame:
         return rules.file_scores(rules.findings(self._t("files")))

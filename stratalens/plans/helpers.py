@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,23 @@ def summary(query: str, hits: list[dict], hubs: list[str], related: list[str]) -
     }
 
 
+#: What a chat provider is told before a research summary is asked for.
+SUMMARY_ASK = 'Answer the question from the evidence alone, in 2 to 4 sentences that name files. Reply with one JSON object: {"answer": text, "files": [paths], "next": [paths]}.'
+
+
+def asked_summary(chat: Callable[[str, str], str], query: str, hits: list[dict], hubs: list[str], related: list[str]) -> dict:
+    """The research summary by a chat provider. Its reply is repaired where it can be; files that the evidence does not hold
+    are dropped, and a reply without an answer raises ValueError."""
+    told = summary(query, hits, hubs, related)
+    known = {h["path"] for h in hits} | set(related)
+    reply = repaired_json(chat(SUMMARY_ASK, json.dumps({"question": query, "hits": hits, "hubs": hubs, "related": related}, default=str)))
+    answer = str(reply.get("answer") or "").strip()
+    if not answer:
+        raise ValueError("the summary has no answer")
+    paths = lambda name: [p for p in reply.get(name) or [] if p in known]
+    return told | {"answer": answer, "files": paths("files") or told["files"], "next": paths("next")}
+
+
 def repaired_json(text: str) -> dict:
     """The first JSON object in a text: fences, prose around it, trailing commas and open brackets are repaired."""
     body = re.sub(r"^```\w*\s*|\s*```$", "", text.strip())

@@ -6,6 +6,7 @@ batch are dropped, and no event is. Watermarks need TIMESTAMP, so zone-less time
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,11 @@ def needs_rebuild(path: Column) -> Column:
     return path.isin(REBUILD) | path.rlike(REBUILD_NAMES)
 
 
+def asks_rebuild(path: str) -> bool:
+    """needs_rebuild of one path, on the driver."""
+    return path in REBUILD or re.search(REBUILD_NAMES, path) is not None
+
+
 def event_time(c: Column) -> Column:
     return c.cast("timestamp")
 

@@ -293,3 +293,21 @@ def test_large_nodes_split_by_the_distributed_loop(spark):
     one, many = (sorted(map(tuple, clusters.hierarchy(items, depth=2, one_task=n).collect())) for n in (50_000, 30))
     part = lambda rows: {frozenset(p for p, n, _ in rows if n.split("/")[:2] == k) for k in {tuple(r[1].split("/")[:2]) for r in rows} for k in [list(k)]}
     assert part(one) == part(many)
+
+
+def test_cluster_tree_as_text(engine):
+    told = engine.navigate()
+    paths = col(engine.store.table("cluster_nodes"))
+    assert told.splitlines()[0] == f"{len(paths)} files by meaning"
+    assert all(p in told for p in paths)
+    assert "more" in engine.navigate(max_clusters=1)
+
+
+def test_searches_are_counted(engine):
+    engine.counters.reset()
+    found = engine.diagnose("verifyToken session", 2)
+    assert found["chunk"]["lexical_candidates"] >= 2 and found["chunk"]["results"] == 2
+    engine.diagnose("nothingofthekind")
+    report = engine.counters.report()
+    assert report["chunk"]["calls"] == 2 and report["chunk"]["last_results"] == 0
+    assert report["identifier"]["results"] == found["identifier"]["results"]

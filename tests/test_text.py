@@ -43,7 +43,8 @@ def test_prototype_names_are_plain_terms():
     [(["a/b/x.ts", "a/b/y.ts"], "a/b/*"), (["a/x.ts", "b/x.ts"], "*/x.ts"), (["a/m/x.ts", "a/n/x.ts"], "a/x.ts"), (["a/x.ts", "b/y.ts"], None), (["a/x.ts"], None)],
 )
 def test_path_pattern(spark, paths, pattern):
-    assert one(spark, text.path_pattern(F.array(*map(F.lit, paths)))) == pattern
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert rows.agg(text.path_pattern(F.col("path"))).first()[0] == pattern
 
 
 def test_vectors(spark):
