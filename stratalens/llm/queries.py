@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .filter_audit import audit_documents
+from .fitting import fit_documents
 from .hnsw import near_vectors
 from .html import extract
 from .lines import repeated_lines
 from .packing import pack
 from .quality import score_documents
+from .release import replay
 from .sharding import shard_documents
 from .simhash import simhash_dedup
 from .suffixes import cut_repeats
@@ -88,6 +91,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "pattern", F.col("valid_from").cast("string").alias("valid_from"), "blocked")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op13_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = replay(table(spark, sf_dir, "conversations"))
+    return told.select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", F.col("state").cast("long").alias("state"))
+
+
 _OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7919) % 365)::INTEGER AS fetched_at,
@@ -118,11 +134,39 @@ FROM found WHERE rank = 1
 """
 
 
+_OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT w.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+         + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM k a JOIN k b ON b.x <> a.x JOIN k c ON c.x NOT IN (a.x, b.x) JOIN k d ON d.x NOT IN (a.x, b.x, c.x) JOIN k e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, bits[step] AS f, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (mask & (before | f) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & f = f AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & f = f AND mask & before <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & f = f AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & f = f AND mask & before = 0), 0) AS toxic_lost
+  FROM h, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality, op2_packing, op3_sharding, op4_hnsw, op5_simhash, op6_decontaminate, op7_lines, op8_suffixes, op9_html, op10_url_filters)
+    every = (op1_quality, op2_packing, op3_sharding, op4_hnsw, op5_simhash, op6_decontaminate, op7_lines, op8_suffixes, op9_html, op10_url_filters, op11_filter_audit, op12_fitting, op13_release)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the operator and runs it on whole tables."""
-    return {"op10_url_filters": _OP10_SQL}
+    return {"op10_url_filters": _OP10_SQL, "op11_filter_audit": _OP11_SQL}
