@@ -64,9 +64,9 @@ def _measured(parts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return parts.select("doc_id", F.inline(lines))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, parts): the lines of each text as they are."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
+def _lines(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
+    """(doc_id, parts): the lines of each text as they are; name is any value that orders documents."""
+    return docs.select(name.alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -113,9 +113,14 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     to; exact says that this very line stood earlier; n_links counts the different lines within max_edits
     edits. Null texts have no lines. Repeated rows of a doc_id are one document; an empty table gives no rows.
     """
+    found = _repeats(_lines(docs, F.col(id_col).cast("long"), text_col), max_edits, min_chars)
+    return found.select("at.doc_id", "at.line_no", F.col("keeps.doc_id").alias("first_doc_id"), F.col("keeps.line_no").alias("first_line_no"), "exact", "n_links")
+
+
+def _repeats(parts: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """(at, keeps, exact, n_links): a line that repeats an earlier one, and the place of that one."""
     if min_chars <= max_edits:
         raise ValueError("min_chars must be over max_edits: each segment needs a character")
-    parts = _lines(docs, id_col, text_col)
     every = _measured(parts, max_edits, min_chars).select(F.xxhash64("line").alias("h1"), F.hash("line", "n").alias("h2"), F.struct("doc_id", "line_no").alias("at"), _keys(max_edits, min_chars).alias("keys"))
     lines = materialise(every, "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -125,18 +130,23 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     again = later.join(linked.select("h1", "h2", "near_first", "n_links"), ["h1", "h2"], "left")
     again = again.select("at", F.least("first", "near_first").alias("keeps"), F.lit(True).alias("exact"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     near = linked.where("near_first < first").select(F.col("first").alias("at"), F.col("near_first").alias("keeps"), F.lit(False).alias("exact"), "n_links")
-    out = again.unionByName(near).distinct()
-    return out.select("at.doc_id", "at.line_no", F.col("keeps.doc_id").alias("first_doc_id"), F.col("keeps.line_no").alias("first_line_no"), "exact", "n_links")
+    return again.unionByName(near).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All rows of docs, with its columns; repeated lines are cut out of text and n_chars follows. A null doc_id has
-    lines like any other, but rows without doc_id keep their texts, since a line's place does not tell them apart."""
-    gone = repeated_lines(docs, max_edits, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # bounded by the document's lines
+    """All rows of docs, with its columns; repeated lines are cut out of text and n_chars follows.
+
+    A row is named by its doc_id and its text, and ordered so (a null doc_id first), so rows with one doc_id, or
+    with none, and other texts are documents of their own: of a line in both the first row keeps it. Rows with the same
+    doc_id and text are one document and stay alike.
+    """
+    name = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    gone = _repeats(_lines(docs, name, "text"), max_edits, min_chars).groupBy("at.doc_id").agg(F.collect_set("at.line_no").alias("__gone"))  # bounded by the document's lines
+    gone = gone.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.h").alias("__h"), "__gone")
     parts = F.split(F.col("text"), "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
-    out = docs.join(gone, "doc_id", "left").withColumn("text", text)
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
