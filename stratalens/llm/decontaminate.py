@@ -53,10 +53,12 @@ def _slot(w: Column) -> Column:
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, words, form): canonical text, its words without marks, and its template's words, at the same places."""
+    """(id, t, words, form, marked): canonical text, its words without marks, its template's words, and the words with
+    marks, at the same places. The arrays come out of a generator, so each is made once a text and not in each window."""
     t = df.select(F.col(id_col).cast("long").alias("id"), canonical(F.col(text_col)).alias("t")).where("t <> ''")
     form = F.split(F.regexp_replace("t", rf"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1"), " ")
-    return t.select("id", "t", F.split(F.regexp_replace("t", rf"[{NAME}{NUMBER}{UNIT}]", ""), " ").alias("words"), form.alias("form"))
+    words = F.split(F.regexp_replace("t", rf"[{NAME}{NUMBER}{UNIT}]", ""), " ")
+    return t.select("id", "t", F.inline(F.array(F.struct(words.alias("words"), form.alias("form"), F.split("t", " ").alias("marked")))))
 
 
 def _window(i: Column, size: int) -> Column:
@@ -66,7 +68,7 @@ def _window(i: Column, size: int) -> Column:
 
 
 def _values(i: Column, size: int | Column) -> Column:
-    return F.array_join(F.filter(F.slice(F.split("t", " "), i + 1, size), _slot), " ")
+    return F.array_join(F.filter(F.slice("marked", i + 1, size), _slot), " ")
 
 
 def _starts(words: str, size: int, anchors: list[str] | None) -> Column:
