@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Generator, Iterator
 from html import unescape
 
@@ -41,7 +42,8 @@ IMPLIED = {
 #: End tags do not reach out of these.
 SCOPE = frozenset("table td th caption button template".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|([^<]+|<)", re.S)
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -59,75 +61,137 @@ class Node:
         self.name, self.attrs, self.children = name, attrs or {}, []
 
 
+class Ends:
+    """Where tags end: at the first > outside quotes, or with the page; a tag whose quote stays open is none.
+
+    Work is linear in the page, whatever is in it: quotes from which no tag can end are remembered, and so is
+    the sign that was found next.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.failed = html, set()
+        self.seen, self.next = 0, -1  # from seen on, the next sign is at next
+
+    def _special(self, at: int) -> int:
+        if not self.seen <= at <= self.next:
+            m = _SPECIAL.search(self.html, at)
+            self.seen, self.next = at, m.start() if m else len(self.html)
+        return self.next
+
+    def of(self, at: int) -> int | None:
+        """The place of the > that ends a tag whose attributes begin here, the page's length, or None."""
+        passed, n = [], len(self.html)
+        while True:
+            i = self._special(at)
+            if i == n or self.html[i] == ">":
+                return i
+            passed.append(i)
+            close = -1 if i in self.failed else self.html.find(self.html[i], i + 1)
+            if close < 0:
+                self.failed.update(passed)
+                return None
+            at = close + 1
+
+
+class Open:
+    """The stack of open elements, with the places of each name in it, so that no tag walks through it."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root")
+        self.nodes, self.at, self.scopes = [self.root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.nodes) > to:
+            name = self.nodes.pop().name
+            self.at[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost element of a name; 0 for none."""
+        places = self.at.get(name)
+        return places[-1] if places else 0
+
+    def begin(self, name: str) -> None:
+        """Closes what a start tag of this name closes."""
+        if name in IMPLIED:
+            names, stops = IMPLIED[name]
+            stop = max(map(self.last, stops))
+            if name in ("li", "dd", "dt", "option", "td", "th"):  # the innermost one
+                place = max(map(self.last, names))
+            else:  # all up to the boundary
+                inside = (self.at[x][bisect_right(self.at[x], stop)] for x in names if self.last(x) > stop)
+                place = min(inside, default=0)
+            if place > stop:
+                self.cut(place)
+        if name in CLOSES_P and (place := self.last("p")) > self.scopes[-1]:
+            self.cut(place)
+
+    def end(self, name: str) -> None:
+        top = self.nodes[-1].children
+        if name == "br":
+            top.append(Node("br"))
+            return
+        place = self.last(name)
+        if place and (place >= self.scopes[-1] or name in ("table", "tr", "tbody", "thead", "tfoot", "td", "th")):
+            self.cut(place)
+        elif name == "p":  # a lone </p> is an empty paragraph
+            top.append(Node("p"))
+
+
 def parse(html: str) -> Node:
-    """A tree of Nodes and strings; unclosed and misnested tags are repaired, nothing raises."""
-    root = Node("#root")
-    stack = [root]
+    """A tree of Nodes and strings; unclosed and misnested tags are repaired, nothing raises. Time is linear in the
+    page's length, also where quotes and tags stay open: a tag whose quote is never closed is text."""
+    open_, ends = Open(), Ends(html)
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
-        at = m.end()
-        text = m.group(5)
+        begun, at = at, m.end()
+        top = open_.nodes[-1].children
+        text = m.group(4)
         if text is not None:
-            stack[-1].children.append(unescape(text))
+            top.append(unescape(text))
             continue
         if m.group(1) is not None:
-            stack[-1].children.append(m.group(1))
+            top.append(m.group(1))
             continue
         name = m.group(3)
         if name is None:
             continue
+        end = ends.of(at)
+        if end is None:
+            top.append("<")
+            at = begun + 1
+            continue
+        raw, at = html[at:end], min(end + 1, n)
         name = name.lower()
         if m.group(2):
-            _end(stack, name)
+            open_.end(name)
             continue
-        raw = m.group(4)
         attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(raw))} if raw.strip(" \n\t/") else {}
-        if name in IMPLIED:
-            names, stops = IMPLIED[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in stops:
-                    break
-                if stack[i].name in names:
-                    del stack[i:]
-                    if name in ("li", "dd", "dt", "option", "td", "th"):
-                        break
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
-                if stack[i].name in SCOPE:
-                    break
+        open_.begin(name)
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        open_.nodes[-1].children.append(node)
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            body = html[at : end.start() if end else n]
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            body = html[at : close.start() if close else n]
             node.children.append(unescape(body) if name in ("textarea", "title") else body)
-            at = end.end() if end else n
+            at = close.end() if close else n
             continue
         if name == "plaintext":
             node.children.append(html[at:])
             break
-        stack.append(node)
-    return root
-
-
-def _end(stack: list[Node], name: str) -> None:
-    if name == "br":
-        stack[-1].children.append(Node("br"))
-        return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-            break
-    if name == "p":  # a lone </p> is an empty paragraph
-        stack[-1].children.append(Node("p"))
+        open_.push(node)
+    return open_.root
 
 
 class Styles:
