@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents that are not held out, chosen by a hash of doc_id.
 
     Labels other than 0 and 1, and rows without a document, say nothing. Of several labels of a doc_id the greatest
-    counts, and of several texts that of the least hash.
+    counts, and of several texts that of the least hash, chosen before the driver gets any: it gets `sample` rows at
+    most, however often a document is repeated.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -138,16 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows.append((at.astype("<u2").tobytes(), c[at].astype("<f4").tobytes()))
         return pd.DataFrame(rows, columns=["at", "n"])
 
-    # The broadcast side is the sample, bounded by its parameter.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), sparse("text").alias("terms"))
-    got = rows.select("doc_id", "h", F.col("quality").cast("double").alias("quality"), "terms.at", "terms.n").toArrow()  # at most `sample` documents
-    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
-    ids = got["doc_id"].to_numpy()
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
-    counts = np.zeros((len(first), WIDTH), np.float32)
-    for i, k in enumerate(first.tolist()):
-        counts[i, np.frombuffer(got["at"][k].as_py(), "<u2")] = np.frombuffer(got["n"][k].as_py(), "<f4")
-    quality = got["quality"].to_numpy()[first]
+    # The broadcast side is the sample, bounded by its parameter; one text of each document goes on.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = rows.select("doc_id", F.col("quality").cast("double").alias("quality"), sparse("text").alias("terms")).select("doc_id", "quality", "terms.*").toArrow()  # `sample` rows at most
+    got = got.sort_by("doc_id")
+    counts = np.zeros((len(got), WIDTH), np.float32)
+    for i in range(len(got)):
+        counts[i, np.frombuffer(got["at"][i].as_py(), "<u2")] = np.frombuffer(got["n"][i].as_py(), "<f4")
+    quality = got["quality"].to_numpy()
     del got
     return fit(counts, quality)
 
