@@ -79,7 +79,7 @@ class ChunkEncoder:
         if chunk.isalpha() and (chunk.isascii() or self.plain(chunk)):
             ids = self.piece(chunk.lower().encode() + b"\xff")
             return pack(f"<{len(ids)}I", *ids)
-        if chunk[-1:] in ",." and chunk[:-1].isalpha():
+        if chunk[-1:] in ",." and chunk[:-1].isalpha() and self.plain(chunk):
             return self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
         if self.plain(chunk):
             ids = [i for part in self.parts(chunk.lower()) for i in self.piece(part.encode() + b"\xff")]
