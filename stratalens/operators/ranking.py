@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, vectors
 from ..functions.text import query_terms
+from . import blockmax, retrieval
+from .postings import identifier_text
 
 LANE = "id string, entity_type string, path string, title string, kind string, line int, file double, chunk double, identifier double, semantic double, lexical double, matched_terms array<string>, chunk_id string, identifier_id string"
 
@@ -66,6 +70,45 @@ def add_structure(candidates: DataFrame, files: DataFrame, symbols: DataFrame, q
     return c.withColumns(more).drop("file_module", "file_text", "exact_module", "exact_text", "loose", "f_file", "f_semantic", "f_lexical")
 
 
+def structure_texts(files: DataFrame, symbols: DataFrame, deps: DataFrame, imports: DataFrame, exports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What add_structure reads, made once for an index: (path, module, structure_text) of files and (path, name, line, module,
+    structure_text) of symbols. Each file's lists are sorted and bounded by that file."""
+    joined = lambda df, c, name: df.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(c)), " ").alias(name))
+    parts = files.select("path", "header", "module", "language").join(joined(deps, F.col("dep"), "d"), "path", "left")
+    parts = parts.join(joined(imports, F.concat_ws(" ", "source", F.array_join("names", " ")), "i"), "path", "left")
+    parts = parts.join(joined(exports, F.concat_ws(" ", "name", "kind"), "e"), "path", "left")
+    parts = parts.join(joined(calls, F.concat_ws(" ", "caller", "callee"), "c"), "path", "left")
+    parts = parts.join(joined(symbols, F.concat_ws(" ", "name", "kind", "signature", "parent_name"), "s"), "path", "left")
+    per_file = parts.select("path", "module", F.concat_ws(" ", "path", "header", "module", "language", "d", "i", "e", "c", "s").alias("structure_text"))
+    told = symbols.join(parts.select("path", "module", "header", "d"), "path")
+    return per_file, told.select("path", "name", "line", "module", F.concat_ws(" ", "path", "module", "name", "kind", "signature", "parent_name", "header", "d").alias("structure_text"))
+
+
+def unified_search(tables: Callable[[str], DataFrame], query: str, query_vector: list[float], mode: str = "both", k: int = 5, kinds: list[str] | None = None, entity_types: list[str] | None = None) -> DataFrame:
+    """The whole ranked search over an index's tables: the file, chunk and identifier lanes, merged, with evidence of structure.
+
+    tables: file_docs, chunks, posting_blocks, identifiers, identifier_blocks, file_structure and symbol_structure by name. The
+    lanes' own cuts bound the candidates, a few hundred at most; these come to the driver once, so structure is read for
+    their paths alone, by a filter that the scan of the sorted table takes.
+    """
+    v = None if mode == "keyword" else query_vector
+    weights = {"semantic": (1.0, 0.0), "keyword": (0.0, 1.0)}
+    file_hits = retrieval.file_search(tables("file_docs"), query, query_vector, max(8 * k, 20), *weights.get(mode, (0.72, 0.28)))
+    no_terms = F.array().cast("array<string>")
+    file_rows = file_hits.select(F.col("path").alias("id"), "path", F.col("path").alias("title"), F.lit("file").alias("kind"), F.lit(1).alias("line"), F.lit("file").alias("entity_type"), "score", F.greatest("semantic_score", F.lit(0.0)).alias("semantic_score"), F.col("keyword_score").alias("lexical_score"), no_terms.alias("matched_terms"))
+    wide = max(10 * k, 40)
+    c = tables("chunks").withColumns({"title": F.coalesce("name", F.lit("file")), "entity_type": F.when(F.col("chunk_type") == "symbol", "symbol").otherwise("file")})
+    chunk_hits = blockmax.hybrid_search(tables("posting_blocks"), c, query, v, wide, *weights.get(mode, (0.68, 0.32)))
+    ids = tables("identifiers").withColumns({"title": F.col("name"), "entity_type": F.lit("symbol"), "lexical_text": identifier_text()})
+    id_hits = blockmax.hybrid_search(tables("identifier_blocks"), ids, query, v, wide, *weights.get(mode, (0.68, 0.32)))
+    merged = merge_lanes(lane(file_rows, "file"), lane(chunk_hits, "chunk"), lane(id_hits, "identifier"))
+    found = merged.collect()
+    merged = merged.sparkSession.createDataFrame(found, merged.schema)
+    paths = sorted({r.path for r in found})
+    own = lambda name: tables(name).where(F.col("path").isin(paths))
+    return rank(add_structure(merged, own("file_structure"), own("symbol_structure"), query, mode), k, entity_types, kinds)
+
+
 def rank(candidates: DataFrame, k: int = 5, entity_types: list[str] | None = None, kinds: list[str] | None = None, weights: tuple[float, float, float, float] = (0.20, 0.22, 0.24, 0.18)) -> DataFrame:
     """Filters by entity type and, for symbols, kind; then the best k by fused score, identifier, chunk and
     file evidence; ties by path, title and id."""

@@ -48,14 +48,23 @@ def hybrid_search(postings: DataFrame, docs: DataFrame, query: str, query_vector
     query, unless dense_candidates asks for all documents. A candidate without a vector fails the query,
     but in keyword mode.
     """
-    keyword_only = semantic_weight <= 0 or query_vector is None
     found = lexical_candidates(postings, docs, query)
     if dense_candidates:
         rest = docs.join(found.select("id"), "id", "left_anti").withColumns({"lexical_score": F.lit(0.0), "matched_terms": F.array().cast("array<string>")})
         found = found.unionByName(rest)
-    width = max(12 * k, 64)
-    if not dense_candidates:
-        found = found.orderBy(F.desc("lexical_score"), "path", "id").limit(width)
+    return fuse_candidates(found, query_vector, k, semantic_weight, lexical_weight, None if dense_candidates else width(k))
+
+
+def width(k: int) -> int:
+    """How many lexical candidates are ranked again for k results."""
+    return max(12 * k, 64)
+
+
+def fuse_candidates(found: DataFrame, query_vector: list[float] | None, k: int = 5, semantic_weight: float = 0.68, lexical_weight: float = 0.32, most: int | None = None) -> DataFrame:
+    """found: lexical candidates. hybrid_search's second half: the best `most` of them by lexical score, ranked by both."""
+    keyword_only = semantic_weight <= 0 or query_vector is None
+    if most is not None:
+        found = found.orderBy(F.desc("lexical_score"), "path", "id").limit(most)
     if keyword_only:
         semantic: Column = F.lit(0.0)
     else:
@@ -70,7 +79,7 @@ def hybrid_search(postings: DataFrame, docs: DataFrame, query: str, query_vector
 def search_counts(postings: DataFrame, query: str, k: int = 5) -> DataFrame:
     """One row of what hybrid_search meets: lexical_candidates, how many of them are ranked again, and results."""
     n = F.count_distinct("id")
-    return _terms(postings, query).agg(n.alias("lexical_candidates"), F.least(n, F.lit(max(12 * k, 64))).alias("reranked"), F.least(n, F.lit(k)).alias("results"))
+    return _terms(postings, query).agg(n.alias("lexical_candidates"), F.least(n, F.lit(width(k))).alias("reranked"), F.least(n, F.lit(k)).alias("results"))
 
 
 def vector_coverage(wanted: DataFrame, present: DataFrame) -> DataFrame:

@@ -7,18 +7,19 @@ suppliers are modules, pages are link graphs, events are change feeds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors
-from ..operators import clusters, graph, lookup, postings, ranking, retrieval, rules
+from ..operators import blockmax, cells, clusters, graph, lookup, positions, postings, ranking, retrieval, rules
 from ..sources import files as tree
 from ..sources import structure, worktree
 from ..streaming import changes
 from . import generations
-from .prepared import published
+from .prepared import folder, published
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,7 +125,50 @@ def part_word_hits(spark: SparkSession, sf: str) -> DataFrame:
     return published(spark, sf, "word_hits", build, "token")
 
 
-PREPARED = (search_postings, search_docs, part_tokens, part_word_hits)
+#: Documents of a posting block.
+BLOCK = 64
+
+
+def search_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    block = F.floor(F.col("id") / BLOCK).cast("long")
+    return published(spark, sf, "posting_blocks", lambda: blockmax.posting_blocks(search_postings(spark, sf), block), "term")
+
+
+def document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "document_lines", lambda: postings.lines_of(files(spark, sf), "path", "content").withColumnRenamed("id", "path"), "path")
+
+
+def document_words(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "document_words", lambda: positions.word_positions(document_lines(spark, sf)), "word")
+
+
+def part_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as lines of their brand's file; every other one defines its name."""
+    content = F.concat(F.when(F.col("p_size") % 2 == 0, "def ").otherwise(""), "p_name")
+    return t(spark, sf, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("line"), content.alias("content"))
+
+
+def part_words(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "part_words", lambda: positions.word_positions(part_lines(spark, sf)), "word")
+
+
+def page_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "page_paths", lambda: t(spark, sf, "pages").select(F.col("url").alias("path")).distinct(), "path")
+
+
+def page_grams(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "page_grams", lambda: positions.gram_positions(page_paths(spark, sf)), "gram")
+
+
+def customer_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "customer").select(F.col("c_name").alias("hub"), F.col("c_name").alias("title"))
+
+
+def customer_grams(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "customer_grams", lambda: positions.hub_grams(customer_hubs(spark, sf)), "gram")
+
+
+PREPARED = (search_postings, search_blocks, search_docs, part_tokens, part_word_hits, document_lines, document_words, part_words, page_paths, page_grams, customer_grams)
 
 
 # Tokenizers and text
@@ -193,12 +237,12 @@ def term_frequencies_top256(spark, sf):
 
 @query(f"WITH {_TF[1:]} SELECT term, count(*) AS documents, sum(frequency)::BIGINT AS occurrences, arg_max(id, (frequency, -id)) AS best_id FROM tf GROUP BY term")
 def postings_stats(spark, sf):
-    return postings.postings_summary(doc_postings(spark, sf))
+    return postings.postings_summary(search_postings(spark, sf))
 
 
 @query(f"WITH {_TF[1:]} SELECT count(DISTINCT term) AS unique_terms, count(DISTINCT id) AS documents, count(*) AS postings FROM tf")
 def postings_totals(spark, sf):
-    return postings.unique_terms(doc_postings(spark, sf))
+    return postings.unique_terms(search_postings(spark, sf))
 
 
 @query(f"WITH {_TF[1:]}, {_LEX[1:]} SELECT id AS doc_id, lexical_score FROM lex")
@@ -213,7 +257,7 @@ def search_counts(spark, sf):
 
 def _hybrid(name: str, sw: float, lw: float) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = retrieval.hybrid_search(search_postings(spark, sf), search_docs(spark, sf), QUERY, vectors.mock_embed(QUERY), 10, sw, lw)
+        found = blockmax.hybrid_search(search_blocks(spark, sf), search_docs(spark, sf), QUERY, vectors.mock_embed(QUERY), 10, sw, lw)
         return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("lexical_score", 6).alias("lexical_score"))
 
     run.__name__ = name
@@ -230,6 +274,18 @@ _hybrid("hybrid_search_keyword", 0.0, 1.0)
 _hybrid("hybrid_search_semantic", 1.0, 0.0)
 
 
+@query(f"""WITH {_TF[1:]}, q AS (SELECT *, id // {BLOCK} AS block, least(0.12, frequency * 0.04)::DOUBLE AS b FROM tf WHERE list_contains({_words(QUERY)}, term)),
+m AS (SELECT term, block, count(*) AS n, max(b) AS most FROM q GROUP BY ALL),
+u AS (SELECT block, round(sum({0.72 / len(text.query_terms(QUERY))}::DOUBLE + most), 10) AS bound, max(n) AS n FROM m GROUP BY block),
+f AS (SELECT block FROM (SELECT block, row_number() OVER w AS r, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM u WINDOW w AS (ORDER BY bound DESC, block)) WHERE r <= 64 AND held < 480),
+s AS (SELECT round(least(1.0, count(*) / {len(text.query_terms(QUERY))}::DOUBLE * 0.72 + sum(b)), 10) AS base FROM q WHERE block IN (SELECT block FROM f) GROUP BY id),
+t AS (SELECT coalesce((SELECT base FROM s ORDER BY base DESC LIMIT 1 OFFSET 119), -1.0) AS least)
+SELECT count(*) AS blocks, (SELECT count(*) FROM f) AS first, count(*) FILTER (bound + 0.18 >= least - 1e-9) AS read, count(*) FILTER (bound + 0.18 < least - 1e-9) AS skipped FROM u, t""")
+def search_block_counts(spark, sf):
+    """Of the blocks that a search for ten results could read: those scored first, read in all, and skipped."""
+    return blockmax.block_counts(search_blocks(spark, sf), QUERY, retrieval.width(10))
+
+
 # Vectors
 
 
@@ -245,9 +301,7 @@ def vector_topk(spark, sf):
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
 SELECT vec_id, related, round(score, 4) AS score FROM p WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 10) DESC, related) <= 3""")
 def knn_graph(spark, sf):
-    e = t(spark, sf, "embeddings")
-    found = graph.knn_graph(e, blocks=max(1, -(-e.count() // 20_000)), id_col="vec_id", vector_col="embedding")
-    return found.withColumnRenamed("id", "vec_id")
+    return cells.knn_cells(t(spark, sf, "embeddings"), id_col="vec_id", vector_col="embedding").withColumnRenamed("id", "vec_id")
 
 
 @query("""WITH w AS (SELECT doc_id FROM documents), p AS (SELECT DISTINCT vec_id AS doc_id FROM embeddings)
@@ -304,9 +358,15 @@ def cluster_kmeans(spark, sf):
 # The file and identifier lanes
 
 
-_PK = f"""(len(list_intersect({_words(PART_QUERY, text.CAMEL)}, {_terms("p_brand || ' ' || p_type || ' ' || p_name || ' ' || p_type", text.CAMEL)})) / {len(text.query_terms(PART_QUERY, text.CAMEL))}::DOUBLE * 0.65
- + CASE WHEN list_has_any({_terms('p_name', text.CAMEL)}, {_words(PART_QUERY, text.CAMEL)}) THEN len(list_intersect({_words(PART_QUERY, text.CAMEL)}, {_terms('p_name', text.CAMEL)})) / {len(text.query_terms(PART_QUERY, text.CAMEL))}::DOUBLE ELSE 0 END * 0.2
- + CASE WHEN contains(lower(p_brand || ' ' || p_type || ' ' || p_name || ' ' || p_type), '{PART_QUERY.lower()}') THEN 0.15 ELSE 0 END)"""
+def _part_keyword(path: str) -> str:
+    whole, words = f"{path} || ' ' || p_type || ' ' || p_name || ' ' || p_type", _words(PART_QUERY, text.CAMEL)
+    n = len(text.query_terms(PART_QUERY, text.CAMEL))
+    return f"""(len(list_intersect({words}, {_terms(whole, text.CAMEL)})) / {n}::DOUBLE * 0.65
+ + CASE WHEN list_has_any({_terms('p_name', text.CAMEL)}, {words}) THEN len(list_intersect({words}, {_terms('p_name', text.CAMEL)})) / {n}::DOUBLE ELSE 0 END * 0.2
+ + CASE WHEN contains(lower({whole}), '{PART_QUERY.lower()}') THEN 0.15 ELSE 0 END)"""
+
+
+_PK = _part_keyword("p_brand")
 
 
 def part_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,16 +425,21 @@ def kind_filter_after_limit(spark, sf):
     return lookup.lookup_symbol(s, w, 10, [kind]).select("path", "line", "name", "kind")
 
 
-@query(f"SELECT p_brand AS path, p_partkey AS line, p_name AS name, p_type AS kind FROM part WHERE list_contains({_tokens('p_name')}, {_WORD}) AND lower(p_type) = (SELECT min(lower(p_type)) FROM part WHERE list_contains({_tokens('p_name')}, {_WORD})) ORDER BY path, line, name LIMIT 10")
+@query("""WITH c AS (SELECT 'symbol:' || p_partkey AS id, p_type AS kind, p_brand AS path, p_name AS title, (p_partkey % 97) / 97.0::DOUBLE AS cs, (p_partkey % 89) / 89.0::DOUBLE AS xs FROM part),
+s AS (SELECT *, round(least(1.0, (cs * 0.22 + xs * 0.24) / 0.84), 10) AS score FROM c WHERE lower(kind) = (SELECT min(lower(p_type)) FROM part))
+SELECT id, kind, round(score, 6) AS score FROM s ORDER BY s.score DESC, xs DESC, cs DESC, path, title, id LIMIT 15""")
 def kind_filter_before_limit(spark, sf):
-    s, w = part_tokens(spark, sf), _first_word(spark, sf)
-    kind = s.where(F.col("token") == w).agg(F.min(F.lower("kind"))).first()[0]
-    return lookup.lookup_symbol(s.where(F.lower("kind") == kind), w, 10).select("path", "line", "name", "kind")
+    """Ranked candidates of one kind: the kind is asked for before the cut."""
+    p, zero = t(spark, sf, "part"), F.lit(0.0)
+    kind = p.agg(F.min(F.lower("p_type"))).first()[0]
+    share = lambda m: (F.col("p_partkey") % m) / F.lit(float(m))
+    c = p.select(F.concat(F.lit("symbol:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("symbol").alias("entity_type"), F.col("p_brand").alias("path"), F.col("p_name").alias("title"), F.col("p_type").alias("kind"), zero.alias("file"), share(97).alias("chunk"), share(89).alias("identifier"), zero.alias("structure"))
+    return ranking.rank(c, 15, None, [kind.upper()]).select("id", "kind", F.round("score", 6).alias("score"))
 
 
 @query("""WITH u AS (SELECT DISTINCT url AS path FROM pages) SELECT path FROM u WHERE NOT EXISTS (SELECT 1 FROM u WHERE path = 'example.net/en') AND contains(lower(path), 'example.net/en') ORDER BY path LIMIT 10""")
 def exact_path(spark, sf):
-    return lookup.lookup_path(t(spark, sf, "pages").select(F.col("url").alias("path")), "example.net/EN", 10)
+    return positions.lookup_path(page_paths(spark, sf), page_grams(spark, sf), "example.net/EN", 10)
 
 
 @query(f"""WITH f AS (SELECT p_brand AS path, min(p_type) AS header, min(p_name) AS content FROM part GROUP BY p_brand),
@@ -498,6 +563,17 @@ def vector_diff_merge(spark, sf):
     return generations.diff_merge(*_snapshots(spark, sf), "doc_id", "h").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT doc_id, h FROM ({_SNAP2})")
+def diff_merge_applied(spark, sf):
+    """The first snapshot as a table of buckets, brought to the second: only buckets with a change are written."""
+    was, now = _snapshots(spark, sf)
+    store = generations.Store(spark, f"{folder(spark)}/stratalens-merge-{uuid.uuid4().hex}")
+    old, new = (generations.Manifest(g, "full", buckets=generations.BUCKETS) for g in (1, 2))
+    store.save_parts(old, "vectors", was, "doc_id")
+    generations.apply_merge(store, old, new, "vectors", now, "doc_id", "h")
+    return store.read(new, 2, "vectors")
+
+
 @query(f"SELECT b.doc_id, a.h IS NOT NULL AS reused FROM ({_SNAP2}) b LEFT JOIN ({_SNAP}) a ON a.doc_id = b.doc_id AND a.h = b.h")
 def incremental_reuse(spark, sf):
     was, now = _snapshots(spark, sf)
@@ -521,11 +597,11 @@ def _nation_modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     """Suppliers as files with their nation as module; an order imports from each supplier to the next in it."""
     f = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_nationkey").cast("string").alias("module"))
     li = t(spark, sf, "lineitem")
-    edges = li.where("l_linenumber = 1").alias("a").join(li.where("l_linenumber = 2").alias("b"), F.col("a.l_orderkey") == F.col("b.l_orderkey"))
+    edges = li.alias("a").join(li.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1))
     return f, edges.select(F.col("a.l_suppkey").cast("string").alias("path"), F.col("b.l_suppkey").cast("string").alias("dep")).distinct()
 
 
-_NM = "f AS (SELECT s_suppkey::VARCHAR AS path, s_nationkey::VARCHAR AS module FROM supplier), e AS (SELECT DISTINCT a.l_suppkey::VARCHAR AS path, b.l_suppkey::VARCHAR AS dep FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2), me AS (SELECT DISTINCT e.path, a.module AS from_module, b.module AS to_module FROM e JOIN f a ON e.path = a.path JOIN f b ON e.dep = b.path WHERE a.module <> b.module)"
+_NM = "f AS (SELECT s_suppkey::VARCHAR AS path, s_nationkey::VARCHAR AS module FROM supplier), e AS (SELECT DISTINCT a.l_suppkey::VARCHAR AS path, b.l_suppkey::VARCHAR AS dep FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1), me AS (SELECT DISTINCT e.path, a.module AS from_module, b.module AS to_module FROM e JOIN f a ON e.path = a.path JOIN f b ON e.dep = b.path WHERE a.module <> b.module)"
 
 
 @query(f"WITH {_NM} SELECT f.module, array_to_string(list_sort(list(DISTINCT f.path)), ',') AS file_paths, coalesce(array_to_string(list_sort(list(DISTINCT e.dep) FILTER (e.dep IS NOT NULL)), ','), '') AS dependency_paths FROM f LEFT JOIN e ON e.path = f.path GROUP BY f.module")
@@ -586,8 +662,7 @@ u AS (SELECT * FROM l WHERE regexp_matches(content, '(^|[^A-Za-z0-9_])thention($
 p AS (SELECT path, count(*) AS usages FROM u GROUP BY path)
 SELECT path, usages, (SELECT sum(usages)::BIGINT FROM p) AS total, (SELECT count(*) FROM p) AS files, (SELECT sum(usages) FROM p) <= 1 AS low_usage FROM p""")
 def blast_radius(spark, sf):
-    lines = postings.lines_of(files(spark, sf), "path", "content").withColumnRenamed("id", "path")
-    return retrieval.blast_radius(lines, "thention").select("path", "usages", "total", "files", "low_usage")
+    return positions.blast_radius(document_words(spark, sf), document_lines(spark, sf), "thention").select("path", "usages", "total", "files", "low_usage")
 
 
 @query(r"""WITH l AS (SELECT p_brand AS path, CASE WHEN p_size % 2 = 0 THEN 'def ' ELSE '' END || p_name AS content FROM part),
@@ -596,19 +671,20 @@ p AS (SELECT path, count(*) AS usages FROM u GROUP BY path)
 SELECT path, usages, (SELECT sum(usages)::BIGINT FROM p) AS total FROM p""")
 def blast_radius_of_defined(spark, sf):
     """Lines that define the symbol are left out in its own file only."""
-    p = t(spark, sf, "part")
-    lines = p.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("line"), F.concat(F.when(F.col("p_size") % 2 == 0, "def ").otherwise(""), "p_name").alias("content"))
-    return retrieval.blast_radius(lines, "small", p.agg(F.min("p_brand")).first()[0]).select("path", "usages", "total")
+    first = t(spark, sf, "part").agg(F.min("p_brand")).first()[0]
+    return positions.blast_radius(part_words(spark, sf), part_lines(spark, sf), "small", first).select("path", "usages", "total")
 
 
-@query(r"""WITH s(symbol_id, name) AS (VALUES (1, 'thention'), (2, 'ontion'), (3, 'edition')),
-l AS (SELECT conv_id::VARCHAR AS path, turn AS line, text AS content FROM conversations),
-h AS (SELECT symbol_id, path, line, len(list_filter(['the', 'that', 'ontion'], lambda x: contains(lower(content), x))) / 3.0::DOUBLE AS k FROM s JOIN l ON regexp_matches(content, '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])'))
+@query(r"""WITH s AS (SELECT min(p_partkey) AS symbol_id, split_part(p_name, ' ', 1) AS name FROM part GROUP BY 2 UNION ALL SELECT min(p_partkey) + 1000000, p_name FROM part WHERE p_size = 7 GROUP BY p_name),
+l AS (SELECT p_brand AS path, p_partkey AS line, CASE WHEN p_size % 2 = 0 THEN 'def ' ELSE '' END || p_name AS content FROM part),
+h AS (SELECT symbol_id, path, line, len(list_filter(['def', 'ring', 'bolt'], lambda x: contains(lower(content), x))) / 3.0::DOUBLE AS k FROM s JOIN l ON regexp_matches(content, '(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9_])'))
 SELECT symbol_id, path, line, round(k, 6) AS keyword_score, count(*) OVER (PARTITION BY symbol_id) AS total, row_number() OVER (PARTITION BY symbol_id ORDER BY k DESC, path, line)::INTEGER AS rank FROM h QUALIFY rank <= 10""")
 def call_sites(spark, sf):
-    s = spark.createDataFrame([(1, "thention"), (2, "ontion"), (3, "edition")], "symbol_id int, name string")
-    lines = t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), F.col("text").alias("content"))
-    found = retrieval.call_sites(s, lines, "the that ontion")
+    """The first words of all parts' names as symbols, and some whole names, which are two words."""
+    p = t(spark, sf, "part")
+    s = p.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).agg(F.min("p_partkey").alias("symbol_id"))
+    whole = p.where("p_size = 7").groupBy(F.col("p_name").alias("name")).agg((F.min("p_partkey") + 1_000_000).alias("symbol_id"))
+    found = positions.call_sites(s.unionByName(whole), part_words(spark, sf), part_lines(spark, sf), "def ring bolt")
     return found.select("symbol_id", "path", "line", F.round("keyword_score", 6).alias("keyword_score"), "total", "rank")
 
 
@@ -650,7 +726,7 @@ def hub_rank_both(spark, sf):
 
 @query("SELECT c_name AS hub FROM customer WHERE contains(lower(c_name), '0000012') ORDER BY hub LIMIT 1")
 def hub_find(spark, sf):
-    return ranking.find_hub(t(spark, sf, "customer").select(F.col("c_name").alias("hub"), F.col("c_name").alias("title")), "0000012").select("hub")
+    return positions.find_hub(customer_hubs(spark, sf), customer_grams(spark, sf), "0000012").select("hub")
 
 
 @query("SELECT user_id AS suggestion, event_type AS tag, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type)::INTEGER AS rank FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY rank <= 3")
@@ -679,7 +755,7 @@ def suggestion_links(spark, sf):
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.hybrid_search(search_postings(spark, sf), search_docs(spark, sf), QUERY, None, 20, 0.0, 1.0)
+    found = blockmax.hybrid_search(search_blocks(spark, sf), search_docs(spark, sf), QUERY, None, 20, 0.0, 1.0)
     return found.select("path", "id", F.col("lexical_score").alias("score")).orderBy(F.desc("score"), "path", "id").limit(20)
 
 
@@ -734,6 +810,64 @@ def fusion_rank(spark, sf):
     return ranking.rank(c, 50).select("id", "entity_type", F.round("score", 6).alias("score"))
 
 
+def _part_lane(name: str, words: str, keep: int) -> str:
+    """SQL of one posting lane over parts: words is the text of each."""
+    n = len(text.query_terms(PART_QUERY))
+    return f"""
+{name}_t AS (SELECT id, unnest({_terms(words)}) AS term FROM p),
+{name}_c AS (SELECT id, term, count(*) AS frequency FROM {name}_t WHERE length(term) <= 64 AND regexp_matches(term, '[a-z_]') GROUP BY ALL),
+{name}_h AS (SELECT id, count(*) AS n, sum(least(0.12, frequency * 0.04)::DOUBLE) AS boost FROM {name}_c WHERE list_contains({_words(PART_QUERY)}, term) GROUP BY id),
+{name}_l AS (SELECT p.*, round(least(1.0, n / {n}::DOUBLE * 0.72 + boost + CASE WHEN contains(lower({words}), '{PART_QUERY.lower()}') THEN 0.18 ELSE 0 END), 10) AS l FROM {name}_h JOIN p USING (id)),
+{name}_w AS (SELECT *, greatest(0.0, round({_cosine('v', _list(vectors.mock_embed(PART_QUERY)))}, 10)) AS s FROM (SELECT * FROM {name}_l ORDER BY l DESC, path, id LIMIT {12 * keep})),
+{name} AS (SELECT * FROM (SELECT *, round((0.68 * s + 0.32 * l) / 1.0, 10) AS sc FROM {name}_w) ORDER BY sc DESC, l DESC, s DESC, id LIMIT {keep})"""
+
+
+def part_index(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
+    """The tables of a search, of parts as files with one symbol each."""
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), "p_brand", "p_type", "p_name", F.col("p_partkey").cast("int").alias("line"), vectors.mock_vector(F.col("p_name")).alias("vector"))
+    none = F.lit(None).cast("string")
+    chunks = p.select("id", "path", F.lit("symbol").alias("chunk_type"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "line", F.concat_ws(" ", "p_name", "p_type").alias("lexical_text"), "vector")
+    ids = p.select("id", "path", F.col("p_type").alias("header"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "line", none.alias("signature"), none.alias("parent_name"), none.alias("text"), "vector")
+    blocks = lambda rows, c: blockmax.posting_blocks(postings.term_frequencies(rows, "id", c), F.floor(F.col("id") / BLOCK).cast("long"))
+    build = {
+        "file_docs": (p.select("path", F.col("p_type").alias("header"), F.array("p_name").alias("symbols"), F.col("p_type").alias("content"), "vector"), "path"),
+        "chunks": (chunks, "id"), "identifiers": (ids, "id"),
+        "posting_blocks": (blocks(chunks, F.col("lexical_text")), "term"), "identifier_blocks": (blocks(ids, postings.identifier_text()), "term"),
+        "file_structure": (p.select("path", F.col("p_brand").alias("module"), F.concat_ws(" ", "p_brand", "p_type").alias("structure_text")), "path"),
+        "symbol_structure": (p.select("path", F.col("p_name").alias("name"), "line", F.col("p_brand").alias("module"), F.concat_ws(" ", "p_name", "p_type").alias("structure_text")), "path"),
+    }
+    return lambda name: published(spark, sf, f"part_{name}", lambda: build[name][0], build[name][1])
+
+
+def part_search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes all tables of the search; the number of their rows."""
+    names = ("file_docs", "chunks", "identifiers", "posting_blocks", "identifier_blocks", "file_structure", "symbol_structure")
+    return spark.createDataFrame([(name, part_index(spark, sf)(name).count()) for name in names], "name string, n long")
+
+
+PREPARED += (part_search_index,)
+
+
+@query(f"""WITH p AS (SELECT *, {_mock('p_name')} AS v, p_partkey AS id, p_brand || '/' || p_partkey AS path FROM part),
+fl AS (SELECT * FROM (SELECT *, round((0.72 * greatest(s, 0) + 0.28 * k) / 1.0, 10) AS sc FROM (SELECT *, round({_part_keyword('path')}, 10) AS k, round({_cosine('v', _list(vectors.mock_embed(PART_QUERY)))}, 10) AS s FROM p)) WHERE sc >= 0.1 ORDER BY sc DESC, k DESC, s DESC, path LIMIT 80),
+{_part_lane("ch", "(p_name || ' ' || p_type)", 100)},
+{_part_lane("il", "(path || ' ' || p_type || ' ' || p_name || ' ' || p_type)", 100)},
+c AS (
+  SELECT 'file:' || path AS id, 'file' AS entity_type, path, path AS title, sc AS fs, 0.0::DOUBLE AS cs, 0.0::DOUBLE AS xs FROM fl
+  UNION ALL SELECT 'file:' || path, 'file', path, path, 0, sc, 0 FROM ch UNION ALL SELECT 'file:' || path, 'file', path, path, 0, 0, sc FROM il
+  UNION ALL SELECT 'symbol:' || path || ':' || p_name || ':' || id, 'symbol', path, p_name, 0, sc, 0 FROM ch UNION ALL SELECT 'symbol:' || path || ':' || p_name || ':' || id, 'symbol', path, p_name, 0, 0, sc FROM il),
+m AS (SELECT id, entity_type, path, title, max(fs) AS fs, max(cs) AS cs, max(xs) AS xs FROM c GROUP BY ALL),
+o AS (SELECT m.id, m.entity_type, m.path, m.title, CASE WHEN m.entity_type = 'file' THEN m.fs ELSE greatest(m.fs, coalesce(w.fs * 0.7, 0.0)) END AS fs, m.cs, m.xs,
+  least(1.0, CASE WHEN m.entity_type = 'file' THEN {_cover("(p_brand || ' ' || p_type)", PART_QUERY, 0.82, 0.18)} ELSE {_cover("(p_name || ' ' || p_type)", PART_QUERY, 0.82, 0.18)} END + CASE WHEN m.cs > 0 OR m.xs > 0 THEN 0.12 ELSE 0 END) AS ss
+  FROM m JOIN p ON p.path = m.path LEFT JOIN m w ON w.entity_type = 'file' AND w.path = m.path),
+z AS (SELECT *, round(least(1.0, (fs * 0.20 + cs * 0.22 + xs * 0.24 + ss * 0.18) / 0.84), 10) AS sc FROM o)
+SELECT id, entity_type, round(sc, 6) AS score FROM z ORDER BY sc DESC, xs DESC, cs DESC, fs DESC, path, title, id LIMIT 10""")
+def engine_search(spark, sf):
+    """The engine's whole search: three lanes, merged, and evidence of structure."""
+    found = ranking.unified_search(part_index(spark, sf), PART_QUERY, vectors.mock_embed(PART_QUERY), k=10)
+    return found.select("id", "entity_type", F.round("score", 6).alias("score"))
+
+
 @query("""SELECT s_suppkey::VARCHAR AS path, 'Purpose: ' || s_name || '.' AS purpose, 'Ownership: module ' || s_nationkey || ' owns this file and 1 symbol(s).' AS ownership,
 'Change risk: ' || CASE WHEN s_acctbal > 5000 THEN 'medium' ELSE 'low' END || '; exports=' || (s_acctbal > 5000)::INTEGER || ', direct dependencies=0, reverse dependencies=0.' AS change_risk FROM supplier""")
 def file_cards(spark, sf):
@@ -889,6 +1023,28 @@ def _code(spark: SparkSession, sf: str, body) -> DataFrame:
     return t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("typescript").alias("lang"), F.lit(1).alias("line"), body.alias("text"))
 
 
+@query("""WITH p AS (SELECT *, p_brand || '/' || p_partkey || CASE p_size % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.go' WHEN 2 THEN '.rs' ELSE '.java' END AS path, 'f' || p_partkey AS f, 'K' || p_size AS k FROM part)
+SELECT path, f AS name, CASE WHEN p_size % 4 IN (0, 3) THEN 'method' ELSE 'function' END AS kind, CASE WHEN p_size % 4 = 1 THEN 6 ELSE 3 END::INTEGER AS line, CASE WHEN p_size % 4 = 1 THEN 9 ELSE 6 END::INTEGER AS end_line, CASE WHEN p_size % 4 <> 1 THEN k END AS parent_name FROM p
+UNION ALL SELECT path, k, CASE WHEN p_size % 4 = 1 THEN 'type' ELSE 'class' END, 2, CASE WHEN p_size % 4 = 1 THEN 5 ELSE 7 END, NULL FROM p""")
+def symbols_of_braced_code(spark, sf):
+    """Parts as files of four languages: braces in strings and comments, and heads over two lines."""
+    p, n = t(spark, sf, "part"), F.col("p_partkey").cast("string")
+    f, k, says = F.concat(F.lit("f"), n), F.concat(F.lit("K"), F.col("p_size").cast("string")), F.concat(F.lit('"} '), "p_name", F.lit(' {"'))
+    line = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    forms = {
+        0: (".ts", [line("// {"), line("export class ", k, " {"), line("  async ", f, "(x: string,"), line("    y = `}`) { g(/[}]/)"), line("    g(", says, ")"), line("  }"), line("}")]),
+        1: (".go", [line("// {"), line("type ", k, " struct {"), line("  /* } */"), line("  name string"), line("}"), line("func ", f, "(x string,"), line("  y rune) { g('}')"), line("  g(", says, ")"), line("}")]),
+        2: (".rs", [line("/* { */"), line("impl<'a> T<'a> for ", k, " {"), line("  fn ", f, "(x: &'a str,"), line("    y: char) { g('}');"), line("    g(", says, ");"), line("  }"), line("}")]),
+        3: (".java", [line("// {"), line("public class ", k, " {"), line("  public int ", f, "(String x,"), line("      char y) { g('}');"), line("    g(", says, ");"), line("  }"), line("}")]),
+    }
+    ending, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (suffix, lines) in forms.items():
+        here = F.col("p_size") % 4 == i
+        ending, content = F.when(here, suffix).otherwise(ending), F.when(here, F.array_join(F.array(*lines), "\n")).otherwise(content)
+    files_ = p.select(F.concat("p_brand", F.lit("/"), n, ending).alias("path"), content.alias("content"))
+    return structure.parse_symbols(files_).select("path", "name", "kind", "line", "end_line", "parent_name")
+
+
 @query("SELECT p_partkey::VARCHAR AS path, './' || p_brand AS source, array_to_string(string_split(p_name, ' '), ',') AS names FROM part")
 def extract_imports(spark, sf):
     body = F.concat(F.lit("import { "), F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit(" } from './"), "p_brand", F.lit("'"))
@@ -967,14 +1123,14 @@ def card_api(spark, sf):
     return ranking.api_card(s.select("path", "name", "kind"), s)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey::VARCHAR AS path, l_partkey::VARCHAR AS dep FROM lineitem WHERE l_linenumber = 7),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey::VARCHAR AS path, l_partkey::VARCHAR AS dep FROM lineitem),
 d AS (SELECT path, string_agg(dep, ', ' ORDER BY dep) FILTER (r <= 3) AS names, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY dep) AS r, count(*) OVER (PARTITION BY path) AS n FROM e) GROUP BY path),
 b AS (SELECT dep AS path, string_agg(path, ', ' ORDER BY path) FILTER (r <= 3) AS names, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY dep ORDER BY path) AS r, count(*) OVER (PARTITION BY dep) AS n FROM e) GROUP BY dep),
 t AS (SELECT s.s_suppkey::VARCHAR AS path, coalesce(d.names || CASE WHEN d.n > 3 THEN ' +' || (d.n - 3) || ' more' ELSE '' END, 'none') AS x, coalesce(b.names || CASE WHEN b.n > 3 THEN ' +' || (b.n - 3) || ' more' ELSE '' END, 'none') AS y, b.n AS n FROM supplier s LEFT JOIN d ON d.path = s.s_suppkey::VARCHAR LEFT JOIN b ON b.path = s.s_suppkey::VARCHAR)
 SELECT path, 'Dependency neighborhood: depends on ' || x || '. Imported by ' || y || '.' AS neighbourhood,
   CASE WHEN n > 0 THEN 'Hot path: imported by ' || n || ' file(s), led by ' || y || '.' ELSE 'Hot path: isolated to module m with no downstream imports yet.' END AS hot_path FROM t""")
 def card_neighbourhood(spark, sf):
-    edges = t(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("dep")).distinct()
+    edges = t(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("dep")).distinct()
     f = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit("m").alias("module"), F.lit(1).alias("n_symbols"))
     return ranking.neighbourhood_cards(f, edges, spark.createDataFrame([], "path string, callee string"))
 
@@ -1024,9 +1180,9 @@ def cluster_overlap(spark, sf):
     return clusters.overlapping_nodes(p.select(F.col("p_brand").alias("suggestion"), F.col("p_partkey").alias("path")), nodes)
 
 
-@query("""SELECT s_suppkey AS path, sha256(string_agg(k || ':' || md5(k), chr(10) ORDER BY k || ':' || md5(k))) AS hash FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey::VARCHAR AS k FROM lineitem WHERE l_linenumber = 7) GROUP BY 1""")
+@query("""SELECT s_suppkey AS path, sha256(string_agg(k || ':' || md5(k), chr(10) ORDER BY k || ':' || md5(k))) AS hash FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey::VARCHAR AS k FROM lineitem) GROUP BY 1""")
 def dependency_hashes(spark, sf):
-    edges = t(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").cast("string").alias("k")).distinct()
+    edges = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").cast("string").alias("k")).distinct()
     lists = edges.groupBy("path").agg(F.collect_list("k").alias("k"))  # a file's direct dependencies
     return lists.select("path", text.dependency_hash(F.col("k"), F.transform("k", F.md5)).alias("hash"))
 

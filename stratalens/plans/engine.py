@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import clusters, graph, lookup, postings, ranking, retrieval, rules
+from ..operators import blockmax, cells, clusters, graph, lookup, positions, postings, ranking, retrieval, rules
 from ..sources import files as tree
 from ..sources import structure
 from .activity import SearchCounters
-from .generations import CORE, STAGES, Manifest, Store, reuse, validate
+from .generations import BUCKET_ROWS, BUCKETS, CORE, STAGES, Manifest, Store, reuse, touched_buckets, validate
+
+#: Postings of about so many chunks or identifiers make a block.
+BLOCK = 128
 
 
 @dataclass
@@ -37,10 +40,10 @@ class Engine:
         with self.store.lock():
             return self._index(root, mode, since)
 
-    def _index(self, root: str | DataFrame, mode: str, since: int) -> list[tuple[str, str]]:
+    def _index(self, root: str | DataFrame, mode: str, since: int, start: str | None = None) -> list[tuple[str, str]]:
         g = self.store.reserve()
         try:
-            self._build(root, g, mode, since)
+            self._build(root, g, mode, since, start)
             issues = validate(self.store, g, mode)
             if issues:
                 raise RuntimeError("; ".join(f"{c}: {m}" for c, m in issues))
@@ -50,36 +53,60 @@ class Engine:
             self.store.clear_pending()
             raise
 
-    def _build(self, root: str | DataFrame, g: int, mode: str, since: int = 0) -> None:
+    def _build(self, root: str | DataFrame, g: int, mode: str, since: int = 0, start: str | None = None) -> None:
+        """since: the generation that unchanged files' rows come from; start: the first stage that is built anew, those
+        before it being that generation's own."""
         made = Manifest(g, mode, provider=self.providers.name, since=since)
+        was = self.store.manifest(since) if since else None
         frames: dict[str, DataFrame] = {}
-        same = fresh = None  # paths of unchanged files, and the files to read anew
+        same = fresh = touched = None  # paths of unchanged files, the files to read anew, and the buckets with a change
 
-        def put(name: str, df: DataFrame) -> DataFrame:
-            self.store.save(g, name, df)
-            frames[name] = self.store.table(name, g)
+        def done(name: str) -> DataFrame:
+            frames[name] = self.store.read(made, g, name)
             made.tables[name] = frames[name].count()
             return frames[name]
 
+        def put(name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+            """A table of this generation; sorted by what it is looked up by, if told."""
+            self.store.save(g, name, df.repartitionByRange(by).sortWithinPartitions(by) if by else df)
+            return done(name)
+
         def per_file(name: str, build) -> DataFrame:
-            """A table whose rows come from one file each: build makes those of the files given, the rest stays as it was."""
+            """A table whose rows come from one file each: build makes those of the files given. Buckets of files without a change
+            are the earlier generation's own; in the others rows of unchanged files are taken over."""
             if same is None:
-                return put(name, build(frames["files"]))
-            kept = self.store.table(name, since).join(same, "path", "left_semi")
-            made.reused[name] = kept.count()
-            return put(name, kept.unionByName(build(fresh)))
+                self.store.save_parts(made, name, build(frames["files"]))
+                return done(name)
+            kept = self.store.read(was, since, name, touched).join(same, "path", "left_semi")
+            self.store.save_parts(made, name, kept.unionByName(build(fresh)), "path", touched, self.store.shared_folders(was, name, touched))
+            table = done(name)
+            made.reused[name] = made.tables[name] - table.join(fresh.select("path"), "path", "left_semi").count()
+            return table
 
         embed = self.providers.column
         source = tree.read_tree(self.spark, root) if isinstance(root, str) else root
-        for stage in STAGES if mode == "full" else CORE:
+        every = [*STAGES] if mode == "full" else [*CORE]
+        for stage in every:
+            if start and every.index(stage) < every.index(start):
+                for table in STAGES[stage][1]:
+                    self.store.adopt(made, was, table)
+                    frames[table] = self.store.read(made, g, table)
+                made.buckets, made.stages[stage] = was.buckets, "completed"
+                continue
             if any(made.stages.get(d) != "completed" for d in STAGES[stage][0]):
                 raise RuntimeError(f"{stage} needs {STAGES[stage][0]}")
             if stage == "bootstrap":
                 f = source.dropDuplicates(["path"])
-                put("files", f.select("path", "content", "size", "mtime_ms", text.content_hash(F.col("content")).alias("hash"), text.directory(F.col("path")).alias("module"), tree.language(F.col("path")).alias("language"), tree.header(F.col("content")).alias("header")))
-                if since:
-                    kept, fresh = reuse(self.store.table("files", since), frames["files"], ["path", "hash"], [])
+                told = f.select("path", "content", "size", "mtime_ms", text.content_hash(F.col("content")).alias("hash"), text.directory(F.col("path")).alias("module"), tree.language(F.col("path")).alias("language"), tree.header(F.col("content")).alias("header"))
+                put("files", told, "path")
+                made.buckets = was.buckets if was else max(BUCKETS, -(-made.tables["files"] // BUCKET_ROWS))
+                if since and not start:
+                    before = self.store.read(was, since, "files")
+                    kept, fresh = reuse(before, frames["files"], ["path", "hash"], [])
                     same = kept.select("path")
+                    gone = before.select("path").join(same, "path", "left_anti")
+                    touched = touched_buckets(fresh.select("path").unionByName(gone), made.buckets)
+                put("path_grams", positions.gram_positions(frames["files"]), "gram")
             elif stage == "file-search":
                 symbols = per_file("symbols", lambda f: structure.parse_symbols(f).dropDuplicates(["path", "name", "line"]))
                 per_file("symbol_tokens", lambda f: lookup.symbol_tokens(symbols.join(f.select("path"), "path", "left_semi")))
@@ -90,7 +117,10 @@ class Engine:
                 ids = frames["identifiers"].withColumn("lexical_text", postings.identifier_text())
                 own = lambda df, f: df.join(f.select("path"), "path", "left_semi")
                 per_file("identifier_postings", lambda f: self._postings(own(ids, f)))
+                put("identifier_blocks", self._blocks(frames["identifier_postings"], made.tables["identifiers"]), "term")
                 per_file("word_hits", lambda f: lookup.word_hits(own(frames["symbols"], f), f, own(frames["identifiers"], f)))
+                lines = per_file("source_lines", lambda f: structure.source_lines(f).select("path", "line", F.col("text").alias("content")))
+                put("word_positions", positions.word_positions(lines), "word")
             else:
                 self._artifacts(frames, put, per_file)
             made.stages[stage] = "completed"
@@ -107,21 +137,31 @@ class Engine:
         """Term counts of texts (id, path, lexical_text), with the path that they come from."""
         return postings.term_frequencies(texts, "id", F.col("lexical_text")).join(texts.select("id", "path"), "id")
 
+    @staticmethod
+    def _blocks(posted: DataFrame, n: int) -> DataFrame:
+        """Posting blocks; what a folder holds lies in one block, or in a few where it is large."""
+        folder = F.xxhash64(text.directory(F.col("path")))
+        return blockmax.posting_blocks(posted, F.pmod(folder + F.pmod(F.xxhash64("path"), F.lit(4)), F.lit(max(1, -(-n // BLOCK)))))
+
     def _artifacts(self, frames: dict[str, DataFrame], put, per_file) -> None:
         f, symbols = frames["files"], frames["symbols"]
         embed = self.providers.column
         own = lambda df, files: df.join(files.select("path"), "path", "left_semi")
         per_file("chunks", lambda files: postings.chunks(files, own(symbols, files)).withColumn("lexical_text", postings.chunk_text()).withColumn("vector", embed(F.col("lexical_text"))))
         per_file("postings", lambda files: self._postings(own(frames["chunks"], files)))
+        put("posting_blocks", self._blocks(frames["postings"], frames["chunks"].count()), "term")
         imports = per_file("imports", lambda files: structure.imports(structure.source_lines(files)))
         exports = per_file("exports", lambda files: structure.exports(structure.source_lines(files)))
-        per_file("calls", lambda files: structure.calls(structure.source_lines(files)))
+        calls = per_file("calls", lambda files: structure.calls(structure.source_lines(files)))
         deps = put("deps", graph.resolve_imports(imports, f).select("path", "dep").distinct())
         put("modules", graph.module_summary(f, deps, symbols))
         put("module_edges", graph.module_import_edges(deps, f))
+        per_path, per_symbol = ranking.structure_texts(f, symbols, deps, imports, exports, calls)
+        put("file_structure", per_path, "path")
+        put("symbol_structure", per_symbol, "path")
         docs = frames["file_docs"]
         code = docs.where(tree.navigable(F.col("path"))).select("path", "vector")
-        knn = graph.knn_graph(code.withColumnRenamed("path", "id"), blocks=max(1, -(-code.count() // 20_000))).withColumnRenamed("id", "path")
+        knn = cells.knn_cells(code.withColumnRenamed("path", "id")).withColumnRenamed("id", "path")
         put("related", graph.related_contexts([
             (knn, "cluster", None),
             (deps.select("path", F.col("dep").alias("related")), "dependency", 0.72),
@@ -130,6 +170,7 @@ class Engine:
         ]))
         put("cluster_nodes", clusters.hierarchy(code))
         hubs = put("hubs", tree.hubs(f).withColumn("search_text", F.concat_ws(" ", "hub", "title", "content")).withColumn("vector", embed(F.col("search_text"))))
+        put("hub_grams", positions.hub_grams(hubs), "gram")
         put("hub_links", tree.wiki_links(hubs, "hub").select(F.col("id").alias("hub"), "target", "description", "pos"))
         risk = graph.file_risk(f, deps, exports)
         n = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
@@ -152,12 +193,23 @@ class Engine:
         return self.index(root, mode, p.active if usable else 0)
 
     def repair(self, root: str | DataFrame, target: str = "full") -> list[tuple[str, str]]:
-        """Issues of the active generation before the repair. A broken or blocked one is built anew, whole, whatever
-        stage is named: stages share their tables. A valid one is left alone."""
+        """Issues of the active generation before the repair. A broken or blocked one is built anew: whole, or where a stage
+        is named and all issues are of its tables or of later ones, from that stage on, over the tables that the
+        stages before it have. A valid one is left alone."""
         if target not in ("full", "core", *STAGES):
             raise ValueError(f"{target} is no stage")
         issues = self.check("core" if target in ("core", *CORE) else "full")
-        if issues:
+        if not issues:
+            return issues
+        order = [*STAGES]
+        active, start = self.store.pointer().active, None
+        if target in order[1:] and all(code in ("missing-table", "row-count-mismatch") for code, _ in issues):
+            earlier = {t for stage in order[: order.index(target)] for t in STAGES[stage][1]}
+            start = None if any(message.split()[0] in earlier for _, message in issues) else target
+        if start:
+            with self.store.lock():
+                self._index(root, self.store.manifest(active).mode, active, start)
+        else:
             self.index(root)
         return issues
 
@@ -170,14 +222,15 @@ class Engine:
         return validate(self.store, self.store.pointer().active, mode)
 
     def require(self, mode: str = "full") -> None:
-        if issues := self.check(mode):
+        """Raises where the active generation is not fresh or not whole. Its rows were checked when it was published."""
+        if issues := validate(self.store, self.store.pointer().active, mode, scan=False):
             raise RuntimeError("the index is not valid: " + "; ".join(f"{c}: {m}" for c, m in issues))
 
     def symbol(self, query: str, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
         return lookup.lookup_symbol(self._t("symbol_tokens"), query, k, kinds)
 
     def path(self, query: str, k: int = 10) -> DataFrame:
-        return lookup.lookup_path(self._t("files"), query, k)
+        return positions.lookup_path(self._t("files").select("path"), self._t("path_grams"), query, k)
 
     def word(self, query: str, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
         tokens = list(dict.fromkeys([query.strip().lower(), *text.query_terms(query, text.EXACT)]))
@@ -185,7 +238,8 @@ class Engine:
 
     def path_content(self, query: str) -> DataFrame:
         """The first file that the path lookup finds, with its indexed content: path, content; no row for none."""
-        return lookup.path_content(self._t("files"), query)
+        first = [r.path for r in self.path(query, 1).collect()]
+        return self._t("files").where(F.col("path").isin(first)).select("path", "content")
 
     def exact(self, query: str, kind: str = "mixed", k: int = 10, kinds: list[str] | None = None) -> dict[str, DataFrame]:
         """Exact search: symbols for 'symbol', files for 'file', and both with word hits for 'mixed'."""
@@ -211,18 +265,8 @@ class Engine:
         if intent == "exact":
             return self.path(query, k) if kind == "file" else self.symbol(query, k, kinds)
         self.require()
-        v = None if mode == "keyword" else self.providers.query(query)
-        weights = {"semantic": (1.0, 0.0), "keyword": (0.0, 1.0)}
-        file_hits = retrieval.file_search(self._t("file_docs"), query, self.providers.query(query), max(8 * k, 20), *weights.get(mode, (0.72, 0.28)))
-        no_terms = F.array().cast("array<string>")
-        file_rows = file_hits.select(F.col("path").alias("id"), "path", F.col("path").alias("title"), F.lit("file").alias("kind"), F.lit(1).alias("line"), F.lit("file").alias("entity_type"), "score", F.greatest("semantic_score", F.lit(0.0)).alias("semantic_score"), F.col("keyword_score").alias("lexical_score"), no_terms.alias("matched_terms"))
-        c = self._t("chunks").withColumns({"title": F.coalesce("name", F.lit("file")), "entity_type": F.when(F.col("chunk_type") == "symbol", "symbol").otherwise("file")})
-        wide = max(10 * k, 40)
-        chunk_hits = retrieval.hybrid_search(self._t("postings"), c, query, v, wide, *weights.get(mode, (0.68, 0.32)))
-        ids = self._t("identifiers").withColumns({"title": F.col("name"), "entity_type": F.lit("symbol"), "lexical_text": postings.identifier_text()})
-        id_hits = retrieval.hybrid_search(self._t("identifier_postings"), ids, query, v, wide, *weights.get(mode, (0.68, 0.32)))
-        merged = ranking.merge_lanes(ranking.lane(file_rows, "file"), ranking.lane(chunk_hits, "chunk"), ranking.lane(id_hits, "identifier"))
-        return ranking.rank(ranking.add_structure(merged, *self._structure(), query, mode), k, entity_types, kinds)
+        m = self.store.manifest(self.store.pointer().active)  # one generation from start to end
+        return ranking.unified_search(lambda name: self.store.read(m, m.generation, name), query, self.providers.query(query), mode, k, kinds, entity_types)
 
     def diagnose(self, query: str, k: int = 5) -> dict[str, dict[str, int]]:
         """What a search of k results meets in each lane of postings, which `counters` adds up: lexical candidates, those
@@ -233,20 +277,6 @@ class Engine:
             self.counters.add(lane, counts)
         return found
 
-    def _structure(self) -> tuple[DataFrame, DataFrame]:
-        f, s = self._t("files"), self._t("symbols")
-        joined = lambda df, c, name: df.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(c)), " ").alias(name))
-        deps = joined(self._t("deps"), F.col("dep"), "d")
-        parts = f.select("path", "header", "module", "language").join(deps, "path", "left")
-        parts = parts.join(joined(self._t("imports"), F.concat_ws(" ", "source", F.array_join("names", " ")), "i"), "path", "left")
-        parts = parts.join(joined(self._t("exports"), F.concat_ws(" ", "name", "kind"), "e"), "path", "left")
-        parts = parts.join(joined(self._t("calls"), F.concat_ws(" ", "caller", "callee"), "c"), "path", "left")
-        parts = parts.join(joined(s, F.concat_ws(" ", "name", "kind", "signature", "parent_name"), "s"), "path", "left")
-        per_file = parts.select("path", "module", F.concat_ws(" ", "path", "header", "module", "language", "d", "i", "e", "c", "s").alias("structure_text"))
-        sym = s.join(parts.select("path", "module", "header", "d"), "path")
-        per_symbol = sym.select("path", "name", "line", "module", F.concat_ws(" ", "path", "module", "name", "kind", "signature", "parent_name", "header", "d").alias("structure_text"))
-        return per_file, per_symbol
-
     def research(self, query: str, k: int = 5, related: int = 6, hubs: int = 4) -> dict[str, DataFrame]:
         """Ranked hits with cards, related files, modules and hubs; tables, for any presentation."""
         hits = self.search(query, k=k).select("path", "title", "score", "entity_type")
@@ -264,14 +294,18 @@ class Engine:
 
     def blast_radius(self, name: str, defined_in: str | None = None) -> DataFrame:
         kinds = [r.kind for r in self._t("symbols").where(F.col("name") == name).select("kind").distinct().collect()]
-        lines = structure.source_lines(self._t("files")).withColumnRenamed("text", "content")
-        return retrieval.blast_radius(lines, name, defined_in, bool(kinds) and set(kinds) <= {"function", "method"})
+        return positions.blast_radius(self._t("word_positions"), self._t("source_lines"), name, defined_in, bool(kinds) and set(kinds) <= {"function", "method"})
+
+    def call_sites(self, names: list[str], query: str, n: int = 10) -> DataFrame:
+        """The best n using lines of each of the names, by the query's terms and vectors of the lines."""
+        symbols = self.spark.createDataFrame([(name, name) for name in names], "symbol_id string, name string")
+        return positions.call_sites(symbols, self._t("word_positions"), self._t("source_lines"), query, n, self.providers.query(query), self.providers.column(F.col("content")))
 
     def find_hub(self, name: str | None = None, query: str | None = None, mode: str = "both", show_orphans: bool = False) -> DataFrame:
         if show_orphans:
             return graph.orphans(self._t("files").select("path"), self._t("hub_links").select(F.col("target").alias("path")))
         if name:
-            return ranking.find_hub(self._t("hubs"), name)
+            return positions.find_hub(self._t("hubs"), self._t("hub_grams"), name)
         return ranking.rank_hubs(self._t("hubs"), query, self.providers.query(query), mode) if query else self._t("hubs").orderBy("hub")
 
     def expand_hub(self, hub: str) -> DataFrame:

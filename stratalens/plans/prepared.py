@@ -17,7 +17,7 @@ _PUBLISHED: dict[tuple[str, str, str], str] = {}
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
-def _folder(spark: SparkSession) -> str | None:
+def folder(spark: SparkSession) -> str | None:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
@@ -30,12 +30,12 @@ def _folder(spark: SparkSession) -> str | None:
 
 def published(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: str) -> DataFrame:
     """The table that build makes of the tables in `source`, written at its first use in this application."""
-    folder = _folder(spark)
-    if folder is None:
+    where = folder(spark)
+    if where is None:
         return build()
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _PUBLISHED:
-        path = f"{folder}/stratalens-prepared/{key[0]}/{len(_PUBLISHED)}-{name}"
+        path = f"{where}/stratalens-prepared/{key[0]}/{len(_PUBLISHED)}-{name}"
         df = build()
         df.repartitionByRange(by).sortWithinPartitions(by).write.option("parquet.block.size", 8 << 20).parquet(path)
         _PUBLISHED[key] = path
