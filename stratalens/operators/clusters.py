@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cluster_label, slugify
 from ..functions.vectors import array_of, bind, cosine, norm
+from ..lineage import cut
+from .segments import kmeans_nodes
 
 MAX_CLUSTERS, MAX_ROUNDS, LEAF, DEPTH = 20, 20, 20, 3
 #: Files of a node that one task may split.
@@ -169,25 +171,22 @@ def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, dept
     """items: path, vector. (path, node, depth): nodes carry path ids such as 0/3/1, so none collide. A node
     of at most `leaf` files is not split; the top one of a small set parts by the first two path segments.
 
-    Nodes of at most `one_task` files are split side by side, each in a task of its own; a larger one by the
-    distributed k-means, which has the same seeds and rounds, node by node: there are at most as many
-    such nodes as files over one_task."""
-    nodes = items.select("path", "vector", F.lit("0").alias("node"))
+    Nodes of at most `one_task` files are split side by side, each in a task of its own; the larger ones all together,
+    a job for each round, with the same seeds and rounds. Each level is written before the next one reads it."""
+    nodes = cut(items.select("path", "vector", F.lit("0").alias("node")))
     done = None
     for level in range(depth):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        big = nodes.join(sizes.where(F.col("n") > leaf).select("node"), "node", "left_semi")
-        small = nodes.join(sizes.where(F.col("n") <= leaf).select("node"), "node", "left_semi")
+        sizes = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+        told = nodes.join(sizes, "node")
+        small, big = told.where(F.col("n") <= leaf).select("path", "node"), told.where(F.col("n") > leaf)
         if level == 0:
             small = small.withColumn("node", F.concat_ws("/", "node", F.array_join(F.slice(F.split("path", "/"), 1, F.least(F.size(F.split("path", "/")) - 1, F.lit(2))), "+")))
         rest = small.select("path", "node", F.lit(level).alias("depth"))
         done = rest if done is None else done.unionByName(rest)
-        large = [r.node for r in sizes.where(F.col("n") > max(leaf, one_task)).select("node").collect()]
-        labels = cluster_group(big.where(~F.col("node").isin(large)), ["node"], most, "path")
-        for node in large:
-            own = kmeans(big.where(F.col("node") == node).select("path", "vector"), most, MAX_ROUNDS, "path", "vector")
-            labels = labels.unionByName(own.select(F.lit(node).alias("node"), "path", "cluster"))
-        nodes = big.join(labels, ["node", "path"]).select("path", "vector", F.concat_ws("/", "node", "cluster").alias("node"))
+        labels = cluster_group(big.where(F.col("n") <= one_task), ["node"], most, "path")
+        if sizes.where(F.col("n") > max(leaf, one_task)).limit(1).count():
+            labels = labels.unionByName(kmeans_nodes(big.where(F.col("n") > one_task).select("node", "path", "vector"), most, MAX_ROUNDS))
+        nodes = cut(big.join(labels, ["node", "path"]).select("path", "vector", F.concat_ws("/", "node", "cluster").alias("node")))
     return done.unionByName(nodes.select("path", "node", F.lit(depth).alias("depth")))
 
 
