@@ -10,7 +10,8 @@ segment number and text. Candidates are verified on the texts by edit distance w
 banded computation).
 
 Keys are aggregated before they are shuffled: the least and greatest line of a key tell whether it
-has several, so a line that stands a million times costs a row a task.
+has several, so a line that stands a million times costs a row a task. Pairs are counted where they are
+found and never written.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_partitions
 
 MAX_EDITS = 2
 MIN_CHARS = 20
 #: Keys that several lines share, and places of candidates, are broadcast up to so many (24 bytes each at most).
 BROADCAST_ROWS = 1_000_000
+#: Lines of one key that one task compares with the others of the key.
+SPLIT = 512
 
 
 def _rounded(n: Column, edits: int, min_chars: int) -> Column:
@@ -78,29 +81,38 @@ def similar_lines(lines: DataFrame, parts: DataFrame, max_edits: int = MAX_EDITS
     Each line that links to another: h1, h2, first (its earliest place), near_first (the earliest of those it links
     to), n_links.
 
-    Only hashes are shuffled to find candidates; texts are fetched for candidates alone.
+    Only hashes are shuffled to find candidates; texts are fetched for candidates alone. A pair is verified at one key, the
+    least that leads to it, and is added up at its two lines where it is found: no pair is shuffled or
+    written. Lines of a key over SPLIT meet in several tasks.
     """
+    spark = lines.sparkSession
     rows = lines.where("keys is not null").select("h1", "h2", "at", F.posexplode("keys").alias("k", "key"))
     # Keys that different lines share, and that one of them has as its own segment's.
     shared = rows.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("k").alias("k")).where(f"x <> y and k <= {max_edits}").select("key")
     shared = _small(materialise(shared, "shared-keys"))
     active = rows.join(shared, "key", "left_semi").groupBy("key", "h1", "h2", (F.col("k") <= max_edits).alias("own")).agg(F.min("at").alias("first"))
     active = materialise(active, "line-keys")
-    # first is the earliest place of a line in every row: all its occurrences have the same keys.
-    places = _small(materialise(active.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("h1", "h2", F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("line_no")), "line-places"))
+    # first is the earliest place of a line in every row: all its occurrences have the same keys. ord numbers the lines in that order.
+    keyed = active.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owns"), F.collect_set("key").alias("all"))  # a line has a dozen keys
+    ordered = keyed.repartitionByRange(shuffle_partitions(spark), "first").sortWithinPartitions("first").withColumn("ord", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "line-places")
+    places = _small(ordered.select("h1", "h2", "ord", F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("line_no")))
     found = parts.join(places, parts["doc_id"].eqNullSafe(places["id"])).select("h1", "h2", F.trim(F.get("parts", "line_no")).alias("line"))
     texts = found.where((F.xxhash64("line") == F.col("h1")) & (F.hash("line", F.length("line")) == F.col("h2"))).groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
-    told = active.join(materialise(texts, "line-texts"), ["h1", "h2"])
-    # Verified inside the join: it gives out links only, whatever the size of a key's group.
-    left, right = (told.select(*(F.col(c).alias(f"{x}_{c}") for c in told.columns)) for x in "ab")
-    names = lambda x: F.struct(f"{x}_h1", f"{x}_h2")
-    once = F.when(F.col("b_own"), names("a") < names("b")).otherwise(names("a") != names("b"))
-    linked = (F.col("a_key") == F.col("b_key")) & once & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
-    ends_of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("h1", "h2", "first")))
-    swap = names("a") > names("b")
-    both = left.where("a_own").join(right, linked).select(F.when(swap, ends_of("b")).otherwise(ends_of("a")).alias("a"), F.when(swap, ends_of("a")).otherwise(ends_of("b")).alias("b")).distinct()
-    ends = both.select(F.inline(F.array(F.struct("a.*", F.col("b.first").alias("other")), F.struct("b.*", F.col("a.first").alias("other")))))
-    return ends.groupBy("h1", "h2", "first").agg(F.min("other").alias("near_first"), F.count(F.lit(1)).alias("n_links"))
+    crowds = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("lots"))
+    told = active.select("key", "h1", "h2", "own").join(materialise(texts, "line-texts").join(ordered.select("h1", "h2", "ord", "owns", "all"), ["h1", "h2"]), ["h1", "h2"])
+    told = told.join(_small(materialise(crowds, "line-crowds")), "key", "left").withColumn("lots", F.coalesce("lots", F.lit(1))).drop("h1", "h2")
+    dealt = told.where("own").withColumn("lot", F.pmod(F.col("ord"), F.col("lots")).cast("int"))
+    met = told.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    left, right = (side.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "lot", "own", "ord", "line", "owns", "all"))) for x, side in (("a", dealt), ("b", met)))
+    once = F.when(F.col("b_own"), F.col("a_ord") < F.col("b_ord")).otherwise((F.col("a_ord") != F.col("b_ord")) & ~F.array_contains("b_owns", F.col("b_key")))
+    least = F.array_min(F.array_union(F.array_intersect("a_owns", "b_all"), F.array_intersect("b_owns", "a_all"))) == F.col("a_key")
+    linked = (F.col("a_key") == F.col("b_key")) & (F.col("a_lot") == F.col("b_lot")) & once & least & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
+    both = F.array(F.struct(F.col("a_ord").alias("ord"), F.col("b_ord").alias("other")), F.struct(F.col("b_ord").alias("ord"), F.col("a_ord").alias("other")))
+    ends = left.join(right, linked).select(F.inline(both)).groupBy("ord").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n_links"))
+    ends = materialise(ends, "line-links")
+    whole = ordered.select("h1", "h2", "first", "ord").join(ends, "ord")
+    return whole.join(ordered.select(F.col("ord").alias("other"), F.col("first").alias("near_first")), "other").select("h1", "h2", "first", "near_first", "n_links")
 
 
 def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
