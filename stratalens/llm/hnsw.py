@@ -31,7 +31,7 @@ DEGREE, BRIDGES = 12, 4
 #: Beams of building and, at first, of searching.
 BUILD_BEAM, BEAM = 48, 16
 #: The audit: so many queries of a cell and as many probes, and the least share of their links that a beam must find.
-AUDIT, RECALL = 256, 0.99
+AUDIT, RECALL = 256, 1.0
 #: The highest level has at most so many nodes: it is read whole.
 TOP = 1024
 #: Queries that advance together, candidates each expands in a step, products computed at once.

@@ -3,9 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from stratalens.llm.decontaminate import contamination
+from stratalens.llm.hnsw import BEAM, Graph, Side, cell_links, near_vectors
 from stratalens.llm.html import parse, visible_text
 from stratalens.llm.lines import drop_repeated_lines
 from stratalens.llm.quality import score_documents, train
@@ -56,3 +58,39 @@ def test_repeated_documents_do_not_widen_the_sample(spark, make):
     model = train(make(rows), labels, 10)
     assert len(model.labels) <= 10
     assert score_documents(make(rows), labels).count() == len(rows)
+
+
+@pytest.mark.parametrize(("groups", "spread"), [(1, 0.33), (3, 0.25), (40, 0.25), (400, 0.25)])
+def test_graphs_lose_no_link(groups, spread):
+    """Shards of 750 rows, which are searched through their graphs: every link of one broad group and of parted ones."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((groups, 24))
+    x = base[rng.integers(groups, size=1500)] + spread * rng.standard_normal((1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def side(lo, hi):
+        part = x[lo:hi].astype(np.float32)
+        return Side(x[lo:hi], np.arange(lo, hi), np.ones(hi - lo, np.int64), Graph.of_rows(part, *Graph(part).rows()[:2], np.array(Graph(part).rows()[2])))
+
+    a, b = side(0, 750), side(750, 1500)
+    assert 8 * BEAM <= len(a)  # or the graph is not asked
+    got = sum(int(n.sum()) for pair in ((a, a), (a, b), (b, b)) for n in cell_links(*pair, 0.9)[0])
+    assert got == int((x @ x.T >= 0.9).sum()) - 1500
+
+
+def test_vectors_through_graphs_against_brute_force(spark):
+    """Over 128 rows in each of the six shards: the query's operator, its links counted by all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((150, 16))
+    x = base[rng.integers(150, size=1500)] + 0.2 * rng.standard_normal((1500, 16))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[row].min() for row in near])
+        if (new == root).all():
+            break
+        root = new
+    assert got == {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
