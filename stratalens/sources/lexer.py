@@ -31,6 +31,9 @@ HOLDS = {"class", "interface", "struct", "enum", "trait"}
 #: A / begins a regular expression after these.
 _BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => return typeof case in of delete void throw new else do".split()) | {""}
 
+#: A { behind these opens a type, not a body.
+_TYPED = frozenset("< : | & ,".split())
+
 _LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
 _DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?"
 _TEMPLATE, _TRIPLE, _RAW = r"`(?:\\.|[^`\\])*`?", r'"""(?:.*?"""|.*\Z)', r"`[^`]*`?"
@@ -94,7 +97,7 @@ def _past(ts: list[Token], i: int, opening: str, closing: str) -> int:
 def _named(ts: list[Token], i: int, lang: str, kind: str) -> tuple[str, str] | None:
     """(name, kind) of the definition whose keyword is at i; None where it is none."""
     word, prev = ts[i].text, ts[i - 1].text if i else ""
-    if prev in (".", "::", "->") or prev == "enum" and word in ("class", "struct"):
+    if prev in (".", "::", "->"):
         return None
     j = i + 1
     if word == "impl":
@@ -182,7 +185,7 @@ def definitions(content: str, lang: str) -> list[tuple]:
         here = len(scopes)
         if t.fresh and t.word and waiting and waiting[-1][1:] == (brackets, here) and _over(waiting[-1][0], ts, i, lang):
             waiting.pop()[0].end = ts[i - 1].line
-        if t.word and t.text in keywords:
+        if t.word and t.text in keywords and not (i and ts[i - 1].text == "enum"):  # enum class is one keyword
             told = _named(ts, i, lang, keywords[t.text])
             if told and told[1] == "const" and (here or brackets):
                 told = None
@@ -199,7 +202,8 @@ def definitions(content: str, lang: str) -> list[tuple]:
         if t.text == "{":
             owner = None
             if waiting and waiting[-1][1:] == (brackets, here):
-                owner = waiting.pop()[0]
+                if not (i and (ts[i - 1].text in _TYPED or waiting[-1][0].kind in ("function", "method") and ts[i - 1].text in ("struct", "interface"))):
+                    owner = waiting.pop()[0]  # else the brace opens a type in the head
             elif not brackets or scopes and brackets == scopes[-1][1]:
                 inside = scopes[-1][0] if scopes else None
                 holder = inside is not None and inside.kind in HOLDS
@@ -211,7 +215,8 @@ def definitions(content: str, lang: str) -> list[tuple]:
                 owners.append(owner)
         elif t.text == "}" and scopes:
             owner, brackets = scopes.pop()
-            waiting = [w for w in waiting if w[2] <= len(scopes)]
+            while waiting and waiting[-1][2] > len(scopes):
+                waiting.pop()
             if owner:
                 owner.end = t.line
                 owners.pop()
