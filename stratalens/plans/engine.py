@@ -83,6 +83,19 @@ class Engine:
             made.reused[name] = made.tables[name] - table.join(fresh.select("path"), "path", "left_semi").count()
             return table
 
+        def delta(name: str, key: str, affected: DataFrame | None, build) -> DataFrame:
+            """A table derived from several files: build makes the rows of the affected keys, all others stay as they were."""
+            if same is None:
+                self.store.save_parts(made, name, build(lambda df: df), key)
+                return done(name)
+            where = touched_buckets(affected, made.buckets, key)
+            only = lambda df: df.join(affected, key, "left_semi")
+            kept = self.store.read(was, since, name, where).join(affected, key, "left_anti")
+            self.store.save_parts(made, name, kept.unionByName(build(only)), key, where, self.store.shared_folders(was, name, where))
+            table = done(name)
+            made.reused[name] = made.tables[name] - only(table).count()
+            return table
+
         embed = self.providers.column
         source = tree.read_tree(self.spark, root) if isinstance(root, str) else root
         every = [*STAGES] if mode == "full" else [*CORE]
@@ -122,7 +135,12 @@ class Engine:
                 lines = per_file("source_lines", lambda f: structure.source_lines(f).select("path", "line", F.col("text").alias("content")))
                 put("word_positions", positions.word_positions(lines), "word")
             else:
-                self._artifacts(frames, put, per_file)
+                moved = None
+                if same is not None:
+                    was_deps = self.store.read(was, since, "deps")
+                    new = fresh.select("path").join(before.select("path"), "path", "left_anti")
+                    moved = (fresh.select("path").unionByName(gone), new.unionByName(before.select("path").join(frames["files"].select("path"), "path", "left_anti")), was_deps)
+                self._artifacts(frames, put, per_file, delta, moved)
             made.stages[stage] = "completed"
         self.store.save_manifest(made)
 
@@ -143,7 +161,8 @@ class Engine:
         folder = F.xxhash64(text.directory(F.col("path")))
         return blockmax.posting_blocks(posted, F.pmod(folder + F.pmod(F.xxhash64("path"), F.lit(4)), F.lit(max(1, -(-n // BLOCK)))))
 
-    def _artifacts(self, frames: dict[str, DataFrame], put, per_file) -> None:
+    def _artifacts(self, frames: dict[str, DataFrame], put, per_file, delta, moved) -> None:
+        """moved: of a refresh, the paths that changed, those that came or went, and the dependencies before; else None."""
         f, symbols = frames["files"], frames["symbols"]
         embed = self.providers.column
         own = lambda df, files: df.join(files.select("path"), "path", "left_semi")
@@ -153,9 +172,20 @@ class Engine:
         imports = per_file("imports", lambda files: structure.imports(structure.source_lines(files)))
         exports = per_file("exports", lambda files: structure.exports(structure.source_lines(files)))
         calls = per_file("calls", lambda files: structure.calls(structure.source_lines(files)))
-        deps = put("deps", graph.resolve_imports(imports, f).select("path", "dep").distinct())
-        put("modules", graph.module_summary(f, deps, symbols))
-        put("module_edges", graph.module_import_edges(deps, f))
+        importers = modules_of = near = None
+        if moved:
+            # Imports mean other files where their own file changed, or one of the paths that they could mean came or went.
+            changed, turned, was_deps = moved
+            could = imports.select("path", F.explode(graph.import_candidates(F.col("path"), F.col("source"))).alias("candidate"))
+            meant = could.join(turned.select(F.col("path").alias("candidate")), "candidate", "left_semi").select("path")
+            importers = changed.select("path").unionByName(meant).distinct()
+            modules_of = importers.select(text.directory(F.col("path")).alias("module")).distinct()
+        deps = delta("deps", "path", importers, lambda only: graph.resolve_imports(only(imports), f).select("path", "dep").distinct())
+        delta("modules", "module", modules_of, lambda only: graph.module_summary(only(f), deps, symbols))
+        delta("module_edges", "path", importers, lambda only: graph.module_import_edges(only(deps), f))
+        if moved:
+            ends = was_deps.unionByName(deps).join(importers, "path", "left_semi").select(F.col("dep").alias("path"))
+            near = importers.unionByName(ends).distinct()
         per_path, per_symbol = ranking.structure_texts(f, symbols, deps, imports, exports, calls)
         put("file_structure", per_path, "path")
         put("symbol_structure", per_symbol, "path")
@@ -172,11 +202,18 @@ class Engine:
         hubs = put("hubs", tree.hubs(f).withColumn("search_text", F.concat_ws(" ", "hub", "title", "content")).withColumn("vector", embed(F.col("search_text"))))
         put("hub_grams", positions.hub_grams(hubs), "gram")
         put("hub_links", tree.wiki_links(hubs, "hub").select(F.col("id").alias("hub"), "target", "description", "pos"))
-        risk = graph.file_risk(f, deps, exports)
-        n = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
-        sized = f.select("path", "module", "header").join(n, "path", "left").fillna(0, ["n_symbols"])
-        cards = ranking.file_cards(sized, risk).join(ranking.api_card(exports, f), "path")
-        put("cards", cards.join(ranking.neighbourhood_cards(sized, deps, frames["calls"].select("path", "callee")), "path"))
+
+        def cards(only) -> DataFrame:
+            """Cards of files from the edges at both of their ends."""
+            mine = only(f.select("path", "module", "header"))
+            at_target = only(deps.select(F.col("dep").alias("path"), F.col("path").alias("dep"))).select(F.col("dep").alias("path"), F.col("path").alias("dep"))
+            edges = only(deps).select("path", "dep").unionByName(at_target).distinct()
+            n = only(symbols).groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
+            sized = mine.join(n, "path", "left").fillna(0, ["n_symbols"])
+            told = ranking.file_cards(sized, graph.file_risk(mine, edges, only(exports))).join(ranking.api_card(only(exports), mine), "path")
+            return told.join(ranking.neighbourhood_cards(sized, edges, only(frames["calls"].select("path", "callee"))), "path")
+
+        delta("cards", "path", near, cards)
         of_module = lambda df, name: df.join(f.select("path", "module"), "path").groupBy("module").agg(F.count(F.lit(1)).alias(name))
         modules = f.groupBy("module").agg(F.count(F.lit(1)).alias("n_files")).join(of_module(symbols, "n_symbols"), "module", "left")
         modules = modules.join(of_module(graph.exported_symbols(symbols, exports), "n_exports"), "module", "left").fillna(0, ["n_symbols", "n_exports"])

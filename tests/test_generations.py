@@ -72,23 +72,28 @@ def test_a_refresh_shares_and_a_stage_is_repaired(spark, tmp_path):
     from stratalens.plans.engine import Engine
 
     root = tmp_path / "src"
+    body = lambda i: f"// File {i}\n// FEATURE: x\nimport {{ fun{i + 1} }} from '../m{(i + 1) % 3}/f{i + 1}.js'\nexport function fun{i}(a: string) {{\n  return other{i % 5}(a)\n}}\n"
     for i in range(30):
         (root / f"m{i % 3}").mkdir(parents=True, exist_ok=True)
-        (root / f"m{i % 3}/f{i}.ts").write_text(f"// File {i}\n// FEATURE: x\n\nexport function fun{i}(a: string) {{\n  return other{i % 5}(a)\n}}\n")
+        (root / f"m{i % 3}/f{i}.ts").write_text(body(i))
     engine = Engine(spark, str(tmp_path / "s"))
     engine.index(str(root))
     (root / "m0/f0.ts").write_text("// Changed\n// FEATURE: x\n\nexport function changed(a: string) { return fun1(a) }\n")
     (root / "m1/f1.ts").unlink()
+    (root / "m0/f30.ts").write_text("// New\n// FEATURE: x\nexport function fun30() { return 1 }\n")  # f29 imported it before it was there
     engine.refresh(str(root))
     m = engine.store.manifest(2)
     for table in ("symbols", "chunks", "postings", "source_lines", "word_hits", "file_docs"):
         homes = [f.split("/")[0] for f in m.folders[table]]
-        assert 0 < homes.count("generation-2") <= 2 < homes.count("generation-1")
+        assert 0 < homes.count("generation-2") <= 3 < homes.count("generation-1")
     assert [r.name for r in engine.symbol("changed").collect()] == ["changed"] and engine.symbol("fun1").count() == 0
     assert {r.path for r in engine.blast_radius("fun1").collect()} == {"m0/f0.ts"}
     whole = Engine(spark, str(tmp_path / "w"))
     whole.index(str(root))
-    for table in ("symbols", "postings", "word_positions", "deps", "module_edges", "cards", "file_structure"):
+    for table in ("deps", "cards"):
+        assert m.reused[table] > 0
+    assert m.tables["cards"] - m.reused["cards"] <= 5  # the changed file, its importers and what they name
+    for table in ("symbols", "postings", "word_positions", "deps", "modules", "module_edges", "cards", "file_structure", "related"):
         cols = [c for c in whole.store.table(table).columns if c != "mtime_ms"]
         assert sorted(map(str, engine.store.table(table).select(cols).collect())) == sorted(map(str, whole.store.table(table).select(cols).collect())), table
     want = engine.search("changed function", k=3).select("id", "score").collect()
@@ -96,5 +101,6 @@ def test_a_refresh_shares_and_a_stage_is_repaired(spark, tmp_path):
     assert [c for c, _ in validate(engine.store, 2, scan=False)] == ["missing-table"]
     assert [c for c, _ in engine.repair(str(root), "full-artifacts")] == ["missing-table"]
     m = engine.store.manifest(3)
-    assert engine.check() == [] and m.folders["files"] == ["generation-2/files"] and "cards" not in m.folders
+    assert engine.check() == [] and m.folders["files"] == ["generation-2/files"]
+    assert {f.split("/")[0] for f in m.folders["cards"]} == {"generation-3"}
     assert engine.search("changed function", k=3).select("id", "score").collect() == want
