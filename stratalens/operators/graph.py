@@ -21,28 +21,37 @@ def normal_join(base: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def import_candidates(path: Column, source: Column) -> Column:
-    """Paths a local import may mean, in order; empty for other imports."""
-    base = normal_join(directory(path), source)
+def base_candidates(base: Column) -> Column:
+    """Paths that the path of a local import may mean, in order."""
     extension = F.regexp_extract(base, r"(\.[A-Za-z0-9]+)$", 1)
     stem = F.regexp_replace(base, r"\.[A-Za-z0-9]+$", "")
     exts = F.array(*map(F.lit, EXTENSIONS))
     swapped = F.when(extension.isin(RUNTIME_EXTENSIONS), F.transform(exts, lambda e: F.concat(stem, e))).otherwise(F.array().cast("array<string>"))
     added = F.flatten(F.transform(exts, lambda e: F.array(F.concat(base, e), F.concat(base, F.lit("/index"), e))))
-    found = F.concat(F.array(base), F.when(extension != "", swapped).otherwise(added))
-    return F.when(F.startswith(source, F.lit(".")), found).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(base), F.when(extension != "", swapped).otherwise(added))
+
+
+def import_candidates(path: Column, source: Column) -> Column:
+    """Paths a local import may mean, in order; empty for other imports."""
+    return F.when(F.startswith(source, F.lit(".")), base_candidates(normal_join(directory(path), source))).otherwise(F.array().cast("array<string>"))
 
 
 def resolve_first(candidates: DataFrame, targets: DataFrame, by: list[str], key: str = "candidate") -> DataFrame:
-    """candidates: by..., pos, key. The first candidate of each group that is a target (column key)."""
-    hit = candidates.join(targets.select(key).distinct(), key)
+    """candidates: by..., pos, key. The first candidate of each group that is a target (column key).
+
+    Targets grow with the table and shrink well in Parquet, so their size is not guessed: they are never broadcast."""
+    hit = candidates.join(targets.select(key).distinct().hint("merge"), key)
     return hit.groupBy(*by).agg(F.min_by(key, "pos").alias("resolved"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports: path, source. (path, source, dep) of those that mean a file of files(path)."""
-    rows = imports.select("path", "source", F.posexplode(import_candidates(F.col("path"), F.col("source"))).alias("pos", "candidate"))
-    return resolve_first(rows, files.select(F.col("path").alias("candidate")), ["path", "source"]).withColumnRenamed("resolved", "dep")
+    """imports: path, source. (path, source, dep) of those that mean a file of files(path). Imports that lead to one place are
+    resolved once."""
+    local = imports.where(F.startswith("source", F.lit("."))).select("path", "source").distinct()
+    local = local.withColumn("base", normal_join(directory(F.col("path")), F.col("source")))
+    rows = local.select("base").distinct().select("base", F.posexplode(base_candidates(F.col("base"))).alias("pos", "candidate"))
+    found = resolve_first(rows, files.select(F.col("path").alias("candidate")), ["base"])
+    return local.join(found.hint("merge"), "base").select("path", "source", F.col("resolved").alias("dep"))
 
 
 def reverse_dependencies(edges: DataFrame, source: str = "path", target: str = "dep") -> DataFrame:
