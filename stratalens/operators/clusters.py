@@ -186,7 +186,7 @@ def hierarchy(items: DataFrame, most: int = MAX_CLUSTERS, leaf: int = LEAF, dept
         labels = cluster_group(big.where(F.col("n") <= one_task), ["node"], most, "path")
         if sizes.where(F.col("n") > max(leaf, one_task)).limit(1).count():
             labels = labels.unionByName(kmeans_nodes(big.where(F.col("n") > one_task).select("node", "path", "vector"), most, MAX_ROUNDS))
-        nodes = cut(big.join(labels, ["node", "path"]).select("path", "vector", F.concat_ws("/", "node", "cluster").alias("node")))
+        nodes = cut(big.join(labels.hint("merge"), ["node", "path"]).select("path", "vector", F.concat_ws("/", "node", "cluster").alias("node")))
     return done.unionByName(nodes.select("path", "node", F.lit(depth).alias("depth")))
 
 

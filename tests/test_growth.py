@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their tables: what is planned, and how often and where rows are dealt."""
 
+from stratalens.lineage import cut
 from stratalens.operators import graph
 
 
@@ -14,3 +15,12 @@ def test_import_targets_are_not_broadcast_and_places_are_resolved_once(spark):
     got = graph.resolve_imports(imports, files)
     assert "Broadcast" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("a/x.ts", "./y", "a/y.ts"), ("a/z.ts", "../b/w.js", "b/w.ts"), ("a/z.ts", "./y", "a/y.ts")]
+
+
+def test_a_cut_plan_has_the_size_of_its_rows(spark):
+    state = cut(spark.range(3))
+    for _ in range(5):
+        other = state.withColumnRenamed("id", "k")
+        state = cut(state.groupBy("id").cogroup(other.groupBy("k")).applyInPandas(lambda a, b: a, "id long"))
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
+    assert sorted(r.id for r in state.collect()) == [0, 1, 2]
