@@ -11,9 +11,11 @@ from ..functions.text import MAX_TERM, MAX_TERMS, common_terms
 def term_frequencies(docs: DataFrame, id_col: str, text: Column, most: int = MAX_TERMS) -> DataFrame:
     """(id, term, frequency): at most `most` terms of each document, by frequency, then term.
 
-    Terms over 64 characters and terms without a letter or underscore do not count.
+    Terms over 64 characters and terms without a letter or underscore do not count. Texts are dealt once by id, before they are
+    split: they are shorter than their terms, and a document's terms are then counted and ranked where they are.
     """
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(common_terms(text)).alias("term"))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).repartition("id")
+    terms = texts.select("id", F.explode(common_terms(F.col("text"))).alias("term"))
     terms = terms.where((F.length("term") <= MAX_TERM) & F.col("term").rlike("[a-z_]"))
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("frequency"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("frequency"), "term"))

@@ -12,6 +12,9 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..lineage import cut
 
 _PUBLISHED: dict[tuple[str, str, str], str] = {}
 _LOCAL: list[tempfile.TemporaryDirectory] = []
@@ -36,7 +39,8 @@ def published(spark: SparkSession, source: str, name: str, build: Callable[[], D
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _PUBLISHED:
         path = f"{where}/stratalens-prepared/{key[0]}/{len(_PUBLISHED)}-{name}"
-        df = build()
-        df.repartitionByRange(by).sortWithinPartitions(by).write.option("parquet.block.size", 8 << 20).parquet(path)
+        df = cut(build())  # the ranges are found by a sample, for which the build would run a second time
+        # A frequent value is many ranges, not one task's: the hash parts its rows.
+        df.repartitionByRange(by, F.xxhash64(*df.columns)).sortWithinPartitions(by).write.option("parquet.block.size", 8 << 20).parquet(path)
         _PUBLISHED[key] = path
     return spark.read.parquet(_PUBLISHED[key])

@@ -1,7 +1,10 @@
 """Steps that must not grow faster than their tables: what is planned, and how often and where rows are dealt."""
 
+from pyspark.sql import functions as F
+
 from stratalens.lineage import cut
-from stratalens.operators import graph
+from stratalens.operators import graph, postings
+from stratalens.plans.prepared import published
 
 
 def plan(df):
@@ -24,3 +27,22 @@ def test_a_cut_plan_has_the_size_of_its_rows(spark):
         state = cut(state.groupBy("id").cogroup(other.groupBy("k")).applyInPandas(lambda a, b: a, "id long"))
     assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
     assert sorted(r.id for r in state.collect()) == [0, 1, 2]
+
+
+def test_texts_are_dealt_once_for_their_term_counts(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (1, "one two")], "doc_id long, text string")
+    got = postings.term_frequencies(docs, "doc_id", F.col("text"))
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, "one", 2), (1, "two", 3)]
+
+
+def test_a_frequent_value_is_published_in_several_files(spark):
+    on = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(on, "false")
+    try:
+        rows = spark.range(20_000).select(F.lit("the").alias("term"), "id")
+        got = published(spark, "frequent", "frequent", lambda: rows, "term")
+        assert got.groupBy(F.input_file_name()).count().count() > 1
+        assert got.count() == got.distinct().count() == 20_000
+    finally:
+        spark.conf.unset(on)
