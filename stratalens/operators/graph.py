@@ -12,6 +12,8 @@ from ..functions.vectors import clamp01
 #: Extensions tried for a local import, in order, and those that may stand for another.
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 RUNTIME_EXTENSIONS = [".js", ".jsx", ".mjs", ".cjs"]
+#: Pieces of a module whose pairs are made apart, and the tasks that they are dealt to.
+PIECES, TASKS = 32, 96
 
 
 def normal_join(base: Column, relative: Column) -> Column:
@@ -65,7 +67,11 @@ def module_peers(files: DataFrame, k: int | None = None) -> DataFrame:
     number is quadratic in a module. A ranking of k places at one score for all peers needs no more than k of them."""
     other = files.select("module", F.col("path").alias("peer"))
     if k is None:
-        return files.select("module", "path").join(other, "module").where("path <> peer").select("path", "peer")
+        # A module's files are dealt to pieces, each of which meets all its peers, so that a large module is no task's alone.
+        piece = F.pmod(F.xxhash64("path"), F.lit(PIECES)).cast("int").alias("piece")
+        a = files.select("module", "path", piece).repartition(TASKS, "module", "piece")
+        b = other.select("module", "peer", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece")).repartition(TASKS, "module", "piece")
+        return a.join(b.hint("merge"), ["module", "piece"]).where("path <> peer").select("path", "peer")
     rank = F.row_number().over(Window.partitionBy("module").orderBy("peer"))
     least = other.withColumn("rank", rank).where(F.col("rank") <= k + 1)  # cut in each task before the shuffle
     # The last of the k + 1 stands in for a file that is itself among the first k.

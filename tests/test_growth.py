@@ -46,3 +46,10 @@ def test_a_frequent_value_is_published_in_several_files(spark):
         assert got.count() == got.distinct().count() == 20_000
     finally:
         spark.conf.unset(on)
+
+
+def test_pairs_of_one_module_are_made_in_many_tasks(spark):
+    files = spark.range(200).select(F.format_string("f%d", "id").alias("path"), F.lit(1).alias("module"))
+    got = graph.module_peers(files)
+    assert got.count() == got.distinct().count() == 200 * 199
+    assert got.groupBy(F.spark_partition_id()).count().count() > 8
