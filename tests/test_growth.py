@@ -49,7 +49,7 @@ def test_a_frequent_value_is_published_in_several_files(spark):
 
 
 def test_pairs_of_one_module_are_made_in_many_tasks(spark):
-    files = spark.range(200).select(F.format_string("f%d", "id").alias("path"), F.lit(1).alias("module"))
+    files = spark.range(200).select(F.format_string("f%d", "id").alias("path"), F.floor(F.col("id") / 1000).alias("module"))
     got = graph.module_peers(files)
     assert got.count() == got.distinct().count() == 200 * 199
-    assert got.groupBy(F.spark_partition_id()).count().count() > 8
+    assert sum(n > 0 for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 8
