@@ -1,9 +1,9 @@
 """An inverted file of vectors: nearest neighbours from coarse cells.
 
 Centers are fitted on a bounded sample; every row lies in the cell of its nearest center and looks into the few cells
-nearest to it. An audit compares some rows with all others exactly, and where it finds too little, more
-cells are looked into, at last all of them, which is exact. Equal vectors are one row with the least of their ids, so
-copies meet nothing among themselves.
+nearest to it. An audit of some rows, before any row is sent anywhere, tells how many cells hold their neighbours; where that
+is more than a few, all rows are compared with all others by blocks, which is exact. Equal vectors are one row with the least of
+their ids, so copies meet nothing among themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ PROBES, AUDITED, RECALL = 8, 256, 0.99
 #: A cell of more rows than this is compared in several tasks.
 PART = 4096
 ROUNDS = 6
+#: More cells than this are not looked into: a row would be sent to as many tasks as it is by stripes.
+MOST_PROBES = 16
+#: Stripes that rows are dealt to, so each is sent to as many tasks at any size; rows of one at least, and at most, beyond which there are more.
+STRIPES, LEAST_STRIPE, MOST_STRIPE = 12, 1024, 1 << 18
+#: Rows, columns and held candidates of a matrix product.
+ROW_BLOCK, COLUMN_BLOCK, HELD = 512, 4096, 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,6 +104,90 @@ def _looked_up(unit: DataFrame, centers: np.ndarray, probes: int, k: int, least:
     return _merged(found, k)
 
 
+def top_of(v: np.ndarray, w: np.ndarray, others: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of v, other, score): for each unit row of v the k rows of w with the greatest dot products of at least `least`, rounded at
+    ten places, the first of equal ones winning; others are sorted. Products in single precision leave out what cannot be among them; scores
+    are of double precision."""
+    off = 2e-7 * (v.shape[1] + 8)  # more than a product in single precision is off
+    w32 = np.ascontiguousarray(w, dtype=np.float32)
+    for i in range(0, len(v), ROW_BLOCK):
+        part = v[i : i + ROW_BLOCK]
+        part32, floor = part.astype(np.float32), np.full((len(part), 1), least - off, np.float32)
+        rows, columns, scores, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), []
+
+        def settle() -> None:
+            nonlocal rows, columns, scores
+            if not held:
+                return
+            at, col = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            s = np.concatenate([np.einsum("ij,ij->i", part[at[j : j + 65536]], w[col[j : j + 65536]]) for j in range(0, len(at), 65536)])
+            ok = s >= least
+            rows, columns, scores = np.r_[rows, at[ok]], np.r_[columns, col[ok]], np.r_[scores, s[ok]]
+            order = np.lexsort((columns, -scores.round(10), rows))
+            rows, columns, scores = rows[order], columns[order], scores[order]
+            first = np.searchsorted(rows, rows)
+            best = np.arange(len(rows)) - first < k
+            rows, columns, scores = rows[best], columns[best], scores[best]
+
+        waiting = 0
+        for j in range(0, len(w), COLUMN_BLOCK):
+            sims = part32 @ w32[j : j + COLUMN_BLOCK].T
+            hit = np.flatnonzero(sims >= floor)
+            if len(hit) > 16 * k * len(part) and sims.shape[1] > k:
+                floor = np.maximum(floor, np.partition(sims, -k, axis=1)[:, -k, None] - np.float32(2 * off))
+                hit = np.flatnonzero(sims >= floor)
+            held.append((hit // sims.shape[1], hit % sims.shape[1] + j))
+            waiting += len(hit)
+            if waiting > HELD:
+                settle()
+                waiting = 0
+        settle()
+        yield rows + i, others[columns], scores
+
+
+def _compared(unit: DataFrame, count: int, k: int, least: float, kind: str) -> DataFrame:
+    """(id, other, score): the k nearest of each row among all, itself among them. Rows are dealt to stripes, and each two stripes, or one with
+    itself, meet in a task of their own, whatever the number of rows; a task gives the k best of each of its rows."""
+    stripes = max(min(STRIPES, count // LEAST_STRIPE), -(-count // MOST_STRIPE), 1)
+    own = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(stripes)).cast("int").alias("stripe")
+    sent = unit.select("id", "v", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    sent = sent.select("id", "v", "stripe", F.least("stripe", "y").alias("a"), F.greatest("stripe", "y").alias("b"))
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = key
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, v, mine = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), rows["stripe"].to_numpy() == a
+        sides = [(mine, mine)] if a == b else [(mine, ~mine), (~mine, mine)]
+        out = [pd.DataFrame({"id": [], "other": [], "score": []})]
+        for x, y in sides:
+            if x.any() and y.any():
+                own_ids = ids[x]
+                out += [pd.DataFrame({"id": own_ids[at], "other": other, "score": s}) for at, other, s in top_of(v[x], v[y], ids[y], k, least) if len(at)]
+        return pd.concat(out[1:] or out)
+
+    return _merged(sent.groupBy("a", "b").applyInPandas(meet, f"id {kind}, other {kind}, score double"), k)
+
+
+def _cells_needed(unit: DataFrame, centers: np.ndarray, queries: pd.DataFrame, truth: set[tuple], recall: float, kind: str) -> int:
+    """Cells that each of the audited rows has to look into, so that a share of `recall` of their neighbours is found; more than
+    there are where no number of cells is enough."""
+    shared = unit.sparkSession.sparkContext.broadcast(centers)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "cell": (np.stack(b["v"].to_numpy()) @ shared.value.T).argmax(1).astype(np.int32)})
+
+    wanted = unit.sparkSession.createDataFrame([(x,) for x in sorted({o for _, o in truth})], f"id {kind}")  # a few of each audited row
+    cell = {r.id: r.cell for r in unit.join(F.broadcast(wanted), "id", "left_semi").select("id", "v").mapInPandas(place, f"id {kind}, cell int").collect()}
+    order = np.argsort(-(np.stack(queries["v"].to_numpy()) @ centers.T), axis=1, kind="stable")
+    turn = {x: {int(c): n + 1 for n, c in enumerate(row)} for x, row in zip(queries["id"].tolist(), order, strict=True)}
+    needed = sorted(turn[x][cell[o]] for x, o in truth)
+    last = int(np.ceil(recall * len(needed))) - 1
+    return 1 if last < 0 else needed[last] if last < len(needed) else len(centers) + 1
+
+
 def _exact(unit: DataFrame, queries: pd.DataFrame, k: int, least: float, kind: str) -> set[tuple]:
     """(id, other) of the k nearest of AUDITED rows at most, over all rows."""
     shared = unit.sparkSession.sparkContext.broadcast((queries["id"].to_numpy(), np.stack(queries["v"].to_numpy())))
@@ -115,8 +205,8 @@ def _exact(unit: DataFrame, queries: pd.DataFrame, k: int, least: float, kind: s
 def knn_cells(items: DataFrame, least: float = 0.35, k: int = 3, cell: int = CELL, probes: int = PROBES, recall: float = RECALL, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """knn_graph, (id, related, score), from cells of about `cell` rows. A table of less than two cells is compared whole.
 
-    Found neighbours are exact scores; of those of AUDITED rows a share of `recall` at least is found, or all cells
-    are looked into. Rows of equal vectors have one another first, the least ids winning, as everywhere.
+    Found neighbours are exact scores; of those of AUDITED rows a share of `recall` at least is found in the cells, or all rows
+    are compared with all. Rows of equal vectors have one another first, the least ids winning, as everywhere.
     """
     kind = dict(items.dtypes)[id_col]
     rows = items.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("raw"))
@@ -135,16 +225,13 @@ def knn_cells(items: DataFrame, least: float = 0.35, k: int = 3, cell: int = CEL
     centers = fit_centers(np.stack(sample["v"].to_numpy()), cells)
     audited = sample.head(AUDITED)
     truth = _exact(unit, audited, k + 1, least, kind)
-    asked = unit.sparkSession.createDataFrame(audited[["id"]])
-    while True:
-        probes = min(probes, len(centers))
-        found = _looked_up(unit.select("id", "v"), centers, probes, k + 1, least, kind)
-        if probes == len(centers):
-            break
-        seen = {(r.id, r.other) for r in found.join(F.broadcast(asked), "id", "left_semi").collect()}
-        if len(truth & seen) >= recall * len(truth):
-            break
+    needed = _cells_needed(unit, centers, audited, truth, recall, kind)
+    while probes < needed:
         probes *= 2
+    if probes > MOST_PROBES or 2 * probes >= len(centers):
+        found = _compared(unit.select("id", "v"), count, k + 1, least, kind)
+    else:
+        found = _looked_up(unit.select("id", "v"), centers, probes, k + 1, least, kind)
     # From classes to rows: a class stands for the least of its ids, its own for those beside the row itself.
     near = found.join(unit.select(F.col("id").alias("other"), "ids"), "other").select(F.col("id").alias("of"), "score", F.explode("ids").alias("related"))
     near = near.unionByName(unit.where(F.size("ids") > 1).select(F.col("id").alias("of"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"), F.explode("ids").alias("related")).where(F.col("score") >= least))

@@ -1,9 +1,11 @@
 """Steps that must not grow faster than their tables: what is planned, and how often and where rows are dealt."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratalens.lineage import cut
-from stratalens.operators import graph, postings
+from stratalens.operators import cells, graph, postings
 from stratalens.plans.prepared import published
 
 
@@ -53,3 +55,27 @@ def test_pairs_of_one_module_are_made_in_many_tasks(spark):
     got = graph.module_peers(files)
     assert got.count() == got.distinct().count() == 200 * 199
     assert sum(n > 0 for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 8
+
+
+def test_neighbours_without_groups_meet_by_stripes(spark, monkeypatch):
+    """Where few cells are not enough, rows are not sent to ever more cells, and each goes to as many tasks as there are stripes."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(32)]) for i in range(900)] + [(900 + i, [1.0] * 32) for i in range(40)] + [(940, [0.0] * 32)]
+    items = spark.createDataFrame(rows, "id long, vector array<float>")
+    monkeypatch.setattr(cells, "LEAST_STRIPE", 100)
+    monkeypatch.setattr(cells, "_looked_up", lambda *a: pytest.fail("sent to cells"))
+    got = cells.knn_cells(items, cell=20, probes=1, recall=0.99)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.knn_graph(items).collect()))
+
+
+def test_the_best_of_a_product_are_those_of_double_precision(monkeypatch):
+    monkeypatch.setattr(cells, "COLUMN_BLOCK", 50)
+    monkeypatch.setattr(cells, "HELD", 200)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(16)
+    w = np.concatenate([base + 1e-5 * rng.standard_normal((300, 16)), rng.standard_normal((300, 16))])  # closer than single precision tells
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    ids = np.arange(600) * 3
+    got = {(int(r), int(o)) for at, other, _ in cells.top_of(w, w, ids, 4, 0.1) for r, o in zip(at, other, strict=True)}
+    sims = (w @ w.T).round(10)
+    assert got == {(i, int(ids[j])) for i in range(600) for j in np.lexsort((ids, -sims[i]))[:4] if sims[i, j] >= 0.1}
