@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,18 @@ def findings(files: DataFrame, limits: dict[str, int] | None = None) -> DataFram
     from ..sources.files import extension
 
     prefix = F.create_map(*(F.lit(x) for kv in COMMENTS.items() for x in kv))[extension(F.col("path"))]
-    lines = F.split("content", "\n")
-    f = files.withColumns({"lines": lines, "prefix": prefix}).where("prefix is not null")
-    first = F.when(F.startswith(F.col("lines")[0], F.lit("#!")), 1).otherwise(0)
-    f = f.withColumn("first", first)
-    body = F.slice("lines", F.col("first") + 1, F.size("lines"))
-    stop = F.array_position(F.transform(body, lambda s: ~F.startswith(s, F.col("prefix"))), True)
-    head = F.transform(F.slice(body, 1, F.when(stop == 0, F.size(body)).otherwise(stop - 1).cast("int")), lambda s: F.trim(F.substring(s, F.length("prefix") + 1, F.length(s))))
+    # Only the head is parted into lines: a file's other lines are counted.
+    n_lines = F.octet_length("content") - F.octet_length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
+    f = files.withColumn("prefix", prefix).where("prefix is not null")
+    f = f.withColumns({"n_lines": n_lines, "first": F.when(F.startswith("content", F.lit("#!")), 1).otherwise(0)})
+    at_break = F.instr("content", "\n")
+    rest = F.when(F.col("first") == 0, F.col("content")).when(at_break > 0, F.substring(F.col("content"), at_break + 1, F.length("content"))).otherwise("")
+    f = f.withColumn("rest", rest)
+    told = F.lit(None).cast("string")
+    for sign in sorted(set(COMMENTS.values())):  # up to the first line that does not begin with the sign
+        told = F.when(F.col("prefix") == sign, F.split("rest", rf"(?<![^\n])(?!{re.escape(sign)})", 2)[0]).otherwise(told)
+    told = F.when(F.startswith("rest", F.col("prefix")), F.split(F.regexp_replace(told, r"\n\z", ""), "\n")).when(F.col("rest").isNotNull(), F.array().cast("array<string>"))
+    head = F.transform(told, lambda s: F.trim(F.substring(s, F.length("prefix") + 1, F.length(s))))
     f = f.withColumn("head", head)
     short = F.size("head") < 2
     at = F.col("first") + 1
@@ -45,7 +52,7 @@ def findings(files: DataFrame, limits: dict[str, int] | None = None) -> DataFram
         row = F.array_position(F.transform("head", _named(name)), True)
         out.append(item(~short & ~full, F.when(row == 0, at).otherwise(F.col("first") + row), f"{name}-header", "warning"))
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("path")], F.lit(MAX_LINES)) if limits else F.lit(MAX_LINES)
-    out.append(item(F.size("lines") > limit, limit + 1, "file-length", "warning"))
+    out.append(item(F.col("n_lines") > limit, limit + 1, "file-length", "warning"))
     return f.select("path", F.inline(F.array_compact(F.array(*out))))
 
 

@@ -1,11 +1,14 @@
 """Steps that must not grow faster than their tables: what is planned, and how often and where rows are dealt."""
 
+import itertools
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.lineage import cut
-from stratalens.operators import cells, graph, postings
+from stratalens.operators import cells, graph, postings, rules
 from stratalens.plans.prepared import published
 
 
@@ -79,3 +82,32 @@ def test_the_best_of_a_product_are_those_of_double_precision(monkeypatch):
     got = {(int(r), int(o)) for at, other, _ in cells.top_of(w, w, ids, 4, 0.1) for r, o in zip(at, other, strict=True)}
     sims = (w @ w.T).round(10)
     assert got == {(i, int(ids[j])) for i in range(600) for j in np.lexsort((ids, -sims[i]))[:4] if sims[i, j] >= 0.1}
+
+
+def test_only_heads_are_parted_into_lines(spark):
+    head = "// A\n// 😀 b\n// FEATURE: x\n// summary: s\n// inputs:\n// outputs: o"
+    texts = ["", "//", "// a\n// b", "// a\n// b\n", "x\n// a\n// b", "#!/bin/x", "#!/bin/x\n// a\n// b", head, head + "\n", head + "\n\n// inputs: late", head + "\nx" * 1000, "// a\r\n//b\u2028c\nx", "// \n//\n//", None]
+    rows = [(f"{i}.{e}", x) for i, x in enumerate(texts) for e in ("ts", "py", "md")] + [("h.py", "#!/x\n# a\n# b\n# Feature: q\n// no\n" + "\n" * 1000)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = rules.findings(files)
+    assert "split(content" not in plan(got)
+    want = []
+    for path, text in rows:
+        sign = {"ts": "//", "py": "#"}.get(path.split(".")[1])
+        if sign is None or text is None:
+            continue
+        lines = text.split("\n")
+        first = int(lines[0].startswith("#!"))
+        top = [x[len(sign) :].strip(" ") for x in itertools.takewhile(lambda x: x.startswith(sign), lines[first:])]
+        if len(top) < 2:
+            want.append((path, first + 1, "header", "error"))
+        else:
+            if not any("FEATURE:" in x.upper() for x in top):
+                want.append((path, first + 2, "feature-tag", "warning"))
+            for name in rules.FIELDS:
+                if not any(re.match(rf"{name}:\s*\S", x.lower()) for x in top):
+                    row = next((i + 1 for i, x in enumerate(top) if x.lower().startswith(f"{name}:")), 1)
+                    want.append((path, first + row, f"{name}-header", "warning"))
+        if len(lines) > rules.MAX_LINES:
+            want.append((path, rules.MAX_LINES + 1, "file-length", "warning"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
