@@ -48,8 +48,14 @@ def word_hits(symbols: DataFrame, files: DataFrame, identifiers: DataFrame | Non
     out = hits(files, 0, path, "path", path, one, 1.0, 0.82, path)
     out = out.unionByName(hits(files, 1, F.col("header"), "content", path, one, 0.72, 0.72, F.col("header")))
     name, sig, line = F.col("name"), F.col("signature"), F.col("line")
-    out = out.unionByName(hits(symbols, 2, name, "symbol", name, line, 1.0, 0.88, sig))
-    out = out.unionByName(hits(symbols, 3, sig, "symbol", name, line, 0.74, 0.74, sig))
+    # A signature's tokens that are the name's too score as the name's, so a symbol has each token once.
+    none = F.array().cast("array<string>")
+    own = F.coalesce(lookup_tokens(name), none)
+    told = symbols.select("path", line.cast("int").alias("line"), name.alias("title"), snippet(sig).alias("context"), F.lower(F.trim(name)).alias("raw"), own.alias("own"), F.array_except(F.coalesce(lookup_tokens(sig), none), own).alias("more"))
+    tokens = F.concat(F.transform("own", lambda x: F.struct(x.alias("token"), F.lit(2).alias("source"))), F.transform("more", lambda x: F.struct(x.alias("token"), F.lit(3).alias("source"))))
+    told = told.select("path", "line", "title", "context", "raw", F.inline(tokens))
+    score = F.when(F.col("source") == 3, 0.74).when(F.col("token") == F.col("raw"), 1.0).otherwise(0.88)
+    out = out.unionByName(told.select("token", F.lit("symbol").alias("kind"), "path", "line", "title", "context", score.alias("score"), "source"))
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1)
     out = out.unionByName(hits(lines, 4, F.col("text"), "content", path, F.col("line"), 0.58, 0.58, F.col("text")))
     if identifiers is not None:

@@ -117,3 +117,16 @@ def test_only_heads_are_parted_into_lines(spark):
 def test_one_name_is_looked_for_without_an_index_of_all_words(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "published", lambda *a: pytest.fail("an index is built"))
     assert catalog.blast_radius(spark, sf).count() > 0
+
+
+def test_symbols_are_dealt_before_their_tokens_and_have_each_once(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "published", lambda spark, sf, name, build, by: build())
+    assert "REPARTITION_BY_NUM" in plan(catalog.part_word_hits(spark, sf))
+    symbols = spark.createDataFrame([("p", "Save all", "k", 3, "k Save all now"), ("p", "Save all", "k", 3, "other"), ("p", None, "k", 4, "x1 y1"), ("p", "z1", "k", 5, None)], "path string, name string, kind string, line long, signature string")
+    files = spark.createDataFrame([], "path string, header string, content string")
+    got = lookup.word_hits(symbols, files)
+    assert plan(got).count("Generate inline") == 1
+    rows = [(r.token, r.line, r.title, r.score) for r in got.collect()]
+    want = [("save all", 3, "Save all", 1.0), ("save", 3, "Save all", 0.88), ("all", 3, "Save all", 0.88), ("k save all now", 3, "Save all", 0.74), ("now", 3, "Save all", 0.74), ("other", 3, "Save all", 0.74)]
+    want += [("x1", 4, None, 0.74), ("y1", 4, None, 0.74), ("x1 y1", 4, None, 0.74), ("z1", 5, "z1", 1.0)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
