@@ -151,10 +151,17 @@ def modules_at_risk(summary: DataFrame, edge_counts: DataFrame) -> DataFrame:
 
 def related_contexts(contexts: list[tuple[DataFrame, str, float | None]], k: int = 8) -> DataFrame:
     """contexts: (path, related[, score]) tables, their source and fixed score. The best context of each
-    related path, the first table winning ties, and the best k of each path."""
+    related path, the first table winning ties, and the best k of each path.
+
+    A table gives each path its own best k at most: what is behind k others there is behind them in all. They are cut in each
+    task before they meet, so a path that everything leads to is no task's alone."""
     every = None
     for order, (df, source, score) in enumerate(contexts):
-        rows = df.select("path", "related", (clamp01(F.col("score")) if score is None else F.lit(score)).alias("score"), F.lit(source).alias("source"), F.lit(-order).alias("first"))
+        rows = df.select("path", "related", (clamp01(F.col("score")) if score is None else F.lit(score)).alias("score"))
+        if score is None:
+            rows = rows.groupBy("path", "related").agg(F.max("score").alias("score"))
+        place = F.dense_rank().over(Window.partitionBy("path").orderBy(F.desc("score"), "related"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= k).drop("place").withColumns({"source": F.lit(source), "first": F.lit(-order)})
         every = rows if every is None else every.unionByName(rows)
     best = every.groupBy("path", "related").agg(F.max(F.struct("score", "first", "source")).alias("b")).select("path", "related", "b.score", "b.source")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "related"))

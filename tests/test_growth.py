@@ -130,3 +130,20 @@ def test_symbols_are_dealt_before_their_tokens_and_have_each_once(spark, sf, mon
     want = [("save all", 3, "Save all", 1.0), ("save", 3, "Save all", 0.88), ("all", 3, "Save all", 0.88), ("k save all now", 3, "Save all", 0.74), ("now", 3, "Save all", 0.74), ("other", 3, "Save all", 0.74)]
     want += [("x1", 4, None, 0.74), ("y1", 4, None, 0.74), ("x1 y1", 4, None, 0.74), ("z1", 5, "z1", 1.0)]
     assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_contexts_are_cut_before_they_meet(spark):
+    rng = np.random.default_rng(7)
+    tables, best = [], {}
+    for order, fixed in enumerate((0.72, None, 0.58)):
+        rows = [(f"p{rng.integers(5)}", f"r{rng.integers(12)}", float(rng.integers(40, 95)) / 100) for _ in range(200)]
+        for path, related, score in rows:
+            best[path, related] = max(best.get((path, related), (-1, 0)), (score if fixed is None else fixed, -order))
+        tables.append((spark.createDataFrame(rows, "path string, related string, score double"), f"s{order}", fixed))
+    got = graph.related_contexts(tables, 4)
+    assert plan(got).count("WindowGroupLimit") >= 2 * len(tables)
+    want = []
+    for path in {p for p, _ in best}:
+        ranked = sorted((-s, r, o) for (p, r), (s, o) in best.items() if p == path)[:4]
+        want += [(path, r, -s, f"s{-o}", i + 1) for i, (s, r, o) in enumerate(ranked)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
