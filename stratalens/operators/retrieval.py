@@ -93,7 +93,8 @@ def file_search(files: DataFrame, query: str, query_vector: list[float], k: int
     """files: path, header, symbols, content, vector. Every file by combined score, over the thresholds; ties by path, then `tie`."""
     semantic = settled(vectors.cosine(F.col("vector"), vectors.array_of(query_vector)))
     keyword = settled(scores.keyword_score(F.col("path"), F.col("header"), F.col("symbols"), F.col("content"), query))
-    ranked = files.withColumns({"semantic_score": semantic, "keyword_score": keyword})
+    # Generated, so that thresholds and the order read the two scores and do not make them again.
+    ranked = files.select("*", F.inline(F.array(F.struct(semantic.alias("semantic_score"), keyword.alias("keyword_score")))))
     ranked = ranked.withColumn("score", settled(scores.combined_score(F.col("semantic_score"), F.col("keyword_score"), semantic_weight, keyword_weight)))
     ranked = ranked.where(F.greatest("semantic_score", F.lit(0.0)) >= scores.fraction(min_semantic, 0.0)).where(F.col("keyword_score") >= scores.fraction(min_keyword, 0.0)).where(F.col("score") >= scores.fraction(min_combined, 0.1))
     if require_keyword:

@@ -147,3 +147,8 @@ def test_contexts_are_cut_before_they_meet(spark):
         ranked = sorted((-s, r, o) for (p, r), (s, o) in best.items() if p == path)[:4]
         want += [(path, r, -s, f"s{-o}", i + 1) for i, (s, r, o) in enumerate(ranked)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scores_of_files_are_made_once_and_in_many_tasks(spark, sf):
+    told = plan(catalog.file_search(spark, sf))
+    assert told.count("zip_with") == 1 and "REPARTITION_BY_NUM" in told
