@@ -5,6 +5,8 @@ the larger neighbours of each node to its least neighbour, the small-star step d
 smaller ones. Minima are aggregated before the shuffle; the join that brings them back may be split
 by adaptive execution when one node has very many edges. Rounds grow with the logarithm of the
 longest chain. Each round is written to the shared folder, so a lost executor repeats one round.
+A round deals its edges anew four times, whatever their number: many tasks of few rows cost the
+driver memory.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _stars(directed: DataFrame, larger_only: bool) -> DataFrame:
-    """directed: (u, v). With m(u) the least of u and its v: edges (v, m(u)), as asked only for v > u."""
-    least = directed.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-    out = directed.join(least, "u")
-    out = out.where("v > u") if larger_only else out
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _large_star(both: DataFrame) -> DataFrame:
+    """both: (u, v) in both directions. With m(u) the least of u and its v: edges (v, m(u)) for v > u, so an edge gives
+    one row; repeats are left to the end of the round."""
+    least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges: (u, v), u > v. With m(u) the least v of u: edges (v, m(u)) for the other v, and (u, m(u)) in that one's place."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,12 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, True).where("u <> v").distinct()
-        small_in = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = small_in.groupBy("u").agg(F.min("v").alias("m"))
-        small = small_in.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        e = materialise(_small_star(_large_star(both)).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

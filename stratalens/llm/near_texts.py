@@ -256,11 +256,13 @@ def near_texts(marked: DataFrame, text_col: str = "text", words: int = SHINGLE_W
     # Roots and fingerprints are joined to parts of a text's keys, a few hundred in all, which are then dealt out evenly.
     parts = keyed.groupBy("c", F.pmod(F.hash("key"), F.lit(PARTS)).alias("part")).agg(F.collect_list("key").alias("keys"))
     words_ = [f"w{i}" for i in range(LONGS)]
-    told = parts.join(connected_components(near).withColumnRenamed("node", "c"), "c", "left").select("c", "part", "keys", root)
+    stars = connected_components(near)
+    told = parts.join(stars.withColumnRenamed("node", "c"), "c", "left").select("c", "part", "keys", root)
     told = told.join(classes.select("c", "n", *(F.col("fp")[i].alias(w) for i, w in enumerate(words_))), "c").repartition("c", "part")
     told = told.select(F.explode("keys").alias("key"), "c", "root", "n", *words_).repartition("key").sortWithinPartitions("key", "c")
     pairs = told.mapInArrow(_between(most, differing(similarity, 64 * LONGS), Fraction(str(similarity))), "a long, b long")
-    roots = connected_components(near.union(known(pairs))).withColumnRenamed("node", "c")
+    # The components so far stand for their pairs: few rounds are left to do.
+    roots = connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(known(pairs))).withColumnRenamed("node", "c")
     return rows, classes.join(roots, "c", "left").select("c", "n", "least", root)
 
 
