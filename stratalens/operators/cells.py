@@ -2,8 +2,9 @@
 
 Centers are fitted on a bounded sample; every row lies in the cell of its nearest center and looks into the few cells
 nearest to it. An audit of some rows, before any row is sent anywhere, tells how many cells hold their neighbours; where that
-is more than a few, all rows are compared with all others by blocks, which is exact. Equal vectors are one row with the least of
-their ids, so copies meet nothing among themselves.
+is more than a few, all rows are compared with all others by blocks. Both ways are exact: a cell's radius tells whether it may hold
+a neighbour nearer than those that a row has found, and the row looks into each further cell that may, or, where these are many, meets
+all rows. Equal vectors are one row with the least of their ids, so copies meet nothing among themselves.
 """
 
 from __future__ import annotations
@@ -68,24 +69,76 @@ def _merged(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def _radii(unit: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """The greatest angle between each center and the rows of its cell; a row as near to several centers counts for each."""
+    shared = unit.sparkSession.sparkContext.broadcast(centers)
+
+    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = np.full(len(shared.value), -1.0)
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                sims = np.stack(b["v"].to_numpy()[i : i + 1024]) @ shared.value.T
+                r, c = np.nonzero(sims >= sims.max(1, keepdims=True) - 1e-9)
+                np.maximum.at(most, c, np.arccos(np.clip(sims[r, c], -1, 1)))
+        yield pd.DataFrame({"cell": np.flatnonzero(most >= 0).astype(np.int32), "angle": most[most >= 0]})
+
+    out = np.full(len(centers), -1.0)
+    for r in unit.select("v").mapInPandas(angles, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():  # CELLS rows at most
+        out[r.cell] = r.angle
+    return out
+
+
+def may_hold(v: np.ndarray, centers: np.ndarray, radii: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """For each unit row of v whether each cell may hold a row whose dot product with it reaches its floor: none is nearer than its angle
+    to the center, less the radius. Margins are wider than what doubles and the rounding of scores are off."""
+    gap = np.arccos(np.clip(v @ centers.T, -1, 1)) - radii - 1e-7
+    return (radii >= 0) & ~(np.cos(np.clip(gap, 0, np.pi)) < floor[:, None] - 1e-9)
+
+
 def _looked_up(unit: DataFrame, centers: np.ndarray, probes: int, k: int, least: float, kind: str) -> DataFrame:
-    """(id, other, score): the k nearest of each row in the `probes` cells nearest to it, itself among them."""
-    shared = unit.sparkSession.sparkContext.broadcast(centers)  # CELLS rows at most
+    """(id, other, score): the k nearest of each row among all, itself among them. Rows look into the `probes` cells nearest to them, then into each
+    other one that may hold something nearer than what they have; a row for which these are over MOST_PROBES meets all rows."""
+    shared = unit.sparkSession.sparkContext.broadcast((centers, _radii(unit, centers)))  # CELLS rows at most
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 1024):
                 part = b.iloc[i : i + 1024]
-                sims = np.stack(part["v"].to_numpy()) @ shared.value.T
+                sims = np.stack(part["v"].to_numpy()) @ shared.value[0].T
                 near = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
                 yield pd.DataFrame({"id": part["id"], "v": part["v"], "cells": list(near.astype(np.int32))})
 
     placed = unit.mapInPandas(place, f"id {kind}, v array<double>, cells array<int>").persist(StorageLevel.MEMORY_AND_DISK)
     own = placed.select("id", "v", F.get("cells", F.lit(0)).alias("cell"))
+    found = _in_cells(placed, own, k, least, kind).persist(StorageLevel.MEMORY_AND_DISK)
+    floors = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.iloc[i : i + 1024]
+                floor = np.fmax(part["floor"].to_numpy(dtype=np.float64), least)  # none where there are fewer than k
+                may = may_hold(np.stack(part["v"].to_numpy()), *shared.value, floor)
+                np.put_along_axis(may, np.stack(part["cells"].to_numpy()), False, axis=1)
+                at = np.flatnonzero(may.any(1))
+                cells = [np.flatnonzero(row).astype(np.int32) if row.sum() <= MOST_PROBES else None for row in may[at]]
+                yield pd.DataFrame({"id": part["id"].iloc[at], "v": part["v"].iloc[at], "cells": pd.Series(cells, dtype=object, index=part.index[at])})
+
+    rest = placed.join(floors, "id", "left").mapInPandas(further, f"id {kind}, v array<double>, cells array<int>").persist(StorageLevel.MEMORY_AND_DISK)
+    some, many = rest.agg(F.count("cells"), F.count_if(F.col("cells").isNull())).first()
+    if some:
+        found = found.unionByName(_in_cells(rest.where("cells is not null"), own, k, least, kind))
+    if many:
+        found = found.unionByName(_with_all(rest.where("cells is null").select("id", "v"), many, unit, k, least, kind))
+    return _merged(found.groupBy("id", "other").agg(F.max("score").alias("score")), k) if some or many else found
+
+
+def _in_cells(asked: DataFrame, own: DataFrame, k: int, least: float, kind: str) -> DataFrame:
+    """(id, other, score): the k nearest of each asked row (id, v, cells) in its cells. own: id, v, cell."""
     sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     sizes = F.broadcast(sizes)  # CELLS rows at most
     members = own.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("other"), F.col("v").alias("w"))
-    asking = placed.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asking = asked.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     # Queries of a crowded cell are dealt to several tasks, each of which gets the part's members.
     lots = 1 + F.floor(F.count(F.lit(1)) / PART).cast("int")
     crowd = F.broadcast(asking.groupBy("cell", "part").agg(lots.alias("lots")))  # a row for each part: rows over PART, and CELLS
@@ -146,10 +199,36 @@ def top_of(v: np.ndarray, w: np.ndarray, others: np.ndarray, k: int, least: floa
         yield rows + i, others[columns], scores
 
 
+def _stripes(count: int) -> int:
+    return max(min(STRIPES, count // LEAST_STRIPE), -(-count // MOST_STRIPE), 1)
+
+
+def _with_all(asked: DataFrame, n_asked: int, unit: DataFrame, k: int, least: float, kind: str) -> DataFrame:
+    """(id, other, score): the k nearest of each asked row (id, v) among all. Both are dealt to stripes, each of which meets each of the others in a task."""
+    a, b = _stripes(n_asked), _stripes(unit.count())
+    stripe = lambda n, name: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int").alias(name)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", stripe(a, "a"), every(b).alias("b"))
+    right = unit.select("id", "v", stripe(b, "b"), every(a).alias("a"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "other": [], "score": []})
+        if not len(x) or not len(y):
+            return none
+        y = y.sort_values("id", ignore_index=True)
+        ids = x["id"].to_numpy()
+        best = top_of(np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["id"].to_numpy(), k, least)
+        out = [pd.DataFrame({"id": ids[at], "other": other, "score": s}) for at, other, s in best if len(at)]
+        return pd.concat(out or [none])
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"id {kind}, other {kind}, score double")
+    return _merged(found, k)
+
+
 def _compared(unit: DataFrame, count: int, k: int, least: float, kind: str) -> DataFrame:
     """(id, other, score): the k nearest of each row among all, itself among them. Rows are dealt to stripes, and each two stripes, or one with
     itself, meet in a task of their own, whatever the number of rows; a task gives the k best of each of its rows."""
-    stripes = max(min(STRIPES, count // LEAST_STRIPE), -(-count // MOST_STRIPE), 1)
+    stripes = _stripes(count)
     own = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(stripes)).cast("int").alias("stripe")
     sent = unit.select("id", "v", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     sent = sent.select("id", "v", "stripe", F.least("stripe", "y").alias("a"), F.greatest("stripe", "y").alias("b"))
@@ -205,8 +284,9 @@ def _exact(unit: DataFrame, queries: pd.DataFrame, k: int, least: float, kind: s
 def knn_cells(items: DataFrame, least: float = 0.35, k: int = 3, cell: int = CELL, probes: int = PROBES, recall: float = RECALL, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """knn_graph, (id, related, score), from cells of about `cell` rows. A table of less than two cells is compared whole.
 
-    Found neighbours are exact scores; of those of AUDITED rows a share of `recall` at least is found in the cells, or all rows
-    are compared with all. Rows of equal vectors have one another first, the least ids winning, as everywhere.
+    The same rows as knn_graph's. Where a share of `recall` of the neighbours of AUDITED rows is found in few cells, rows look into these first, and
+    then into all others that may hold neighbours; else all rows are compared with all. Rows of equal vectors have one another first, the
+    least ids winning, as everywhere: a class gives its k + 1 least ids, behind which none can be among the k nearest of a row.
     """
     kind = dict(items.dtypes)[id_col]
     rows = items.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("raw"))
@@ -216,22 +296,24 @@ def knn_cells(items: DataFrame, least: float = 0.35, k: int = 3, cell: int = CEL
     classes = firsts.groupBy("key").agg(F.min_by("id", "place").alias("id"), F.any_value("raw").alias("raw"), F.array_sort(F.collect_list("id")).alias("ids"))
     n = norm(F.col("raw"))
     unit = classes.select("key", "id", "ids", F.when(n > 0, F.transform("raw", lambda x: x / n)).otherwise(F.transform("raw", lambda x: F.lit(0.0))).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    count = unit.count()
+    # Rows that can be neighbours: a vector of zeros has the product 0 with all, one that is not finite has none.
+    live = unit.where(F.forall("v", lambda x: ~F.isnan(x)) & (F.exists("v", lambda x: x != 0) if least > 0 else F.lit(True))).select("id", "v")
+    count = live.count()
     cells = min(CELLS, count // cell)
     if cells < 2:
         unit.unpersist()
         return knn_graph(items, least, k, 1, id_col, vector_col)
-    sample = unit.select("id", "v").orderBy(F.xxhash64("id")).limit(SAMPLED * cells).toPandas()  # bounded by CELLS
+    sample = live.orderBy(F.xxhash64("id")).limit(SAMPLED * cells).toPandas()  # bounded by CELLS
     centers = fit_centers(np.stack(sample["v"].to_numpy()), cells)
     audited = sample.head(AUDITED)
-    truth = _exact(unit, audited, k + 1, least, kind)
-    needed = _cells_needed(unit, centers, audited, truth, recall, kind)
+    truth = _exact(live, audited, k + 1, least, kind)
+    needed = _cells_needed(live, centers, audited, truth, recall, kind)
     while probes < needed:
         probes *= 2
     if probes > MOST_PROBES or 2 * probes >= len(centers):
-        found = _compared(unit.select("id", "v"), count, k + 1, least, kind)
+        found = _compared(live, count, k + 1, least, kind)
     else:
-        found = _looked_up(unit.select("id", "v"), centers, probes, k + 1, least, kind)
+        found = _looked_up(live, centers, probes, k + 1, least, kind)
     # From classes to rows: a class stands for the least of its ids, its own for those beside the row itself.
     near = found.join(unit.select(F.col("id").alias("other"), "ids"), "other").select(F.col("id").alias("of"), "score", F.explode("ids").alias("related"))
     near = near.unionByName(unit.where(F.size("ids") > 1).select(F.col("id").alias("of"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"), F.explode("ids").alias("related")).where(F.col("score") >= least))

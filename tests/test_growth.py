@@ -164,3 +164,29 @@ def test_vectors_of_a_search_index_are_made_once_and_in_many_tasks(spark, sf, mo
     monkeypatch.setattr(catalog, "published", publish)
     assert catalog.engine_search(spark, sf).count() == 10
     assert [name for name, p in told.items() if "ascii" in p] == ["part_rows"] and "REPARTITION_BY_NUM" in told["part_rows"]
+
+
+@pytest.mark.parametrize("most", [16, 2])
+def test_what_the_first_cells_lack_is_found(spark, monkeypatch, most):
+    """An audit asks for half of the neighbours only; rows look into all cells that may hold the others, or meet all rows where these are many."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(1200)] + [(1200 + i, [0.0] * 4) for i in range(2)] + [(1202, [float("nan"), 1.0, 1.0, 1.0])]
+    items = spark.createDataFrame(rows + [(1203 + i, rows[i][1]) for i in range(30)], "id long, vector array<double>")
+    monkeypatch.setattr(cells, "MOST_PROBES", most)
+    monkeypatch.setattr(cells, "_compared", lambda *a: pytest.fail("all rows were compared"))
+    met, with_all = [], cells._with_all
+    monkeypatch.setattr(cells, "_with_all", lambda *a: met.append(a[1]) or with_all(*a))
+    got = cells.knn_cells(items, cell=20, probes=1, recall=0.5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.knn_graph(items).collect()))
+    assert (sum(met) > 100) == (most == 2)
+
+
+def test_cells_that_may_hold_a_neighbour():
+    rng = np.random.default_rng(9)
+    x, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((400, 3)), rng.standard_normal((30, 3))))
+    own = (x @ c.T).argmax(1)
+    radii = np.array([np.arccos((x[own == j] @ c[j]).clip(-1, 1)).max(initial=-1) for j in range(30)])
+    floor = np.sort(x @ x.T, axis=1)[:, -4]
+    may = cells.may_hold(x, c, radii, floor)
+    assert all(may[i, own[j]] for i, j in zip(*np.nonzero(x @ x.T >= floor[:, None]), strict=True))
+    assert may.sum(1).mean() < 10
