@@ -3,7 +3,9 @@
 Different vectors are dealt by hash into shards; each shard's hierarchical graph is built once and
 written with its vectors. A cell is an unordered pair of shards: its task searches each one's graph
 with the vectors of the other, many searches at a time in lockstep through NumPy, so every vector
-queries every shard. A beam is widened until an audit passes, in which a sample drawn over all of
+queries every shard. A search starts from rows that the graph's levels lead to and from rows that share
+a key of random hyperplanes with the query: among unlike vectors the levels alone miss a lone partner
+the more often the larger the graph is. A beam is widened until an audit passes, in which a sample drawn over all of
 the cell's queries, and probes made at the threshold's distance from known vectors, are also answered by
 brute force. The last widening, for a query whose whole beam lies inside the threshold and for a
 shard whose audit fails, is the whole shard by blocked products. Pairs are verified by cosine in
@@ -13,6 +15,7 @@ components. Tasks emit a spanning forest of their links and a count for each vec
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +37,82 @@ BUILD_BEAM, BEAM = 48, 16
 AUDIT, RECALL = 256, 1.0
 #: The highest level has at most so many nodes: it is read whole.
 TOP = 1024
+#: Keys of a graph's rows: tables, keys of a query in each, rows of a key and rows to start from at most, bits at most. They only give starts.
+TABLES, KEYS, CROWD, STARTS, BITS = 12, 32, 4, 4, 20
 #: Queries that advance together, candidates each expands in a step, products computed at once.
 LOCKSTEP, EXPAND, BLOCK = 512, 4, 1 << 24
 
 
+class Keys:
+    """Rows by the sides of random hyperplanes on which they lie, several bits to a key and a key in each table: rows near each other share keys
+    often, and a query also asks for the keys of its least certain bits turned over. What they give are rows for a search of the graph to start from."""
+
+    def __init__(self, x: np.ndarray, seed: int = 0) -> None:
+        n, dims = x.shape
+        rng = np.random.default_rng(seed)
+        self.bits = min(BITS, max(1, int(n).bit_length() - 1))
+        width = min(dims, TABLES * self.bits)
+        turns = [np.linalg.qr(rng.standard_normal((dims, width)))[0] for _ in range(-(-TABLES * self.bits // width))]
+        self.turns = np.concatenate(turns, axis=1)[:, : TABLES * self.bits].astype(np.float32)
+        off = x @ self.turns
+        self.mid = np.median(off[:: max(1, n // 4096)], axis=0)
+        off -= self.mid
+        code, self.marks = self._codes(off), self._marks(off)
+        size = 1 << self.bits
+        flat = (code + size * np.arange(TABLES)).T.ravel()
+        self.rows = (np.argsort(flat, kind="stable") % n).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=TABLES * size))]).astype(np.int32)
+        least = min(self.bits, 10)
+        sets = sorted((sum(r * (r + 1) for r in c), c) for k in range(min(least, 5) + 1) for c in itertools.combinations(range(1, least + 1), k))[:KEYS]
+        self.turned = np.zeros((least, len(sets)), np.float32)
+        for i, (_, c) in enumerate(sets):
+            self.turned[[r - 1 for r in c], i] = 1
+
+    def _codes(self, off: np.ndarray) -> np.ndarray:
+        sides = (off > 0).reshape(-1, self.bits).astype(np.float32)
+        return (sides @ (2.0 ** np.arange(self.bits, dtype=np.float32))).astype(np.int64).reshape(-1, TABLES)
+
+    def _marks(self, off: np.ndarray) -> list[np.ndarray]:
+        """All bits of a row, 64 to a number."""
+        packed = np.packbits(off > 0, axis=1)
+        packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
+        return list(np.ascontiguousarray(packed.view(np.uint64).T))
+
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """For each row of q up to STARTS rows that share a key with it and two thirds of all bits, those with most bits first; -1 where there are fewer."""
+        out = np.full((len(q), STARTS), -1, np.int64)
+        off = q @ self.turns - self.mid
+        unsure = np.argsort(np.abs(off).reshape(len(q), TABLES, self.bits), axis=2)[:, :, : len(self.turned)]
+        turned = ((2.0**unsure).astype(np.float32).reshape(-1, len(self.turned)) @ self.turned).astype(np.int64).reshape(len(q), TABLES, -1)
+        code = (turned ^ self._codes(off)[:, :, None]) + (np.arange(TABLES) << self.bits)[:, None]
+        code = code.reshape(len(q), -1)
+        first = self.starts[code]
+        count = np.minimum(self.starts[code + 1] - first, CROWD)
+        held = count > 0
+        r, first, count = np.nonzero(held)[0], first[held], count[held]
+        to = self.rows[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        r = np.repeat(r, count)
+        unlike = np.zeros(len(r), np.int64)
+        for own, asked in zip(self.marks, self._marks(off), strict=True):
+            unlike += np.bitwise_count(own.take(to) ^ asked.take(r))
+        good = np.flatnonzero(3 * unlike <= TABLES * self.bits)
+        code = np.unique((r[good] * 1024 + unlike[good]) << 32 | to[good])
+        r, to = code >> 42, code & 0xFFFFFFFF
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        out[r[rank < STARTS], rank[rank < STARTS]] = to[rank < STARTS]
+        return out
+
+
 class Graph:
     """A hierarchical navigable small-world graph over unit vectors (rows of x, in single precision).
 
     levels: from the ground up, ids of its nodes (rows, ascending) and their neighbours (places in ids, -1: none).
     entries: rows beside the levels' own from which some part of the ground can be reached only.
+    keys: rows to start from beside those that the levels give, so that beams need not grow with the graph.
     """
 
+    keys: Keys | None = None
+
     def __init__(self, x: np.ndarray, seed: int = 0) -> None:
         self.x, self.levels, self.entries = x, [], np.zeros(0, np.int64)
         n = len(x)
@@ -114,6 +182,10 @@ class Graph:
         start = self.entry(q) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
         if self.entries.size:
             start = np.concatenate([start, _best(q, self.x[self.entries], self.entries, 2)], axis=1)
+        if len(self.levels) > 1 and len(q):
+            self.keys = self.keys or Keys(self.x)
+            known = np.concatenate([self.keys.near(q[i : i + 2 * LOCKSTEP]) for i in range(0, len(q), 2 * LOCKSTEP)])
+            start = np.concatenate([start, np.where(known < 0, start[:, :1], known)], axis=1)
         start.sort(axis=1)
         beam = max(beam, start.shape[1])
         got = [search(self.x, self.levels[0][1], q[i : i + LOCKSTEP], start[i : i + LOCKSTEP], beam) for i in range(0, len(q), LOCKSTEP)]
@@ -210,6 +282,14 @@ def diverse(x: np.ndarray, q: np.ndarray, cand: np.ndarray, degree: int) -> np.n
     return out
 
 
+def _dots(x: np.ndarray, i: np.ndarray, q: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows i of x with rows j of q, so many at once as stay near the processor."""
+    out = np.empty(len(i), np.float32)
+    for k in range(0, len(i), 2048):
+        out[k : k + 2048] = np.einsum("nd,nd->n", x.take(i[k : k + 2048], axis=0, mode="clip"), q.take(j[k : k + 2048], axis=0, mode="clip"))
+    return out
+
+
 def search(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all rows of q in lockstep: ids and similarities, best first, -1 and -3 where fewer.
     start: rows of x to begin at, at most beam of them; a row's repeats count once."""
@@ -227,6 +307,7 @@ def search(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, be
     ids[:, :k] = np.where(sims[:, :k] > -2, np.take_along_axis(start, order, 1), -1)
     open_ = ids >= 0
     seen[rows, start] = True
+    been = seen.ravel()  # the same places by one number
     live = np.arange(n)
     while live.size:
         o = open_[live]
@@ -235,14 +316,16 @@ def search(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, be
         nodes = np.where(on, np.take_along_axis(ids[live], pick, 1), -1)
         o[np.arange(len(live))[:, None], pick] = False
         nxt = np.where(nodes[:, :, None] >= 0, near[nodes], -1).reshape(len(live), -1)
-        r, c = np.nonzero(nxt >= 0)
-        to = nxt[r, c]
-        fresh = ~seen[live[r], to]
+        nxt.sort(axis=1)
+        new = nxt >= 0
+        new[:, 1:] &= nxt[:, 1:] != nxt[:, :-1]
+        at = np.flatnonzero(new)
+        r, to = at // nxt.shape[1], nxt.ravel()[at].astype(np.int64)
+        place = live[r] * len(x) + to
+        fresh = np.flatnonzero(~been.take(place))
         r, to = r[fresh], to[fresh]
-        code = np.unique(r * len(x) + to)
-        r, to = code // len(x), code % len(x)
-        seen[live[r], to] = True
-        found = np.einsum("nd,nd->n", x[to], q[live[r]])
+        been[place[fresh]] = True
+        found = _dots(x, to, q, live[r])
         better = found > sims[live[r], -1]
         r, to, found = r[better], to[better], found[better]
         count = np.bincount(r, minlength=len(live))
@@ -291,8 +374,9 @@ def products(side: Side, of: Side, rows: np.ndarray, threshold: float) -> Iterat
     for i in range(0, len(rows), step):
         part = rows[i : i + step]
         p = of.graph.x[part] @ x.T
-        r, c = np.nonzero(p >= threshold - slack)
-        yield _verified(of.x, side.x, part[r], c, p[r, c], threshold, slack)
+        at = np.flatnonzero(p >= threshold - slack)
+        r, c = at // len(x), at % len(x)
+        yield _verified(of.x, side.x, part[r], c, p.ravel()[at], threshold, slack)
 
 
 def audited_beam(side: Side, of: Side, threshold: float, least: float = RECALL, seed: int = 0) -> int | None:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from stratalens.llm.decontaminate import contamination
-from stratalens.llm.hnsw import BEAM, Graph, Side, cell_links, near_vectors
+from stratalens.llm.hnsw import BEAM, STARTS, Graph, Keys, Side, audited_beam, cell_links, near_vectors
 from stratalens.llm.html import parse, visible_text
 from stratalens.llm.lines import drop_repeated_lines
 from stratalens.llm.quality import score_documents, train
@@ -94,3 +94,29 @@ def test_vectors_through_graphs_against_brute_force(spark):
             break
         root = new
     assert got == {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
+def unlike(n, dims=64, seed=0):
+    x = np.random.default_rng(seed).standard_normal((n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_beams_do_not_grow_with_a_graph_of_unlike_vectors():
+    """The levels alone lead past rows that have no others near them, so beams were doubled until an audit found them."""
+    x = unlike(20_000)
+    side, of = (Side(v, np.arange(len(v)), np.ones(len(v), np.int64), Graph(v.astype(np.float32))) for v in (x, unlike(1500, seed=1)))
+    assert audited_beam(side, of, 0.9) == BEAM
+
+
+@pytest.mark.parametrize("dims", [2, 64])
+def test_keys_give_rows_near_a_query(dims):
+    x = unlike(3000, dims)
+    x[100:400] = x[100]  # crowded keys
+    off = unlike(3000, dims, seed=2)
+    off -= np.einsum("nd,nd->n", off, x)[:, None] * x
+    q = 0.9 * x + np.sqrt(0.19) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    got = Keys(x.astype(np.float32)).near(q.astype(np.float32))
+    assert got.shape == (3000, STARTS) and (got >= -1).all() and (got < 3000).all()
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in got[:500])
+    if dims == 64:
+        assert (got == np.arange(3000)[:, None]).any(1)[400:].mean() > 0.99
